@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corpusflow.llm import ann, language, licenses, sharding, topk
+from corpusflow.llm import ann, language, licenses, near_dedup, sharding, topk
 
-MODULES = (topk, sharding, ann, licenses, language)
+MODULES = (topk, sharding, near_dedup, ann, licenses, language)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
