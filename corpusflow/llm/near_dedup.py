@@ -22,7 +22,7 @@ from corpusflow.llm.graph import components
 BANDS, ROWS = 32, 8
 T = BANDS * ROWS
 #: Members of a group that one task compares, and pivots they are compared with in a round.
-CHUNK = 64
+CHUNK = 512
 SLICE = 4 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
