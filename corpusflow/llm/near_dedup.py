@@ -1,9 +1,10 @@
 """MinHash near-dedup: fast similarity sketches, banding, exact verification, components.
 
 Texts with one shingle set collapse to a class before anything is paired. Classes that meet in a band
-form candidate groups; a group is verified in chunks against a bounded number of pivots a round, and a
+form candidate groups; a group is verified in cells of a bounded number of pivots and members, and a
 pivot leaves the group once it has met every member, so no task holds a whole group and no group
-emits all its pairs. Rounds go on until the members left in a group are known to be connected.
+emits all its pairs. Members of a group's largest component so far needn't become pivots. Rounds, each
+with more pivots, go on until the members left in a group are known to be connected.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from corpusflow.llm.graph import components
 #: 32 bands of 8: at a similarity of 0.85 a pair meets in some band but for 4 in 100,000.
 BANDS, ROWS = 32, 8
 T = BANDS * ROWS
-#: Members of a group that one task compares, and pivots they are compared with in a round.
+#: Members of a group that one cell compares, and pivots they are compared with there.
 CHUNK = 512
+#: Each round takes so many times the pivots of the one before.
+GROWTH = 8
 SLICE = 4 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -215,21 +218,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataF
         live = sizes.where("open > 0 AND (low <> high)")
         if turn and live.isEmpty():
             break
-        # Pivots: all of a group that is small enough, else about CHUNK of those outside its largest component.
+        # Pivots: all of a group that is small enough, else some of those outside its largest component.
         each = state.groupBy("grp", "comp").agg(F.count_if(~F.col("done")).alias("n"))
         largest = each.groupBy("grp").agg(F.max(F.struct("n", "comp")).alias("m")).select("grp", F.col("m.comp").alias("main"), F.col("m.n").alias("main_n"))
         rows = state.join(live.select("grp", "members", "open"), "grp").join(largest, "grp")
         outside = ~F.col("done") & ((F.col("comp") != F.col("main")) | (F.col("main_n") <= 1))
         chance = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(1 << 30)) / F.lit(float(1 << 30))
         pool = F.when(F.col("main_n") <= 1, F.col("open")).otherwise(F.col("open") - F.col("main_n"))
-        pivot = outside & (chance * pool <= F.when(pool <= CHUNK, pool).otherwise(F.lit(CHUNK)))
-        rows = rows.select("rep", "grp", "members", pivot.alias("pivot"), F.greatest(F.lit(1), F.ceil(F.col("members") / CHUNK)).cast("int").alias("chunks"))
-        rows = stored(rows)
-        own = rows.where("NOT pivot").select("rep", "pivot", F.xxhash64("grp", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).alias("chunk"))
-        led = rows.where("pivot").select("rep", "pivot", "grp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c")).select("rep", "pivot", F.xxhash64("grp", "c").alias("chunk"))
+        taken = F.least(pool, F.lit(CHUNK * GROWTH**turn))
+        chunks, blocks = (F.greatest(F.lit(1), F.ceil(x / CHUNK)).cast("int") for x in (F.col("members"), taken))
+        rows = stored(rows.select(
+            "rep", "grp", (outside & (chance * pool <= taken)).alias("pivot"), chunks.alias("chunks"), blocks.alias("blocks"),
+            F.pmod(F.xxhash64("rep"), chunks).cast("int").alias("c"), F.pmod(F.xxhash64("rep", F.lit("block")), blocks).cast("int").alias("p"),
+        ))
+        # A cell is one block of pivots with one chunk of members; members come to every block, pivots to every chunk.
+        upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        own = rows.select("rep", "pivot", "grp", "c", "p", upto("blocks").alias("at")).where("NOT (pivot AND at = p)")
+        own = own.select("rep", F.lit(False).alias("pivot"), F.xxhash64("grp", "c", "at").alias("chunk"))
+        led = rows.where("pivot").select("rep", "pivot", "grp", "p", upto("chunks").alias("c")).select("rep", "pivot", F.xxhash64("grp", "c", "p").alias("chunk"))
         texts = rows.select("rep").join(docs, F.col("rep") == F.col("doc_id")).select("rep", "text").join(reps.select("rep", "bands"), "rep")
-        found = stored(verified(own.unionByName(led).join(texts, "rep").select("chunk", "pivot", "rep", "bands", "text"), words, percent, 4 * tasks(spark)))
-        edges = found if edges is None else stored(edges.unionByName(found))
+        found = stored(verified(own.unionByName(led).join(texts, "rep").select("chunk", "pivot", "rep", "bands", "text"), words, percent, tasks(spark)))
+        edges = found if edges is None else edges.unionByName(found)
         joined = components(edges).select(F.col("node").alias("rep"), F.col("comp").alias("now"))
         met_all = rows.where("pivot").select("rep", F.lit(True).alias("met"))
         after = stored(state.join(joined, "rep", "left").join(met_all, "rep", "left").select("rep", "grp", F.coalesce("now", "comp").alias("comp"), (F.col("done") | F.coalesce("met", F.lit(False))).alias("done")))
