@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-MODULES: tuple = ()
+from corpusflow.plans import pages, questions, refreshes
+
+MODULES = (pages, refreshes, questions)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
