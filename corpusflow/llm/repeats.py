@@ -23,11 +23,14 @@ from corpusflow.llm.common import Rolling, keyed, mix, slices, stored, tasks, te
 
 LENGTH, K = 100, 32
 SLICE = 2 << 20
+#: Phrases or strings that a task sorts at a time; rows of one trigger or string stay together.
+AT_ONCE = 1 << 20
 #: Triggers with more phrases than this send single strings on, dealt by content, not whole phrases.
 HOT = 256
 PHRASE = np.dtype([("trigger", "<u4"), ("phrase", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("more", "<u2")])
 #: Of a phrase or string that is to be compared: what its strings are keyed by.
 EXACT = np.dtype([("key", "<u8"), ("text", "<u8"), ("doc", "<i8"), ("start", "<i8")])
+PLACED = np.dtype([("trigger", "<i8"), ("doc", "<i8"), ("start", "<i8"), ("size", "<i8"), ("blob", "<i8"), ("at", "<i8")])
 MARK = np.dtype([("doc", "<i8"), ("start", "<i8"), ("end", "<i8")])
 
 
@@ -110,6 +113,17 @@ def marks(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 SEGMENT, EXPAND, STRING, REMOVE = 0, 1, 2, 3
 
 
+def shares(rows: np.ndarray, key: str, size: int) -> Iterator[np.ndarray]:
+    """rows in shares of about AT_ONCE by a hash of key; size: what the rows come to once expanded."""
+    n = -(-size // AT_ONCE)
+    if n <= 1:
+        yield rows
+        return
+    share = (mix(rows[key].astype(np.uint64) + np.uint64(977)) >> np.uint64(32)) % np.uint64(n)
+    for i in range(n):
+        yield rows[share == i]
+
+
 def phrases(docs: DataFrame, parts: int, length: int, k: int) -> DataFrame:
     """The parse, one row a batch and part; a phrase that repeats within the slice is told at once."""
 
@@ -178,20 +192,26 @@ def dictionary(rows: DataFrame, parts: int, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_parts(batches):
-            got, new = firsts(unpacked(batch, SEGMENT, PHRASE), ["trigger", "phrase"])
-            again, got = got[~new], got[new]
-            _, index, n = np.unique(got["trigger"], return_inverse=True, return_counts=True)
-            n = n[index] if len(index) else np.zeros(0, int)
-            found = marks(*(np.concatenate(x) for x in zip((again["doc"], again["start"], again["start"] + again["more"] + length), [unpacked(batch, REMOVE, MARK)[c] for c in ("doc", "start", "end")], strict=True)))
-            both = got[n > 1]
-            kind = np.where(n[n > 1] > HOT, STRING, EXPAND)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([found["doc"], both["doc"]]), pa.int64()), pa.array(np.concatenate([np.full(len(found), REMOVE), kind]), pa.int32()),
-                pa.array(np.concatenate([found["start"], both["start"]]), pa.int64()), pa.array(np.concatenate([found["end"], both["start"] + both["more"]]), pa.int64()),
-                pa.array(np.concatenate([np.zeros(len(found), np.int64), both["trigger"].astype(np.int64)]), pa.int64()),
-            ], ["doc_id", "kind", "a", "b", "trigger"])
-
-    return rows.repartition(min(parts, 4 * tasks(rows.sparkSession)), "part").sortWithinPartitions("part").mapInArrow(run, "doc_id long, kind int, a long, b long, trigger long")
+            rows = unpacked(batch, SEGMENT, PHRASE)
+            for some in shares(rows, "trigger", len(rows)):
+                yield told(some, np.empty(0, MARK))
+            yield told(rows[:0], unpacked(batch, REMOVE, MARK))
+
+    def told(rows: np.ndarray, gone: np.ndarray) -> pa.RecordBatch:
+        got, new = firsts(rows, ["trigger", "phrase"])
+        again, got = got[~new], got[new]
+        _, index, n = np.unique(got["trigger"], return_inverse=True, return_counts=True)
+        n = n[index] if len(index) else np.zeros(0, int)
+        found = marks(*(np.concatenate(x) for x in zip((again["doc"], again["start"], again["start"] + again["more"] + length), [gone[c] for c in ("doc", "start", "end")], strict=True)))
+        both = got[n > 1]
+        kind = np.where(n[n > 1] > HOT, STRING, EXPAND)
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.concatenate([found["doc"], both["doc"]]), pa.int64()), pa.array(np.concatenate([np.full(len(found), REMOVE), kind]), pa.int32()),
+            pa.array(np.concatenate([found["start"], both["start"]]), pa.int64()), pa.array(np.concatenate([found["end"], both["start"] + both["more"]]), pa.int64()),
+            pa.array(np.concatenate([np.zeros(len(found), np.int64), both["trigger"].astype(np.int64)]), pa.int64()),
+        ], ["doc_id", "kind", "a", "b", "trigger"])
+
+    return rows.repartition(tasks(rows.sparkSession), "part").sortWithinPartitions("part").mapInArrow(run, "doc_id long, kind int, a long, b long, trigger long")
 
 
 def compared(asked: DataFrame, parts: int, length: int) -> DataFrame:
@@ -249,15 +269,22 @@ def compared(asked: DataFrame, parts: int, length: int) -> DataFrame:
 def sorted_suffixes(rows: DataFrame, parts: int, length: int) -> DataFrame:
     """(doc_id, kind, a, b) REMOVE rows: of equal strings all but the first in corpus order."""
 
-    def expand(blob: bytes) -> list[np.ndarray]:
-        """Strings of the phrases of a part as EXACT rows: the suffixes of the dictionary, by trigger and
-        then by a 64-bit hash of their first `length` bytes, as only equality of prefixes is asked for."""
-        at, heads, texts = 0, [], []
-        while at < len(blob):
-            head = np.frombuffer(blob, np.int64, 4, at)
-            heads.append(head)
-            texts.append(blob[at + 32 : at + 32 + int(head[3])])
-            at += 32 + int(head[3])
+    def placed(blobs: list[bytes]) -> np.ndarray:
+        """trigger, document, first string and length of each phrase, and where its bytes are."""
+        out = []
+        for i, blob in enumerate(blobs):
+            at = 0
+            while at < len(blob):
+                trigger, doc, start, size = np.frombuffer(blob, np.int64, 4, at).tolist()
+                out.append((trigger, doc, start, size, i, at + 32))
+                at += 32 + size
+        return np.array(out, PLACED)
+
+    def expand(blobs: list[bytes], some: np.ndarray) -> list[np.ndarray]:
+        """Strings of some phrases as EXACT rows: the suffixes of the dictionary, by trigger and then by
+        a 64-bit hash of their first `length` bytes, as only equality of prefixes is asked for."""
+        heads = np.stack([some[c] for c in ("trigger", "doc", "start", "size")], axis=1)
+        texts = [blobs[i][at : at + size] for i, at, size in zip(some["blob"].tolist(), some["at"].tolist(), some["size"].tolist(), strict=True)]
         out, lo = [], 0
         while lo < len(heads):
             hi, size = lo, 0
@@ -265,7 +292,7 @@ def sorted_suffixes(rows: DataFrame, parts: int, length: int) -> DataFrame:
                 size += len(texts[hi])
                 hi += 1
             roll = Rolling(np.frombuffer(b"".join(texts[lo:hi]), np.uint8))
-            head = np.array(heads[lo:hi])
+            head = heads[lo:hi]
             n = head[:, 3] - length + 1
             edge = np.r_[0, np.cumsum(head[:, 3])[:-1]]
             step = np.arange(n.sum()) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)
@@ -280,17 +307,24 @@ def sorted_suffixes(rows: DataFrame, parts: int, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_parts(batches):
             keep = np.flatnonzero(batch.column("kind").to_numpy() == EXPAND)
-            found = [expand(x) for x in batch.column("data").take(pa.array(keep)).to_pylist()]
-            for got in (np.concatenate([np.empty(0, EXACT), *(x for xs in found for x in xs)]), unpacked(batch, STRING, EXACT)):
-                got, new = firsts(got, ["key", "text"])
-                again = got[~new]
-                yield remove_batch(marks(again["doc"], again["start"], again["start"] + length))
+            blobs = batch.column("data").take(pa.array(keep)).to_pylist()
+            at = placed(blobs)
+            for some in shares(at, "trigger", int(at["size"].sum())):
+                yield later(np.concatenate([np.empty(0, EXACT), *expand(blobs, some)]))
+            strings = unpacked(batch, STRING, EXACT)
+            for some in shares(strings, "text", len(strings)):
+                yield later(some)
             yield remove_batch(unpacked(batch, REMOVE, MARK))
 
+    def later(got: np.ndarray) -> pa.RecordBatch:
+        got, new = firsts(got, ["key", "text"])
+        again = got[~new]
+        return remove_batch(marks(again["doc"], again["start"], again["start"] + length))
+
     def remove_batch(done: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(done[c]), pa.int64()) for c in ("doc", "start", "end")], ["doc_id", "a", "b"])
 
-    return rows.repartition(min(parts, 4 * tasks(rows.sparkSession)), "part").sortWithinPartitions("part").mapInArrow(run, "doc_id long, a long, b long")
+    return rows.repartition(tasks(rows.sparkSession), "part").sortWithinPartitions("part").mapInArrow(run, "doc_id long, a long, b long")
 
 
 def removed(docs: DataFrame, length: int, keep_text: bool) -> DataFrame:
@@ -344,7 +378,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, keep_text:
     counts, once. Other columns are not carried. An empty table gives an empty result.
     """
     docs = keyed(docs, "doc_id", "text", "string")
-    parts = 16 * tasks(docs.sparkSession)
+    parts = 2 * tasks(docs.sparkSession)  # each task sends a row to each part, so their number must stay near that of the tasks
     told = stored(dictionary(phrases(docs, parts, length, k), parts, length))
     ask = told.where(F.col("kind") != REMOVE).groupBy("doc_id").agg(F.collect_list(F.struct("kind", "a", "b", "trigger")).alias("spans"))
     strings = sorted_suffixes(compared(docs.join(ask, "doc_id").select("doc_id", "text", "spans"), parts, length), parts, length)
