@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +55,19 @@ class MultiIndex:
         self.codes, self.words = codes, np.ascontiguousarray(codes).view(np.uint64)
         self.order = np.argsort(codes, axis=0, kind="stable").astype(np.int32)
         self.starts = [np.searchsorted(codes[self.order[:, j], j], np.arange(257)) for j in range(codes.shape[1])]
+        self.probed: dict[tuple[int, int, int], np.ndarray] = {}
+
+    def distances(self, code: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.words ^ code.view(np.uint64)).sum(axis=1, dtype=np.int32)
+
+    def probe(self, table: int, value: int, reach: int) -> np.ndarray:
+        """Places of the codes whose byte is up to `reach` bits from value; queries share what was looked up."""
+        found = self.probed.get((table, value, reach))
+        if found is None:
+            start = self.starts[table]
+            found = np.concatenate([self.order[start[v] : start[v + 1], table] for v in np.flatnonzero(NEAR[value] <= reach)])
+            self.probed[table, value, reach] = found
+        return found
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Places of the codes at that distance at most, in order."""
@@ -60,9 +75,8 @@ class MultiIndex:
         if reach >= 4:  # more than half of every table
             hit[:] = True
         else:
-            for j, start in enumerate(self.starts):
-                for value in np.flatnonzero(NEAR[code[j]] <= reach):
-                    hit[self.order[start[value] : start[value + 1], j]] = True
+            for j, value in enumerate(code.tolist()):
+                hit[self.probe(j, value, reach)] = True
         at = np.flatnonzero(hit)
         words = self.words if len(at) == len(hit) else self.words[at]
         far = np.bitwise_count(words ^ code.view(np.uint64)).sum(axis=1, dtype=np.int32)
@@ -74,27 +88,29 @@ def dot(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.einsum("ij,j->i", x, y)
 
 
-def probe(q_ids, queries, ids, candidates, codes: Codes, radius: int, k: int):
+def probe(q_ids, queries, ids, candidates, codes: Codes, radius: int, k: int, rows: int):
+    """rows: how many there are in all blocks. A block with less than its share of k + 1 codes within the
+    radius takes the least radius that has them, so the blocks together always give k."""
     index, asked = MultiIndex(codes(candidates)), codes(queries, query=True)
+    share = min(len(ids), math.ceil((k + 1) * len(ids) / max(1, rows)))
     for i in range(len(q_ids)):
-        reach = radius
-        at = index.within(asked[i], reach)
-        while len(at) < min(k + 1, len(ids)):
-            reach += 4
-            at = index.within(asked[i], reach)
+        at = index.within(asked[i], radius)
+        if len(at) < share:
+            far = index.distances(asked[i])
+            at = np.flatnonzero(far <= np.partition(far, share - 1)[share - 1])
         score = dot(candidates[at], queries[i])
         first = ties(score, k + 1)
         yield i, at[first], score[first]
 
 
-def learned(df: DataFrame, k: int, sample_rows: int, bits: int, keep: float) -> tuple[Codes, int]:
-    """Codes and radius, from about sample_rows vectors taken by a hash of vec_id. The radius holds a
+def learned(df: DataFrame, k: int, sample_rows: int, bits: int, keep: float) -> tuple[Codes, int, int]:
+    """Codes, radius and the number of rows of the commonest length, from about sample_rows vectors taken by a hash of vec_id. The radius holds a
     share `keep` of the sample's own nearest rows, as many of them as k is in the whole table."""
     n, norm = df.agg(F.count("*"), F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)))).first()
     share = min(1.0, sample_rows / max(1, n))
     common = df.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if common is None:
-        return Codes(np.zeros((0, 1)), 1.0, bits), 0
+        return Codes(np.zeros((0, 1)), 1.0, bits), 0, 0
     rows = df.where((F.size("embedding") == common["d"]) & (F.pmod(F.xxhash64("vec_id", F.lit(6)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)).limit(2 * sample_rows).collect()
     x = np.array([r["embedding"] for r in sorted(rows, key=lambda r: r["vec_id"])])
     x = x if len(x) else np.zeros((0, common["d"]))
@@ -102,20 +118,20 @@ def learned(df: DataFrame, k: int, sample_rows: int, bits: int, keep: float) ->
     near = min(max(1, round(k * share)), max(1, len(x) - 1))
     asked = x[: 256]
     if len(x) < 2:
-        return codes, 0
+        return codes, 0, common["count"]
     scores = asked @ x.T
     scores[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
     best_of = np.argsort(-scores, axis=1)[:, :near]
     a, b = codes(asked, query=True).view(np.uint64), codes(x).view(np.uint64)
     far = np.bitwise_count(a[:, None, :] ^ b[best_of]).sum(axis=2)
-    return codes, int(np.quantile(far, keep))
+    return codes, int(np.quantile(far, keep)), common["count"]
 
 
 def ann_topk(df: DataFrame, is_query=None, k: int = 20, sample_rows: int = 4096, bits: int = 128, keep: float = 0.98) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest found by inner product in double
     precision, ties to the smaller vec_id. Every vector is indexed; codes and radius are learned on
-    about sample_rows of them. Where a block has too few codes within the radius it grows, so k rows
-    (or all, if fewer) always come back.
+    about sample_rows of them. Where too few codes are within the radius it grows, so k rows (or all, if
+    fewer) always come back.
 
     Null, empty and zero vectors and those with null or non-finite components take no part, nor do
     rows without vec_id. Of a repeated vec_id the largest vector counts. Vectors of a rarer length
@@ -123,12 +139,12 @@ def ann_topk(df: DataFrame, is_query=None, k: int = 20, sample_rows: int = 4096,
     """
     is_query = F.col("vec_id") % 20 == 0 if is_query is None else is_query
     df = usable(df, nonzero=True)
-    codes, radius = learned(df, k, sample_rows, bits, keep)
+    codes, radius, rows = learned(df, k, sample_rows, bits, keep)
     dim = codes.turn.shape[0] - 1
 
     def search(q_ids, queries, ids, candidates):
         if candidates.shape[1] == dim:
-            yield from probe(q_ids, queries, ids, candidates, codes, radius, k)
+            yield from probe(q_ids, queries, ids, candidates, codes, radius, k, rows)
             return
         for i in range(len(q_ids)):
             yield i, np.arange(len(ids)), dot(candidates, queries[i])
