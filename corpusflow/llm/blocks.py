@@ -18,7 +18,7 @@ CANDIDATES, QUERIES = 8192, 1024
 
 def usable(df: DataFrame, nonzero: bool) -> DataFrame:
     """(vec_id, embedding array<double>): vectors that are null, empty or hold null or non-finite components go."""
-    df = keyed(df, "vec_id", "embedding", "array<double>", "max")
+    df = keyed(df, "vec_id", "embedding", "array<double>")
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     keep = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~bad
     if nonzero:

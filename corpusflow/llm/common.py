@@ -2,8 +2,9 @@
 
 Conventions that hold for every operator here: each selects the columns it needs first, so extra
 columns (also ones that clash with its own names) never reach it; rows whose key is null have no
-identity and take no part; a key that repeats stands for one record, that of the smallest text
-(nulls first) or the largest vector, so the result has one row for each key.
+identity and take no part, unless identified() gave them one; of documents only equal rows of
+(doc_id, text) are one record, other texts of a doc_id get a row key; of vectors the largest counts.
+The result has one row for each key.
 """
 
 from __future__ import annotations
@@ -49,16 +50,47 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def keyed(df: DataFrame, key: str, value: str, cast: str, pick: str = "min") -> DataFrame:
-    """(key, value) with non-null, distinct keys. Only where keys repeat is anything shuffled."""
+#: Row keys lie from here on, above the doc_ids of the tables.
+ROW_KEYS = 1 << 62
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """docs with a distinct, non-null doc_id (a long) for each distinct (doc_id, text); equal rows of the
+    two become one.
+
+    Of the texts of a doc_id one keeps it, a real text before null, by least hash; each other one, and
+    each text without doc_id, gets ROW_KEYS + 62 bits of a hash of (doc_id, text), so it is the same
+    in every run. Rows meet by key and text, never by key alone, so a key that holds many rows lies
+    in no one task; only where keys repeat or are null is anything shuffled and stored.
+    """
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows, n, distinct = docs.agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id")).first()
+    if rows == n == distinct:
+        return docs
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    pick = F.min_by(whole, F.xxhash64(*[F.col(f"`{c}`") for c in others])) if others else F.first(whole)
+    one = docs.groupBy(F.col("doc_id").alias("__id"), F.col("text").alias("__text")).agg(pick.alias("__row"))
+    one = stored(one.select("__id", F.col("__text").isNull().alias("__null"), F.xxhash64("__text", F.lit("row")).alias("__h"), "__row"))
+    keeps = one.where("__id IS NOT NULL").groupBy("__id").agg(F.min(F.struct("__null", "__h")).alias("m"))
+    keeps = keeps.select("__id", F.col("m.__null").alias("__null"), F.col("m.__h").alias("__h"), F.lit(True).alias("__keeps"))
+    own = F.lit(ROW_KEYS) + F.pmod(F.xxhash64("__row.doc_id", F.col("__row.doc_id").isNull(), "__row.text", "__null"), F.lit(ROW_KEYS))
+    key = F.when(F.col("__keeps"), F.col("__id")).otherwise(own)
+    out = one.join(keeps, ["__id", "__null", "__h"], "left")
+    return stored(out.select(*[key.alias(c) if c == "doc_id" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns]))
+
+
+def keyed(df: DataFrame, key: str, value: str, cast: str) -> DataFrame:
+    """(key, value) with non-null, distinct keys, of repeated ones the largest value. Only where keys
+    repeat is anything shuffled."""
     df = df.select(F.col(key).cast("long").alias(key), F.col(value).cast(cast).alias(value)).where(F.col(key).isNotNull())
     n, distinct = df.agg(F.count(key), F.count_distinct(key)).first()
-    if n == distinct:
-        return df
-    if pick == "max":
-        return df.groupBy(key).agg(F.max(value).alias(value))
-    least = F.min(F.struct(F.col(value).isNotNull().alias("there"), F.col(value).alias("v")))
-    return df.groupBy(key).agg(least.alias("m")).select(key, F.col("m.v").alias(value))
+    return df if n == distinct else df.groupBy(key).agg(F.max(value).alias(value))
+
+
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of the rows with a doc_id, identified."""
+    return identified(docs.select("doc_id", F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL"))
 
 
 def tasks(spark: SparkSession) -> int:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import MASK, Rolling, forget, groups, keyed, mix, slices, stored, tasks, text_buffer
+from corpusflow.llm.common import MASK, Rolling, forget, groups, identified, keyed_texts, mix, slices, stored, tasks, text_buffer
 from corpusflow.llm.graph import components
 
 #: 32 bands of 8: at a similarity of 0.85 a pair meets in some band but for 4 in 100,000.
@@ -195,11 +195,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataF
     lower case (A-Z). The set of a text: its distinct runs of `words` words; with fewer words, the
     whole sequence. Two texts are linked if 100 * |intersection| >= percent * |union|. component_id is
     the smallest doc_id reachable over links; kept marks it. A null or blank text has an empty set and
-    is linked with nothing. Rows without doc_id take no part; of a repeated doc_id the smallest text
-    counts, once. Other columns are not carried. An empty table gives an empty result.
+    is linked with nothing. Rows without doc_id take no part;
+    of a repeated doc_id each distinct text counts, under the key identified() gives it. Other columns are not carried. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    docs = keyed(docs, "doc_id", "text", "string")
+    docs = keyed_texts(docs)
     sketch = stored(sketched(docs, words))
     filled = sketch.where("n_shingles > 0")
     same = ["n_shingles", "k1", "k2"]
@@ -253,7 +253,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataF
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(identified(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
 
 
 SQL: dict[str, str] = {}

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import groups, keyed, tasks
+from corpusflow.llm.common import groups, identified, keyed_texts, tasks
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 #: Documents packed together; more would hardly fill bins better, and a task holds one group at a time.
@@ -74,9 +74,9 @@ def best_fit(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, overhead:
     Tokens are words unless a column over `text` says otherwise. A document longer than the largest
     capacity is cut into pieces of that length and a rest, numbered from 0. A document without tokens
     (null or blank text) needs no room: piece 0, 0 tokens, null bin. Rows without doc_id take no part;
-    of a repeated doc_id the smallest text counts, once. Other columns are not carried.
+    of a repeated doc_id each distinct text counts, under the key identified() gives it. Other columns are not carried.
     """
-    docs = keyed(docs, "doc_id", "text", "string")
+    docs = keyed_texts(docs)
     parts = max(1, math.ceil(docs.count() / group_rows))
     count = F.coalesce(word_count(F.col("text")) if tokens is None else tokens, F.lit(0)).cast("long")
     rows = docs.select(F.pmod(F.xxhash64("doc_id", F.lit("pack")), F.lit(parts)).alias("grp"), "doc_id", count.alias("n"))
@@ -102,7 +102,7 @@ def best_fit(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, overhead:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return best_fit(identified(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
 
 
 SQL: dict[str, str] = {}

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import Rolling, keyed, mix, slices, stored, tasks, text_buffer
+from corpusflow.llm.common import Rolling, identified, keyed_texts, mix, slices, stored, tasks, text_buffer
 
 LENGTH, K = 100, 32
 SLICE = 2 << 20
@@ -374,10 +374,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, keep_text:
 
     Texts are UTF-8 bytes; a null text is empty; strings never cross documents. kept_text leaves out
     the bytes of characters that were cut in two. Phrases and strings are compared by 32 + 64 bits of
-    hash within one trigger. Rows without doc_id take no part; of a repeated doc_id the smallest text
-    counts, once. Other columns are not carried. An empty table gives an empty result.
+    hash within one trigger. Rows without doc_id take no part;
+    of a repeated doc_id each distinct text counts, under the key identified() gives it. Other columns are not carried. An empty table gives an empty result.
     """
-    docs = keyed(docs, "doc_id", "text", "string")
+    docs = keyed_texts(docs)
     parts = 2 * tasks(docs.sparkSession)  # each task sends a row to each part, so their number must stay near that of the tasks
     told = stored(dictionary(phrases(docs, parts, length, k), parts, length))
     ask = told.where(F.col("kind") != REMOVE).groupBy("doc_id").agg(F.collect_list(F.struct("kind", "a", "b", "trigger")).alias("spans"))
@@ -388,7 +388,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, keep_text:
 
 
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return remove_repeats(identified(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
 
 
 SQL: dict[str, str] = {}
