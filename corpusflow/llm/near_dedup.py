@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from corpusflow.llm.common import MASK, Rolling, forget, groups, identified, keyed_texts, mix, slices, stored, tasks, text_buffer
 from corpusflow.llm.graph import components
 
-#: 32 bands of 8: at a similarity of 0.85 a pair meets in some band but for 4 in 100,000.
-BANDS, ROWS = 32, 8
-T = BANDS * ROWS
+#: 42 bands of 6: at a similarity of 0.80 a pair meets in some band but for 3 in 1,000,000.
+BANDS, ROWS = 42, 6
+#: Places of a sketch, a power of two; the bands leave out the last ones.
+T = 256
 #: Members of a group that one cell compares, and pivots they are compared with there.
 CHUNK = 512
 #: Each round takes so many times the pivots of the one before.
@@ -91,7 +92,7 @@ def sketches(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def bands(sketch: np.ndarray) -> np.ndarray:
     """(texts, BANDS) keys: equal where all coordinates of the band are."""
-    parts = sketch.reshape(len(sketch), BANDS, ROWS)
+    parts = sketch[:, : BANDS * ROWS].reshape(len(sketch), BANDS, ROWS)
     key = np.zeros(parts.shape[:2], np.uint64)
     for j in range(ROWS):
         key += mix(parts[:, :, j] + np.uint64(j)) * _WEIGHTS[j]
@@ -188,7 +189,7 @@ def verified(members: DataFrame, words: int, percent: int, parts: int) -> DataFr
     return members.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every document of docs(doc_id, text).
 
     Words are runs of bytes other than blank, tab, line feed, vertical tab, form feed and return, in
@@ -253,7 +254,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataF
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(identified(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
+    return near_duplicates(identified(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), percent=85)
 
 
 SQL: dict[str, str] = {}
