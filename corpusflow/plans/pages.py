@@ -85,8 +85,8 @@ def source_hash_dedupe(spark, sf_dir):
 
 
 def retrieval_text(spark, sf_dir):
-    rows = blocks(spark, sf_dir).where("pos < 3")
-    path = F.when(F.col("pos") == 2, F.array().cast("array<string>")).otherwise(F.col("path"))
+    rows = blocks(spark, sf_dir)
+    path = F.when(F.col("pos") % 3 == 2, F.array().cast("array<string>")).otherwise(F.col("path"))
     return rows.select("doc_id", "pos", F.sha2(text.retrieval_text(F.col("content"), path), 256).alias("digest"), text.section_heading(path, F.lit("T")).alias("heading"))
 
 

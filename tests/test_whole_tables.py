@@ -34,3 +34,9 @@ def test_search_takes_every_fiftieth_row(spark):
     for r in gated:
         others = [s for i, s in got[r["query_id"]] if i != r["query_id"]]
         assert (r["candidates"], r["top"]) == (len(others), max(others))
+
+
+def test_retrieval_text_takes_every_line(spark):
+    want = {(d["doc_id"], i) for d in table("documents") if d["text"] is not None for i in range(d["text"].count("\n") + 1)}
+    got = [(r["doc_id"], r["pos"]) for r in PAGES["retrieval_text"](spark, SF).collect()]
+    assert max(i for _, i in want) > 2 and len(got) == len(want) and set(got) == want
