@@ -122,7 +122,7 @@ def _answers(spark, sf_dir):
 
 def resolve_citations(spark, sf_dir):
     rows = _answers(spark, sf_dir)
-    shared = chunks(spark, sf_dir).where("rank < 40").select((F.col("query_id")).alias("slot"), "rank", "source_url")
+    shared = answer.within_budget(chunks(spark, sf_dir)).select(F.col("query_id").alias("slot"), "rank", "source_url")
     usable = rows.select("query_id", (F.col("conv_id") % 6).alias("slot")).join(shared, "slot")
     return answer.resolve_citations(rows.select("query_id", "answer"), usable).select("query_id", F.array_join("sources", ",").alias("sources"))
 

@@ -40,3 +40,27 @@ def test_retrieval_text_takes_every_line(spark):
     want = {(d["doc_id"], i) for d in table("documents") if d["text"] is not None for i in range(d["text"].count("\n") + 1)}
     got = [(r["doc_id"], r["pos"]) for r in PAGES["retrieval_text"](spark, SF).collect()]
     assert max(i for _, i in want) > 2 and len(got) == len(want) and set(got) == want
+
+
+def budgeted():
+    """Urls by query_id of the chunks within the budget, from all documents."""
+    used, out = {}, {}
+    for d in sorted(table("documents"), key=lambda d: d["doc_id"]):
+        q = d["doc_id"] % 5
+        if d["text"] is not None:
+            used[q] = used.get(q, 0) - (-len(d["text"]) // 4)
+            if used[q] <= 4000:
+                out.setdefault(q, []).append("" if d["doc_id"] % 7 == 0 else f"https://e.com/{d['doc_id'] % 50}")
+    return out
+
+
+def test_citations_resolve_over_the_budgeted_chunks_of_all_documents(spark):
+    usable, got = budgeted(), {r["query_id"]: r["sources"] for r in QUESTIONS["resolve_citations"](spark, SF).collect()}
+    seen = 0
+    for r in table("conversations"):
+        if r["turn"] % 4 == 0 and r["text"] is not None and "[" not in r["text"]:
+            urls = usable.get(r["conv_id"] % 6, [])
+            cited = [urls[i - 1] for i in (2, 1, 2, 99) if i <= len(urls)]
+            assert got[r["conv_id"] * 100 + r["turn"]] == ",".join(dict.fromkeys(u for u in cited if u))
+            seen += 1
+    assert seen and set(map(len, usable.values())) != {8}
