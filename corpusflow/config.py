@@ -46,13 +46,13 @@ class CrawlConfig:
     allowed_domains: tuple[str, ...] = ()
     user_agent: str = "corpusflow/1.0"
     max_depth: int = 5
-    max_pages: int = 800
+    max_pages: int | None = 800
     timeout_s: float = 25.0
     retries: int = 3
     skip_extensions: tuple[str, ...] = SKIP_EXTENSIONS
 
     def __post_init__(self) -> None:
-        _positive(max_pages=self.max_pages, timeout_s=self.timeout_s)
+        _positive(max_pages=1 if self.max_pages is None else self.max_pages, timeout_s=self.timeout_s)
 
 
 @dataclass(frozen=True)

@@ -78,15 +78,20 @@ def is_html(column: str):
     return c.contains("text/html") | c.contains("application/xhtml") | (c == "")
 
 
-def crawl(web: DataFrame, rules: DataFrame, config: CrawlConfig) -> DataFrame:
+def crawl(web: DataFrame, rules: DataFrame, config: CrawlConfig, seeds: DataFrame | None = None) -> DataFrame:
     """Outcomes of all urls reached from the seeds in web(url, html, statusCode, contentType, links), at
-    most max_pages of them fetched, in order of depth and url. Only fetched pages are expanded."""
+    most max_pages of them fetched (None: all), in order of depth and url. Only fetched pages are
+    expanded. seeds(url), where given, stand for those of config."""
     spark = web.sparkSession
-    seeds = spark.createDataFrame([(s,) for s in config.seeds], "url string").select(urls.normalize(F.col("url")).alias("url")).where("url IS NOT NULL")
+    if seeds is None:
+        seeds = spark.createDataFrame([(s,) for s in config.seeds], "url string")
+    seeds = seeds.select(urls.normalize(F.col("url")).alias("url")).where("url IS NOT NULL")
     known = outcomes(web.withColumn("depth", F.lit(0)), rules, config).drop("depth")
     graph = links(known.where("outcome = 'fetched'").select("url", "links"))
     seen = reachable(graph, seeds, config.max_depth, lambda u: urls.in_domains(u, config.allowed_domains))
     rows = outcomes(seen.join(web, "url", "left"), rules, config).drop("links")
+    if config.max_pages is None:
+        return rows
     kept = rows.where("outcome = 'fetched'").orderBy("depth", "url").limit(config.max_pages)
     return kept.unionByName(rows.where("outcome <> 'fetched'"))
 

@@ -167,15 +167,14 @@ def crawl_bfs(spark, sf_dir):
 
 
 def crawl_outcomes(spark, sf_dir):
-    """A crawl of the pages themselves; the first ten by url are the seeds."""
+    """A crawl of the pages themselves: every url is a seed, all hosts are allowed and no page bound is set."""
     checkpoints(spark)
     from corpusflow.config import CrawlConfig
 
     pages = web(spark, sf_dir)
-    seeds = [r[0] for r in pages.select("url").orderBy("url").limit(10).collect()]
-    hosts = tuple(r[0] for r in pages.select(urls.host(F.col("url")).alias("h")).distinct().orderBy("h").limit(100).collect())
+    hosts = tuple(r[0] for r in pages.select(urls.host(F.col("url")).alias("h")).distinct().orderBy("h").collect())
     rules = crawl.robots_rules(_robots(spark), "corpusflow/1.0")
-    return crawl.crawl(pages, rules, CrawlConfig(seeds=tuple(seeds), allowed_domains=hosts)).select("url", "depth", "outcome")
+    return crawl.crawl(pages, rules, CrawlConfig(allowed_domains=hosts, max_pages=None), pages.select("url")).select("url", "depth", "outcome")
 
 
 _U = r"^(?i)(https?)://([^/?#]+)([^?#]*)(\?[^#]*)?"

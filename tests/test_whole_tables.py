@@ -64,3 +64,10 @@ def test_citations_resolve_over_the_budgeted_chunks_of_all_documents(spark):
             assert got[r["conv_id"] * 100 + r["turn"]] == ",".join(dict.fromkeys(u for u in cited if u))
             seen += 1
     assert seen and set(map(len, usable.values())) != {8}
+
+
+def test_crawl_judges_every_page(spark):
+    norm = {r["norm"] for r in PAGES["url_normalize"](spark, SF).collect()} - {None}
+    got = PAGES["crawl_outcomes"](spark, SF).collect()
+    assert len({r["url"] for r in got}) == len(got) and {r["url"] for r in got if r["depth"] == 0} == norm
+    assert {r["outcome"] for r in got if r["depth"] == 0} <= {"fetched", "robots"}
