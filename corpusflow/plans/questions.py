@@ -101,17 +101,24 @@ def build_context_once(spark, sf_dir):
     return answer.context_once(answer.within_budget(chunks(spark, sf_dir)))
 
 
+def _asked_contexts(spark, sf_dir):
+    """Contexts of all questions: question q gets that of slot q % 6; there are five, so a sixth get none."""
+    slots = _questions(spark, sf_dir).select("query_id", F.pmod("query_id", F.lit(6)).alias("slot"))
+    return slots.join(build_context(spark, sf_dir).withColumnRenamed("query_id", "slot"), "slot").select("query_id", "context")
+
+
 def build_prompt(spark, sf_dir):
     checkpoints(spark)
-    asked = spark.range(6).select(F.col("id").alias("query_id"), F.lit("what is it").alias("query"), (F.col("id") % 2 == 0).alias("confident"), F.element_at(F.array(F.lit("en"), F.lit("ur"), F.lit("zz")), (F.col("id") % 3 + 1).cast("int")).alias("language"))
-    rows = answer.prompts(asked, build_context(spark, sf_dir))
+    q = F.col("query_id")
+    asked = _questions(spark, sf_dir).select("query_id", "query", (q % 2 == 0).alias("confident"), F.element_at(F.array(F.lit("en"), F.lit("ur"), F.lit("zz")), (q % 3 + 1).cast("int")).alias("language"))
+    rows = answer.prompts(asked, _asked_contexts(spark, sf_dir))
     return rows.select("query_id", "system", F.sha2("user", 256).alias("user_digest"), F.col("temperature").cast("double").alias("temperature"), "max_tokens")
 
 
 def generate(spark, sf_dir):
     checkpoints(spark)
-    asked = spark.range(6).select(F.col("id").alias("query_id"), F.lit("what is it").alias("query"), F.lit(True).alias("confident"), F.lit("en").alias("language"))
-    return answer.generate(answer.prompts(asked, build_context(spark, sf_dir)), lambda system, user: f"{len(user)} characters [1]")
+    asked = _questions(spark, sf_dir).select("query_id", "query", F.lit(True).alias("confident"), F.lit("en").alias("language"))
+    return answer.generate(answer.prompts(asked, _asked_contexts(spark, sf_dir)), lambda system, user: f"{len(user)} characters [1]")
 
 
 def _answers(spark, sf_dir):

@@ -71,3 +71,17 @@ def test_crawl_judges_every_page(spark):
     got = PAGES["crawl_outcomes"](spark, SF).collect()
     assert len({r["url"] for r in got}) == len(got) and {r["url"] for r in got if r["depth"] == 0} == norm
     assert {r["outcome"] for r in got if r["depth"] == 0} <= {"fetched", "robots"}
+
+
+def test_prompts_and_answers_for_every_question(spark):
+    asked = {r["conv_id"]: r["query"] for r in QUESTIONS["last_user_message"](spark, SF).collect()}
+    got = {r["query_id"]: r for r in QUESTIONS["build_prompt"](spark, SF).collect()}
+    assert len(asked) > 6 and set(got) == set(asked)
+    bare = [q for q in got if q % 6 == 5]
+    assert bare and len({got[q]["user_digest"] for q in bare}) == len({asked[q] for q in bare})
+    assert all((got[q]["temperature"] == got[0]["temperature"]) == (q % 2 == 0) for q in got) if 0 in got else True
+    answers = {r["query_id"]: r["answer"] for r in QUESTIONS["generate"](spark, SF).collect()}
+    assert set(answers) == set(asked)
+    for q in bare:
+        if asked[q] is not None:
+            assert answers[q] == f"{len('No context documents were retrieved for this question.') + len('Question: ') + 2 + len(asked[q])} characters [1]"
