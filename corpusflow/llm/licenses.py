@@ -48,6 +48,24 @@ Unless required by applicable law or agreed to in writing, software distributed
     "CC-BY-4.0": ["Licensed under CC BY 4.0."],
 }
 
+#: Digests of entire texts, as Debian ships them in /usr/share/common-licenses (BSD: the Regents' text).
+WHOLE = {
+    "Apache-2.0": "ff7be961361eda3cd2a76927dd0d9482cf45defafde2045befedf77400d98100",
+    "Artistic-1.0-Perl": "ddb49d591ecc4f65a223b9f53f330918100c323532a653c090d21b38e35a3a42",
+    "BSD-3-Clause": "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651",
+    "CC0-1.0": "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+    "GFDL-1.2": "19d29a7c800a0d85704b63b4c09d5cd01dd9a287c61e238f4717d8a9e75d214f",
+    "GFDL-1.3": "e70f40f3a50995855f972521fe4eaa4af360a4597e5914977b6093cce5243480",
+    "GPL-1.0": "9e12a40a9b22c45d116f19e1746b08ea0b853519de3e03ceb780f2a36d5f388c",
+    "GPL-2.0": "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1",
+    "GPL-3.0": "59a779feaae4de539260be3c8adb19c287a771586d211e12d93932777da37349",
+    "LGPL-2.0": "b4114daa3dfa52e27e78b2c4e17acd58bf4381e812762f4ded0bcb8eabd1092c",
+    "LGPL-2.1": "294fb9ec58649c7eb0cf90fc2900ac1b28b82fb6da9d40d7599d6b7d399d4d2e",
+    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-1.1": "fcb579371133afd771fed87cd5d8c6dc5648746c9945d4adf08ec5c79aba5c61",
+    "MPL-2.0": "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9",
+}
+
 #: Words that licence guidelines treat as the same.
 SPELLINGS = {
     "licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense", "acknowledgement": "acknowledgment", "acknowledgements": "acknowledgments",
@@ -83,14 +101,18 @@ def known_digests(spark: SparkSession, known: dict[str, list[str]]) -> DataFrame
 
 def scan_licenses(docs: DataFrame, known: dict[str, list[str]] | None = None) -> DataFrame:
     """(doc_id, digest, license_id, is_license) for every row of docs(doc_id, text): the licence whose
-    canonical text the whole text is, else null.
+    canonical text the whole text is, else null. Without `known`, the texts of KNOWN and WHOLE count.
 
     A null text has a null digest; a text without words (also one of holder lines only) has the digest
     of the empty string and is no licence. Of two licences with one canonical text the first name
     counts. Repeated rows and ids are each answered; other columns are not carried. The table of known
     digests is a constant of the program, so it may be broadcast.
     """
-    table = known_digests(docs.sparkSession, KNOWN if known is None else known).where(F.col("digest") != F.sha2(F.lit(""), 256))
+    table = known_digests(docs.sparkSession, KNOWN if known is None else known)
+    if known is None:
+        whole = docs.sparkSession.createDataFrame([(d, name) for name, d in WHOLE.items()], table.schema)
+        table = table.unionByName(whole).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    table = table.where(F.col("digest") != F.sha2(F.lit(""), 256))
     rows = docs.select("doc_id", digest(F.col("text")).alias("digest"))
     return rows.join(F.broadcast(table), "digest", "left").select("doc_id", "digest", "license_id", F.col("license_id").isNotNull().alias("is_license"))
 
