@@ -12,6 +12,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +23,13 @@ MASK = (1 << 64) - 1
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one only where the session names none."""
+    """The shared folder of spark.checkpoint.dir. Where the session names none, a temporary folder on
+    local[*], and an error on a cluster: its machines share no temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="corpusflow-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/corpusflow-{spark.sparkContext.applicationId}"
@@ -81,16 +85,30 @@ def identified(docs: DataFrame) -> DataFrame:
 
 
 def keyed(df: DataFrame, key: str, value: str, cast: str) -> DataFrame:
-    """(key, value) with non-null, distinct keys, of repeated ones the largest value. Only where keys
-    repeat is anything shuffled."""
+    """(key, value) with non-null, distinct keys, of repeated ones the largest value. Keys alone are
+    shuffled to see whether they repeat; values only where they do."""
     df = df.select(F.col(key).cast("long").alias(key), F.col(value).cast(cast).alias(value)).where(F.col(key).isNotNull())
     n, distinct = df.agg(F.count(key), F.count_distinct(key)).first()
     return df if n == distinct else df.groupBy(key).agg(F.max(value).alias(value))
 
 
-def keyed_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) of the rows with a doc_id, identified."""
-    return identified(docs.select("doc_id", F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL"))
+def keyed_texts(docs: DataFrame, unique: bool = False) -> DataFrame:
+    """(doc_id, text) of the rows with a doc_id, identified. unique: doc_ids are known to be distinct
+    and not null, as those of identified() are, so they needn't be counted again."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs if unique else identified(docs.where("doc_id IS NOT NULL"))
+
+
+#: Rows of ids that may be broadcast (16 MB).
+SMALL = 2_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs whose doc_id isn't among gone(doc_id). The ids are stored and counted; up to SMALL of them
+    are broadcast, more are met by a shuffle."""
+    ids = stored(gone.select("doc_id").distinct())
+    side = F.broadcast(ids) if ids.count() <= SMALL else ids
+    return docs.join(side, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def tasks(spark: SparkSession) -> int:
@@ -131,8 +149,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_HEADS = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
+#: Bytes of a word that are hashed in steps of eight; a longer word takes a digest.
+LONG_WORD = 256
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges: eight bytes at a time, each mixed in before the next, so no pattern
+    of bytes cancels out as it may in a polynomial."""
+    eights = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    n = ends - starts
+    out = mix(n.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    some = np.arange(len(starts))
+    for at in range(0, LONG_WORD, 8):
+        v = eights[starts[some] + at] & _HEADS[np.minimum(n[some] - at, 8)]
+        out[some] = mix(out[some] ^ v)
+        some = some[n[some] > at + 8]
+        if not len(some):
+            return out
+    for i in some.tolist():
+        out[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(n, 2) halves of 128-bit BLAKE2b digests of byte ranges."""
+    held = memoryview(np.ascontiguousarray(data))
+    found = b"".join([blake2b(held[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    return np.frombuffer(found, np.uint64).reshape(-1, 2)
+
+
 class Rolling:
-    """64-bit polynomial hashes of any byte ranges of one buffer, over random byte codes."""
+    """64-bit polynomial hashes of the windows of one buffer, over random byte codes. They choose
+    places to cut at; nothing is held to be equal because they are."""
 
     BASE = 0x9E3779B97F4A7C15 | 5
     CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -151,9 +200,6 @@ class Rolling:
         codes *= Rolling._up[: n - 1]
         np.cumsum(codes, out=self.sums[1:])
 
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * Rolling._down[start] + (end - start).astype(np.uint64))
-
     def windows(self, k: int) -> np.ndarray:
         """Hashes of the k bytes from each position; empty where the buffer is shorter."""
         n = max(0, len(self.sums) - k)

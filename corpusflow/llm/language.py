@@ -7,13 +7,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.llm.common import text_buffer
 
 BITS = 14
 BUCKETS = 1 << BITS
+#: Bytes of a long text that are looked at together.
+PIECE = 4 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Letters stay (bytes of other scripts count as letters here), all else is a word's edge.
@@ -34,6 +36,21 @@ def subwords(data: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint32)
 
 
+def bucket_counts(data: np.ndarray) -> np.ndarray:
+    """How often each bucket occurs in a text; a long one is taken PIECE bytes at a time, cut at a word's
+    edge, so memory is bounded."""
+    if len(data) <= 2 * PIECE:
+        return np.bincount(subwords(data), minlength=BUCKETS)
+    out, at = np.zeros(BUCKETS, np.int64), 0
+    while at < len(data):
+        end = min(len(data), at + PIECE)
+        while end < len(data) and end < at + 2 * PIECE and _FOLD[data[end]] != 32:
+            end += 1
+        out += np.bincount(subwords(data[at:end]), minlength=BUCKETS)
+        at = end
+    return out
+
+
 @dataclass
 class Model:
     """table is embeddings times weights: a text's logits are the mean of its subwords' rows plus bias."""
@@ -45,7 +62,7 @@ class Model:
     reject_below: float
 
     def __call__(self, data: np.ndarray) -> tuple[str, float]:
-        counts = np.bincount(subwords(data), minlength=BUCKETS)
+        counts = bucket_counts(data)
         z = (counts @ self.table / max(1, counts.sum()) + self.bias) / self.temperature
         p = np.exp(z - z.max())
         best = int(p.argmax())
@@ -94,7 +111,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epochs:
     return Model(names, (emb @ w).astype(np.float64), bias.astype(np.float64), temperature, below)
 
 
-def held_out() -> F.Column:
+def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(True))
 
 
@@ -115,7 +132,7 @@ def sampled(docs: DataFrame, sample_rows: int) -> list[tuple[str, np.ndarray, np
             data, offsets = text_buffer(batch.column("text"))
             ids, langs, at, how = [], [], [], []
             for i, (doc, lang) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist(), strict=True)):
-                c = np.bincount(subwords(data[offsets[i] : offsets[i + 1]]), minlength=BUCKETS)
+                c = bucket_counts(data[offsets[i] : offsets[i + 1]])
                 if c.any():
                     ids.append(doc)
                     langs.append(lang)
@@ -167,6 +184,19 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
+def accepted(text: Column, model: Model) -> Column:
+    """Whether a text's language is told with a calibrated score that isn't under the model's threshold;
+    false for a null text and one without a letter. A column of the same row: nothing is joined."""
+
+    @F.arrow_udf("boolean")
+    def judge(texts: pa.Array) -> pa.Array:
+        data, offsets = text_buffer(texts)
+        whole = (data[offsets[i] : offsets[i + 1]] for i in range(len(texts)))
+        return pa.array([lettered(t) and model(t)[1] >= model.reject_below for t in whole], pa.bool_())
+
+    return judge(text)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return identify(docs, learn(docs))

@@ -3,15 +3,22 @@
 The corpus is parsed into phrases at rolling-hash triggers: of the k-grams in each 100-byte string the
 one with the smallest hash is its trigger, and the strings that follow one another and share a trigger
 make a phrase. A string's trigger depends on its content alone, so equal strings meet at equal
-triggers. Phrases form a dictionary; only a phrase's first place in the corpus stays, all its later
-places repeat. What is left are strings shared by different phrases of one trigger: the suffixes of
-those phrases are sorted with the order of the parse (doc_id, position) as the last key, and of each
-run of equal 100-byte prefixes all but the first repeat.
+triggers, at one distance from it. Distinct phrases form the dictionary; of a phrase only its first
+place in the parse stays, all later places repeat.
+
+What is left are strings shared by different phrases of the dictionary. Its suffixes at the triggers
+are sorted by their bytes, and so are the reversed bytes before the triggers, each order with the
+lengths of common prefixes between neighbours. A string whose trigger is r bytes in is a class of the
+first order at depth r and one of the second at depth 100 - r: strings are equal just where both are.
+Phrases are numbered in the order of the parse (doc_id, position), so of each pair of classes the
+first number is the first place in the corpus, and all others repeat. Phrases overlap by 99 bytes, so
+every string lies within one phrase and what follows in the parse needn't be sorted.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,19 +26,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import Rolling, identified, keyed_texts, mix, slices, stored, tasks, text_buffer
+from corpusflow.llm.common import Rolling, digests, identified, keyed_texts, mix, slices, stored, tasks, text_buffer
 
 LENGTH, K = 100, 32
 SLICE = 2 << 20
+#: Bytes of text to each task that dictionary and suffixes are dealt to.
+SHARE = 32 << 20
 #: Phrases or strings that a task sorts at a time; rows of one trigger or string stay together.
-AT_ONCE = 1 << 20
-#: Triggers with more phrases than this send single strings on, dealt by content, not whole phrases.
-HOT = 256
-PHRASE = np.dtype([("trigger", "<u4"), ("phrase", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("more", "<u2")])
-#: Of a phrase or string that is to be compared: what its strings are keyed by.
-EXACT = np.dtype([("key", "<u8"), ("text", "<u8"), ("doc", "<i8"), ("start", "<i8")])
-PLACED = np.dtype([("trigger", "<i8"), ("doc", "<i8"), ("start", "<i8"), ("size", "<i8"), ("blob", "<i8"), ("at", "<i8")])
+AT_ONCE = 1 << 17
+#: Triggers with so many phrases in one slice are dealt by phrase, not by trigger ...
+LOCAL_HOT = 32
+#: ... and of those with more phrases than this in all, single strings are compared, dealt by content.
+HOT = 4096
+PHRASE = np.dtype([("trigger", "<u4"), ("n1", "<u8"), ("n2", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("more", "<u2"), ("before", "<u2")])
+STRINGS = np.dtype([("n1", "<u8"), ("n2", "<u8"), ("doc", "<i8"), ("start", "<i8")])
+PLACED = np.dtype([("trigger", "<i8"), ("doc", "<i8"), ("start", "<i8"), ("size", "<i8"), ("before", "<i8"), ("blob", "<i8"), ("at", "<i8")])
 MARK = np.dtype([("doc", "<i8"), ("start", "<i8"), ("end", "<i8")])
+#: Kinds of rows: phrases by trigger, triggers that are hot somewhere, phrases of hot triggers; what is
+#: to be compared as phrases and as strings; and what repeats.
+SEGMENT, TOLD, SPREAD, EXPAND, STRING, REMOVE = range(6)
+PACKED = "part int, kind int, data binary"
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -45,26 +59,25 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def parse(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """Phrases of the texts of one buffer: text, first string, last string (places in the buffer),
-    trigger hash and phrase hash."""
-    roll = Rolling(data)
-    grams = roll.windows(k)
+    """Phrases of the texts of one buffer: text, first string, last string and trigger (places in the
+    buffer), and trigger hash."""
+    grams = Rolling(data).windows(k)
     n = len(data) - length + 1
     if n <= 0:
-        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64))
     low = np.uint64((1 << 24) - 1)
     if len(data) > int(low):
         raise ValueError("a buffer holds at most 16 MB")
     least = sliding_min((grams & ~low) | np.arange(len(grams), dtype=np.uint64), length - k + 1)
     at = (least & low).astype(np.int64)
-    text = np.searchsorted(offsets, np.arange(n), "right") - 1
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:n]
     inside = np.arange(n) + length <= offsets[text + 1]
     key = np.where(inside, at, -1)
     cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (text[1:] != text[:-1])])
     last = np.r_[cut[1:], n] - 1
     real = key[cut] >= 0
     first, last = cut[real], last[real]
-    return text[first], first, last, grams[at[first]], roll(first, last + length)
+    return text[first], first, last, at[first], grams[at[first]]
 
 
 def packed(kind: int, parts: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
@@ -81,20 +94,17 @@ def as_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], ["part", "kind", "data"])
 
 
-PACKED = "part int, kind int, data binary"
-
-
-def firsts(rows: np.ndarray, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows in order of keys, doc, start; and which of them are the first of their keys."""
-    rows = rows[np.lexsort([rows["start"], rows["doc"], *(rows[c] for c in reversed(keys))])]
+def firsts(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in order of digest, doc, start; and which of them are the first of their digest."""
+    rows = rows[np.lexsort([rows["start"], rows["doc"], rows["n2"], rows["n1"]])]
     new = np.ones(len(rows), bool)
-    for i, c in enumerate(keys):
-        new[1:] = (rows[c][1:] != rows[c][:-1]) if i == 0 else new[1:] | (rows[c][1:] != rows[c][:-1])
+    new[1:] = (rows["n1"][1:] != rows["n1"][:-1]) | (rows["n2"][1:] != rows["n2"][:-1])
     return rows, new
 
 
 def marks(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """MARK rows, with touching and overlapping runs of a document joined."""
+    doc, start, end = doc.astype(np.int64), start.astype(np.int64), end.astype(np.int64)
     order = np.lexsort([start, doc])
     doc, start, end = doc[order], start[order], end[order]
     out = np.empty(len(doc), MARK)
@@ -110,12 +120,15 @@ def marks(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
-SEGMENT, EXPAND, STRING, REMOVE = 0, 1, 2, 3
+def repeated(again: np.ndarray, length: int) -> np.ndarray:
+    """Marks of the later places of phrases, or of strings."""
+    more = again["more"].astype(np.int64) if "more" in again.dtype.names else 0
+    return marks(again["doc"], again["start"], again["start"].astype(np.int64) + more + length)
 
 
-def shares(rows: np.ndarray, key: str, size: int) -> Iterator[np.ndarray]:
-    """rows in shares of about AT_ONCE by a hash of key; size: what the rows come to once expanded."""
-    n = -(-size // AT_ONCE)
+def shares(rows: np.ndarray, key: str, size: int | None = None) -> Iterator[np.ndarray]:
+    """rows in shares of about AT_ONCE by a hash of key; size: what they count as."""
+    n = -(-(len(rows) if size is None else size) // AT_ONCE)
     if n <= 1:
         yield rows
         return
@@ -124,34 +137,45 @@ def shares(rows: np.ndarray, key: str, size: int) -> Iterator[np.ndarray]:
         yield rows[share == i]
 
 
-def phrases(docs: DataFrame, parts: int, length: int, k: int) -> DataFrame:
-    """The parse, one row a batch and part; a phrase that repeats within the slice is told at once."""
+def dealt(key: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(key.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
+def by_doc(doc: np.ndarray, parts: int) -> np.ndarray:
+    return dealt(doc.astype(np.int64).view(np.uint64), parts)
+
+
+def phrases(docs: DataFrame, parts: int, length: int, k: int, local_hot: int) -> DataFrame:
+    """The parse, one row a slice, part and kind; a phrase that repeats within the slice is told at once.
+    Phrases go to the part of their trigger. A trigger with local_hot distinct phrases in a slice sends
+    them by phrase instead, and word of that to its part: no part holds all phrases of a hot trigger."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
             ids = batch.column("doc_id").to_numpy()
             for piece, rows, shift in pieces(data, offsets, ids, length):
-                text, first, last, trigger, phrase = parse(piece, rows[0], length, k)
+                text, first, last, trigger, value = parse(piece, rows[0], length, k)
                 if not len(text):
                     continue
                 got = np.empty(len(text), PHRASE)
-                got["trigger"], got["phrase"] = trigger >> np.uint64(32), phrase
-                got["doc"], got["start"], got["more"] = rows[1][text], first - rows[0][text] + shift, last - first
-                got, new = firsts(got, ["trigger", "phrase"])
-                again = got[~new]
-                found = marks(again["doc"], again["start"], again["start"] + again["more"] + length)
+                names = digests(piece, first, last + length)
+                got["trigger"], got["n1"], got["n2"] = value >> np.uint64(32), names[:, 0], names[:, 1]
+                got["doc"], got["start"], got["more"], got["before"] = rows[1][text], first - rows[0][text] + shift, last - first, trigger - first
+                got, new = firsts(got)
+                found = repeated(got[~new], length)
                 got = got[new]
-                part = (mix(got["trigger"].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-                yield as_batch([*packed(SEGMENT, part, got), *packed(REMOVE, by_doc(found["doc"], parts), found)])
+                values, index, n = np.unique(got["trigger"], return_inverse=True, return_counts=True)
+                hot = n >= local_hot
+                cold, spread, told = got[~hot[index]], got[hot[index]], values[hot]
+                yield as_batch([
+                    *packed(SEGMENT, dealt(cold["trigger"], parts), cold), *packed(SPREAD, dealt(spread["n1"], parts), spread),
+                    *packed(TOLD, dealt(told, parts), told), *packed(REMOVE, by_doc(found["doc"], parts), found),
+                ])
 
     return docs.mapInArrow(run, PACKED)
 
 
-def by_doc(doc: np.ndarray, parts: int) -> np.ndarray:
-    return (mix(doc.astype(np.int64).view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-
-
 def pieces(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, np.ndarray], int]]:
     """Slices of about SLICE bytes as (bytes, (offsets, doc ids), place of the first byte in its text). A
     longer text comes in slices that overlap by length - 1 bytes: every string lies in just one."""
@@ -165,58 +189,67 @@ def pieces(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, length: int)
             yield data[offsets[lo] + at : offsets[lo] + end], (np.array([0, end - at]), ids[lo:hi]), at
 
 
-def unpacked(batch: pa.RecordBatch, kind: int, dtype: np.dtype) -> np.ndarray:
-    """The rows of one kind, end to end."""
-    keep = np.flatnonzero(batch.column("kind").to_numpy() == kind)
-    return np.frombuffer(b"".join(batch.column("data").take(pa.array(keep)).to_pylist()), dtype)
+def blobs(part: list[pa.RecordBatch], kind: int) -> list[bytes]:
+    """The packed rows of one kind, from every batch of a part."""
+    out: list[bytes] = []
+    for batch in part:
+        keep = np.flatnonzero(batch.column("kind").to_numpy() == kind)
+        out += batch.column("data").take(pa.array(keep)).to_pylist()
+    return out
+
+
+def unpacked(part: list[pa.RecordBatch], kind: int, dtype: np.dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs(part, kind)), dtype)
 
 
-def whole_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One batch a part, of batches sorted by part."""
+def whole_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """All batches of a part, of batches sorted by part."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         part = batch.column("part").to_numpy()
         cuts = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)] if len(part) else np.zeros(1, int)
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             if held and held[0].column("part")[0].as_py() != int(part[lo]):
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                yield held
                 held = []
             held.append(batch.slice(lo, hi - lo))
     if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield held
 
 
-def dictionary(rows: DataFrame, parts: int, length: int) -> DataFrame:
-    """(doc_id, kind, a, b): REMOVE for bytes that lie in a later place of a phrase, EXPAND (or, of a
-    hot trigger, STRING) for the strings of the first place of a phrase whose trigger has others."""
+def dictionary(rows: DataFrame, parts: int, length: int, most: int) -> DataFrame:
+    """(doc_id, kind, a, b, trigger, before): REMOVE for bytes that lie in a later place of a phrase,
+    EXPAND (or, of a hot trigger, STRING) for the first place of a phrase whose trigger has others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in whole_parts(batches):
-            rows = unpacked(batch, SEGMENT, PHRASE)
-            for some in shares(rows, "trigger", len(rows)):
-                yield told(some, np.empty(0, MARK))
-            yield told(rows[:0], unpacked(batch, REMOVE, MARK))
-
-    def told(rows: np.ndarray, gone: np.ndarray) -> pa.RecordBatch:
-        got, new = firsts(rows, ["trigger", "phrase"])
-        again, got = got[~new], got[new]
-        _, index, n = np.unique(got["trigger"], return_inverse=True, return_counts=True)
-        n = n[index] if len(index) else np.zeros(0, int)
-        found = marks(*(np.concatenate(x) for x in zip((again["doc"], again["start"], again["start"] + again["more"] + length), [gone[c] for c in ("doc", "start", "end")], strict=True)))
-        both = got[n > 1]
-        kind = np.where(n[n > 1] > HOT, STRING, EXPAND)
-        return pa.RecordBatch.from_arrays([
-            pa.array(np.concatenate([found["doc"], both["doc"]]), pa.int64()), pa.array(np.concatenate([np.full(len(found), REMOVE), kind]), pa.int32()),
-            pa.array(np.concatenate([found["start"], both["start"]]), pa.int64()), pa.array(np.concatenate([found["end"], both["start"] + both["more"]]), pa.int64()),
-            pa.array(np.concatenate([np.zeros(len(found), np.int64), both["trigger"].astype(np.int64)]), pa.int64()),
-        ], ["doc_id", "kind", "a", "b", "trigger"])
-
-    return rows.repartition(tasks(rows.sparkSession), "part").sortWithinPartitions("part").mapInArrow(run, "doc_id long, kind int, a long, b long, trigger long")
+        for part in whole_parts(batches):
+            told = np.unique(unpacked(part, TOLD, np.dtype("<u4")))
+            for some in shares(unpacked(part, SEGMENT, PHRASE), "trigger"):
+                got, new = firsts(some)
+                again, got = got[~new], got[new]
+                _, index, n = np.unique(got["trigger"], return_inverse=True, return_counts=True)
+                n, hot = n[index] if len(index) else np.zeros(0, int), np.isin(got["trigger"], told)
+                ask = (n > 1) | hot
+                yield answer(repeated(again, length), got[ask], np.where(hot | (n > most), STRING, EXPAND)[ask])
+            for some in shares(unpacked(part, SPREAD, PHRASE), "n1"):
+                got, new = firsts(some)
+                yield answer(repeated(got[~new], length), got[new], np.full(int(new.sum()), STRING))
+            gone = unpacked(part, REMOVE, MARK)
+            yield answer(marks(gone["doc"], gone["start"], gone["end"]), np.empty(0, PHRASE), np.empty(0, int))
+
+    def answer(found: np.ndarray, ask: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+        none = np.zeros(len(found), np.int64)
+        start = ask["start"].astype(np.int64)
+        columns = [(found["doc"], ask["doc"]), (none + REMOVE, kind), (found["start"], start), (found["end"], start + ask["more"]), (none, ask["trigger"]), (none, ask["before"])]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x.astype(np.int64) for x in c]).astype(t.to_pandas_dtype()), t) for c, t in zip(columns, types, strict=True)], ["doc_id", "kind", "a", "b", "trigger", "before"])
+
+    return rows.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "doc_id long, kind int, a long, b long, trigger long, before int")
 
 
 def compared(asked: DataFrame, parts: int, length: int) -> DataFrame:
-    """(part, kind, data) of what is to be compared: for EXPAND phrases their bytes under the trigger,
-    for STRING each string under its content; strings that repeat within a batch only once."""
+    """(part, kind, data) of what is to be compared: EXPAND phrases with their bytes under the trigger,
+    of STRING phrases each string under its content; strings that repeat within a batch only once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,170 +258,188 @@ def compared(asked: DataFrame, parts: int, length: int) -> DataFrame:
             flat = lists.flatten()
             if not len(flat):
                 continue
-            count = np.diff(lists.offsets.to_numpy())
-            row = np.repeat(np.arange(len(ids)), count)
-            kind, a, b, trigger = (flat.field(i).to_numpy() for i in range(4))
+            row = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
+            kind, a, b, trigger, before = (flat.field(i).to_numpy() for i in range(5))
             data, offsets = text_buffer(text)
-            for lo in range(0, len(row), 20_000):
-                part = slice(lo, lo + 20_000)
-                yield from _strings(data, offsets, ids, row[part], kind[part], a[part], b[part], trigger[part])
-
-    def _strings(data, offsets, ids, row, kind, a, b, trigger):
-        out: list[tuple[int, int, bytes]] = []
-        span = (b - a + length).astype(np.int64)
-        begin = offsets[row] + a
-        expand = kind == EXPAND
-        place = (mix(trigger.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-        for i in np.flatnonzero(expand):
-            head = np.array([trigger[i], ids[row[i]], a[i], span[i]], np.int64).tobytes()
-            out.append((int(place[i]), EXPAND, head + data[begin[i] : begin[i] + span[i]].tobytes()))
-        if out:  # join what goes to one part
-            by: dict[int, list[bytes]] = {}
-            for p, _, x in out:
-                by.setdefault(p, []).append(x)
-            yield as_batch([(p, EXPAND, b"".join(xs)) for p, xs in by.items()])
-        hot = np.flatnonzero(~expand)
-        for lo in range(0, len(hot), 2000):
-            some = hot[lo : lo + 2000]
-            n = span[some] - length + 1
-            at = np.repeat(begin[some] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-            got = np.empty(len(at), EXACT)
-            joined = data[(at[:, None] + np.arange(length)).ravel()]
-            roll = Rolling(joined)
-            edges = np.arange(len(at)) * length
-            got["text"], got["key"] = roll(edges, edges + length), np.repeat(trigger[some], n).astype(np.uint64)
-            got["doc"], got["start"] = np.repeat(ids[row[some]], n), at - np.repeat(offsets[row[some]], n)
-            got, new = firsts(got, ["key", "text"])
-            again = got[~new]
-            found = marks(again["doc"], again["start"], again["start"] + length)
-            yield as_batch([*packed(STRING, (got[new]["text"] % np.uint64(parts)).astype(np.int64), got[new]), *packed(REMOVE, by_doc(found["doc"], parts), found)])
+            begin, span = offsets[row] + a, b - a + length
+            expand = kind == EXPAND
+            for at in np.array_split(np.flatnonzero(expand), max(1, -(-int(expand.sum()) // 20_000))):
+                yield whole(data, dealt(trigger[at], parts), np.stack([trigger[at], ids[row[at]], a[at], span[at], before[at]], axis=1), begin[at], span[at])
+            hot = np.flatnonzero(~expand)
+            for lo in range(0, len(hot), 2000):
+                yield single(data, ids[row[hot[lo : lo + 2000]]], a[hot[lo : lo + 2000]], begin[hot[lo : lo + 2000]], span[hot[lo : lo + 2000]] - length + 1)
+
+    def whole(data, part, heads, begin, span):
+        order = np.argsort(part, kind="stable")
+        held, out, said = memoryview(np.ascontiguousarray(data)), {}, heads.astype(np.int64)
+        for i in order.tolist():
+            out.setdefault(int(part[i]), []).extend((said[i].tobytes(), held[begin[i] : begin[i] + span[i]]))
+        return as_batch([(p, EXPAND, b"".join(x)) for p, x in out.items()])
+
+    def single(data, doc, a, begin, n):
+        step = np.arange(n.sum()) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)
+        at = np.repeat(begin, n) + step
+        got = np.empty(len(at), STRINGS)
+        names = digests(data, at, at + length)
+        got["n1"], got["n2"], got["doc"], got["start"] = names[:, 0], names[:, 1], np.repeat(doc, n), np.repeat(a, n) + step
+        got, new = firsts(got)
+        found, got = repeated(got[~new], length), got[new]
+        return as_batch([*packed(STRING, dealt(got["n1"], parts), got), *packed(REMOVE, by_doc(found["doc"], parts), found)])
 
     return asked.mapInArrow(run, PACKED)
 
 
-def sorted_suffixes(rows: DataFrame, parts: int, length: int) -> DataFrame:
-    """(doc_id, kind, a, b) REMOVE rows: of equal strings all but the first in corpus order."""
-
-    def placed(blobs: list[bytes]) -> np.ndarray:
-        """trigger, document, first string and length of each phrase, and where its bytes are."""
-        out = []
-        for i, blob in enumerate(blobs):
-            at = 0
-            while at < len(blob):
-                trigger, doc, start, size = np.frombuffer(blob, np.int64, 4, at).tolist()
-                out.append((trigger, doc, start, size, i, at + 32))
-                at += 32 + size
-        return np.array(out, PLACED)
-
-    def expand(blobs: list[bytes], some: np.ndarray) -> list[np.ndarray]:
-        """Strings of some phrases as EXACT rows: the suffixes of the dictionary, by trigger and then by
-        a 64-bit hash of their first `length` bytes, as only equality of prefixes is asked for."""
-        heads = np.stack([some[c] for c in ("trigger", "doc", "start", "size")], axis=1)
-        texts = [blobs[i][at : at + size] for i, at, size in zip(some["blob"].tolist(), some["at"].tolist(), some["size"].tolist(), strict=True)]
-        out, lo = [], 0
-        while lo < len(heads):
-            hi, size = lo, 0
-            while hi < len(heads) and (hi == lo or size + len(texts[hi]) <= SLICE):
-                size += len(texts[hi])
-                hi += 1
-            roll = Rolling(np.frombuffer(b"".join(texts[lo:hi]), np.uint8))
-            head = heads[lo:hi]
-            n = head[:, 3] - length + 1
-            edge = np.r_[0, np.cumsum(head[:, 3])[:-1]]
-            step = np.arange(n.sum()) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)
-            begin = np.repeat(edge, n) + step
-            got = np.empty(len(begin), EXACT)
-            got["key"], got["text"] = np.repeat(head[:, 0], n).astype(np.uint64), roll(begin, begin + length)
-            got["doc"], got["start"] = np.repeat(head[:, 1], n), np.repeat(head[:, 2], n) + step
-            out.append(got)
-            lo = hi
-        return out
+def placed(texts: list[bytes]) -> np.ndarray:
+    """Head of each phrase, and where its bytes are."""
+    out = []
+    for i, blob in enumerate(texts):
+        at = 0
+        while at < len(blob):
+            head = np.frombuffer(blob, np.int64, 5, at).tolist()
+            out.append((*head, i, at + 40))
+            at += 40 + head[3]
+    return np.array(out, PLACED)
+
+
+def neighbours(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each row of bytes in their order, and in that order the length of the prefix that
+    each shares with the one before (0 for the first)."""
+    order = np.argsort(np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel())
+    inorder = rows[order]
+    same = inorder[1:] == inorder[:-1]
+    common = np.where(same.all(axis=1), rows.shape[1], same.argmin(axis=1))
+    place = np.empty(len(rows), np.int64)
+    place[order] = np.arange(len(rows))
+    return place, np.r_[0, common] if len(rows) else np.zeros(0, int)
+
+
+def later_strings(texts: list[bytes], rows: np.ndarray, length: int, k: int) -> np.ndarray:
+    """Marks of the strings of some phrases (PLACED, all phrases of each trigger) that also start earlier
+    in the corpus, within one of these phrases."""
+    rows = rows[np.lexsort([rows["start"], rows["doc"]])]
+    n, deep = len(rows), length - k
+    size, before = rows["size"], rows["before"]
+    data = np.frombuffer(b"".join([bytes(length), *(texts[i][at : at + m] for i, at, m in zip(rows["blob"].tolist(), rows["at"].tolist(), size.tolist(), strict=True)), bytes(length)]), np.uint8)
+    trigger = length + np.r_[0, np.cumsum(size)[:-1]] + before
+    name = rows["trigger"].astype(">u4").view(np.uint8).reshape(n, 4)
+
+    def side(buffer: np.ndarray, at: np.ndarray, depth: int, have: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        got = np.lib.stride_tricks.sliding_window_view(buffer, depth)[at] if depth else np.empty((n, 0), np.uint8)
+        got = np.where(np.arange(depth) < have[:, None], got, np.uint8(0))
+        return neighbours(np.concatenate([name, got], axis=1))
+
+    after_at, after = side(data, trigger, length, size - before)
+    ahead_at, ahead = side(data[::-1], len(data) - trigger, deep, before)
+    number, again = np.arange(n), np.zeros((deep + 3, n), bool)
+    bits = np.uint64(max(1, int(n).bit_length()))
+    if 3 * int(bits) > 64:
+        raise ValueError("too many phrases at once")
+    for r in range(deep + 1):
+        has = np.flatnonzero((before >= r) & (before - r <= size - length))
+        if len(has) < 2:
+            continue
+        left = np.maximum.accumulate(np.where(ahead - 4 < r, number, 0))[ahead_at[has]].astype(np.uint64)
+        right = np.maximum.accumulate(np.where(after - 4 < length - r, number, 0))[after_at[has]].astype(np.uint64)
+        key = np.sort((((left << bits) | right) << bits) | has.astype(np.uint64))
+        same = key >> bits
+        later = key[1:][same[1:] == same[:-1]] & ((np.uint64(1) << bits) - np.uint64(1))
+        again[r + 1, later.astype(np.int64)] = True
+    # Runs of distances r; the string at distance r starts r bytes before the trigger.
+    edge = again[1:].astype(np.int8) - again[:-1]
+    opens, closes = np.nonzero(edge.T == 1), np.nonzero(edge.T == -1)
+    i = opens[0]
+    base = rows["start"][i] + before[i]
+    return marks(rows["doc"][i], base - (closes[1] - 1), base - opens[1] + length)
+
+
+def sorted_suffixes(rows: DataFrame, parts: int, length: int, k: int) -> DataFrame:
+    """(doc_id, a, b) REMOVE rows: of equal strings all but the first in corpus order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in whole_parts(batches):
-            keep = np.flatnonzero(batch.column("kind").to_numpy() == EXPAND)
-            blobs = batch.column("data").take(pa.array(keep)).to_pylist()
-            at = placed(blobs)
-            for some in shares(at, "trigger", int(at["size"].sum())):
-                yield later(np.concatenate([np.empty(0, EXACT), *expand(blobs, some)]))
-            strings = unpacked(batch, STRING, EXACT)
-            for some in shares(strings, "text", len(strings)):
-                yield later(some)
-            yield remove_batch(unpacked(batch, REMOVE, MARK))
-
-    def later(got: np.ndarray) -> pa.RecordBatch:
-        got, new = firsts(got, ["key", "text"])
-        again = got[~new]
-        return remove_batch(marks(again["doc"], again["start"], again["start"] + length))
+        for part in whole_parts(batches):
+            texts = blobs(part, EXPAND)
+            for some in shares(placed(texts), "trigger"):
+                yield remove_batch(later_strings(texts, some, length, k))
+            for some in shares(unpacked(part, STRING, STRINGS), "n1"):
+                got, new = firsts(some)
+                yield remove_batch(repeated(got[~new], length))
+            gone = unpacked(part, REMOVE, MARK)
+            yield remove_batch(marks(gone["doc"], gone["start"], gone["end"]))
 
     def remove_batch(done: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(done[c]), pa.int64()) for c in ("doc", "start", "end")], ["doc_id", "a", "b"])
 
-    return rows.repartition(tasks(rows.sparkSession), "part").sortWithinPartitions("part").mapInArrow(run, "doc_id long, a long, b long")
+    return rows.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "doc_id long, a long, b long")
 
 
-def removed(docs: DataFrame, length: int, keep_text: bool) -> DataFrame:
-    """docs with its spans; and what is kept as text if asked for."""
+def removed(docs: DataFrame, keep_text: bool, carry: bool) -> DataFrame:
+    """docs with its spans; what is kept as text, and the row, if asked for."""
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text
+    names = [c.split()[0] for c in schema.split(", ")] + ["row"] * carry
+    if carry:
+        schema += f", row {docs.schema['row'].dataType.simpleString()}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
             lists = batch.column("spans")
-            at = lists.offsets.to_numpy()
             flat = lists.flatten()
-            a, b = (flat.field(i).to_numpy() for i in range(2))
-            null = lists.is_null().to_numpy(zero_copy_only=False)
-            gone, n_spans, digest, texts = [], [], [], []
+            count = np.where(lists.is_null().to_numpy(zero_copy_only=False), 0, np.diff(lists.offsets.to_numpy()))
+            spans = marks(np.repeat(np.arange(batch.num_rows), count), flat.field(0).to_numpy(), flat.field(1).to_numpy())
+            cut = np.searchsorted(spans["doc"], np.arange(batch.num_rows + 1))
+            gone = np.bincount(spans["doc"], spans["end"] - spans["start"], batch.num_rows).astype(np.int64) if len(spans) else np.zeros(batch.num_rows, np.int64)
+            held, digest, texts = memoryview(np.ascontiguousarray(data)), [], []
             for i in range(batch.num_rows):
-                text = data[offsets[i] : offsets[i + 1]]
-                lo, hi = (at[i] - at[0], at[i + 1] - at[0]) if not null[i] else (0, 0)
-                if hi > lo:
-                    change = np.zeros(len(text) + 1, np.int32)
-                    np.add.at(change, a[lo:hi], 1)
-                    np.add.at(change, b[lo:hi], -1)
-                    out = np.cumsum(change[:-1]) > 0
-                    gone.append(int(out.sum()))
-                    n_spans.append(int((out & ~np.r_[False, out[:-1]]).sum()))
-                    text = text[~out]
-                else:
-                    gone.append(0)
-                    n_spans.append(0)
-                kept = text.tobytes()
-                digest.append(hashlib.sha256(kept).hexdigest())
+                mine = spans[cut[i] : cut[i + 1]]
+                left = [held[x:y] for x, y in zip((offsets[i] + np.r_[0, mine["end"]]).tolist(), [*(offsets[i] + mine["start"]).tolist(), int(offsets[i + 1])], strict=True)] if len(mine) else [held[offsets[i] : offsets[i + 1]]]
+                whole = hashlib.sha256()
+                for x in left:
+                    whole.update(x)
+                digest.append(whole.hexdigest())
                 if keep_text:
-                    texts.append(kept.decode("utf-8", "ignore"))
-            columns = [batch.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array(gone, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest, pa.string())]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+                    texts.append(b"".join(left).decode("utf-8", "ignore"))
+            columns = [batch.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array(gone), pa.array(np.diff(cut), pa.int64()), pa.array(digest, pa.string())]
             if keep_text:
                 columns.append(pa.array(texts, pa.string()))
-                names.append("kept_text")
+            if carry:
+                columns.append(batch.column("row"))
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text)
+    return docs.mapInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, keep_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text]) for every document of
+def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, keep_text: bool = False, carry: bool = False, unique: bool = False, local_hot: int = LOCAL_HOT, hot: int = HOT) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text][, row]) for every document of
     docs(doc_id, text): each byte goes that is covered by a `length`-byte string which also starts
     earlier (smaller doc_id, or the same document, earlier start), judged on the input.
 
     Texts are UTF-8 bytes; a null text is empty; strings never cross documents. kept_text leaves out
-    the bytes of characters that were cut in two. Phrases and strings are compared by 32 + 64 bits of
-    hash within one trigger. Rows without doc_id take no part;
-    of a repeated doc_id each distinct text counts, under the key identified() gives it. Other columns are not carried. An empty table gives an empty result.
+    the bytes of characters that were cut in two. Strings are compared by their bytes, whole phrases
+    (and strings of triggers with more than `hot` phrases) by 128-bit BLAKE2b digests. Rows without
+    doc_id take no part; of a repeated doc_id each distinct text counts, under the key identified()
+    gives it (unique: ids are known to be distinct). carry: a struct `row` holds each row as it came;
+    other columns are not carried. An empty table gives an empty result.
     """
-    docs = keyed_texts(docs)
-    parts = 2 * tasks(docs.sparkSession)  # each task sends a row to each part, so their number must stay near that of the tasks
-    told = stored(dictionary(phrases(docs, parts, length, k), parts, length))
-    ask = told.where(F.col("kind") != REMOVE).groupBy("doc_id").agg(F.collect_list(F.struct("kind", "a", "b", "trigger")).alias("spans"))
-    strings = sorted_suffixes(compared(docs.join(ask, "doc_id").select("doc_id", "text", "spans"), parts, length), parts, length)
+    if k >= length:
+        raise ValueError("k must be less than length")
+    if carry:
+        docs = docs if unique else identified(docs.where("doc_id IS NOT NULL"))
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+        docs = rows.select("doc_id", "text")
+    else:
+        docs = rows = keyed_texts(docs, unique)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(tasks(docs.sparkSession), math.ceil(size / SHARE))
+    told = stored(dictionary(phrases(docs, parts, length, k, local_hot), parts, length, hot))
+    ask = told.where(F.col("kind") != REMOVE).groupBy("doc_id").agg(F.collect_list(F.struct("kind", "a", "b", "trigger", "before")).alias("spans"))
+    strings = sorted_suffixes(compared(docs.join(ask, "doc_id").select("doc_id", "text", "spans"), parts, length), parts, length, k)
     gone = told.where(F.col("kind") == REMOVE).select("doc_id", "a", "b").unionByName(strings)
     spans = gone.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return removed(docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans"), length, keep_text)
+    return removed(rows.join(spans, "doc_id", "left").select(*rows.columns, "spans"), keep_text, carry)
 
 
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(identified(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
+    return remove_repeats(identified(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), unique=True)
 
 
 SQL: dict[str, str] = {}
