@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.llm.common import groups, identified, keyed_texts, tasks
+from corpusflow.llm.token_counts import counted
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 #: Documents packed together; more would hardly fill bins better, and a task holds one group at a time.
@@ -24,19 +25,40 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def fit(pieces: Sequence[int], capacities: Sequence[int], opening: int) -> tuple[list[int], list[int], list[int]]:
-    """Best fit of pieces (largest first) into bins opened at `opening` or the least length that holds
-    the piece. Each piece's bin and start, and each bin's content."""
+def opened(lengths: Sequence[int], falling: Sequence[int], at: int, capacities: Sequence[int], overhead: int) -> int:
+    """The least-cost length of a bin for piece `at` of lengths (largest first): each is filled with what
+    of the later pieces fits, largest first, cut down to what that takes, and the least cost a token wins.
+    falling: the lengths, negated."""
+    best, n = (float("inf"), 0), len(lengths)
+    for c in capacities:
+        room = c - lengths[at]
+        if room < 0:
+            continue
+        i = at + 1
+        while room and i < n:
+            i = bisect_left(falling, -room, i)
+            if i < n:
+                room -= lengths[i]
+                i += 1
+        held = c - room
+        best = min(best, ((next(x for x in capacities if x >= held) + overhead) / held, c))
+    return best[1]
+
+
+def fit(lengths: Sequence[int], capacities: Sequence[int], overhead: int) -> tuple[list[int], list[int], list[int]]:
+    """Best fit of pieces (largest first) into bins, each opened at its own least-cost length. Each
+    piece's bin and start, and each bin's content."""
     room: list[tuple[int, int]] = []
     which, start, content, size = [], [], [], []
-    for n in pieces:
+    falling = [-n for n in lengths]
+    for at, n in enumerate(lengths):
         i = bisect_left(room, (n, -1))
         if i < len(room):
             _, b = room.pop(i)
         else:
             b = len(content)
             content.append(0)
-            size.append(max(opening, next(c for c in capacities if c >= n)))
+            size.append(opened(lengths, falling, at, capacities, overhead))
         which.append(b)
         start.append(content[b])
         content[b] += n
@@ -46,40 +68,40 @@ def fit(pieces: Sequence[int], capacities: Sequence[int], opening: int) -> tuple
 
 
 def pack(sizes: np.ndarray, capacities: Sequence[int], overhead: int) -> list[tuple[int, int, int, int, int, int]]:
-    """(document, piece, tokens, bin, start, capacity) for sizes > 0. All opening lengths are tried, and
-    the packing whose bins, each cut down to the least length that holds its content, cost least wins."""
+    """(document, piece, tokens, bin, start, capacity) for sizes > 0: all lengths are used jointly, bin by
+    bin, and at the end each bin is cut down to the least length that holds its content. One length for
+    all bins is tried too, and taken where that happens to cost less."""
     capacities = sorted(set(capacities))
     most, pieces = capacities[-1], []
     for i, n in enumerate(sizes.tolist()):
         pieces += [(min(most, n - at), i, at // most) for at in range(0, n, most)]
     pieces.sort(key=lambda p: (-p[0], p[1], p[2]))
     lengths, chosen = [p[0] for p in pieces], None
-    for opening in capacities:
-        which, start, content = fit(lengths, capacities, opening)
+    for permitted in (capacities, [most]):
+        which, start, content = fit(lengths, permitted, overhead)
         cut = [next(c for c in capacities if c >= n) for n in content]
         cost = sum(cut) + overhead * len(cut)
         if chosen is None or cost < chosen[0]:
             chosen = cost, which, start, cut
-    if chosen is None:
-        return []
     _, which, start, cut = chosen
     return [(i, piece, n, b, s, cut[b]) for (n, i, piece), b, s in zip(pieces, which, start, strict=True)]
 
 
-def best_fit(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, overhead: int = OVERHEAD, group_rows: int = GROUP, tokens: Column | None = None) -> DataFrame:
+def best_fit(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, overhead: int = OVERHEAD, group_rows: int = GROUP, tokens: Column | None = None, tokenizer: str | None = None, unique: bool = False) -> DataFrame:
     """(doc_id, piece, n_tokens, bin_id, bin_start, bin_capacity): where every document of
     docs(doc_id, text) lies. bin_id is `group-number`; documents are dealt to groups of about
     group_rows by a hash of doc_id, and each group is packed on its own.
 
-    Tokens are words unless a column over `text` says otherwise. A document longer than the largest
+    Tokens are those of a byte-level BPE (token_counts.counted) unless a column over `text` says otherwise. A document longer than the largest
     capacity is cut into pieces of that length and a rest, numbered from 0. A document without tokens
     (null or blank text) needs no room: piece 0, 0 tokens, null bin. Rows without doc_id take no part;
-    of a repeated doc_id each distinct text counts, under the key identified() gives it. Other columns are not carried.
+    of a repeated doc_id each distinct text counts, under the key identified() gives it (unique: ids are known to be
+    distinct). Other columns are not carried. An empty table gives an empty result.
     """
-    docs = keyed_texts(docs)
+    docs = keyed_texts(docs, unique)
     parts = max(1, math.ceil(docs.count() / group_rows))
-    count = F.coalesce(word_count(F.col("text")) if tokens is None else tokens, F.lit(0)).cast("long")
-    rows = docs.select(F.pmod(F.xxhash64("doc_id", F.lit("pack")), F.lit(parts)).alias("grp"), "doc_id", count.alias("n"))
+    count = counted(docs, tokenizer) if tokens is None else docs.select("doc_id", F.coalesce(tokens, F.lit(0)).cast("long").alias("n"))
+    rows = count.select(F.pmod(F.xxhash64("doc_id", F.lit("pack")), F.lit(parts)).alias("grp"), "doc_id", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "grp"):
@@ -102,7 +124,7 @@ def best_fit(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, overhead:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit(identified(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
+    return best_fit(identified(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), unique=True)
 
 
 SQL: dict[str, str] = {}

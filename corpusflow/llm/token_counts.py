@@ -1,40 +1,65 @@
-"""Token counts that follow edits: pre-token trees whose sums change only along an edit's path."""
+"""Token counts that follow edits: pre-token trees whose sums change only along an edit's path.
+
+A table of trees has a row a document: its text, the characters and tokens of its pre-tokens in leaves,
+and the sums of a binary tree over the leaves. It is made once, stored, and brought up to date by edit
+tables; only edited documents are touched, and of those only the pre-tokens around an edit are encoded.
+"""
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Pre-tokens of a leaf; one that grows to four times as many makes the tree be built anew.
 LEAF = 64
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: A byte-level BPE; another file may be named by the setting below.
+TOKENIZER, SETTING = "/opt/tokenizers/byte_bpe_50k.tiktoken", "spark.corpusflow.tokenizer"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+class Known(dict):
+    """Tokens of pre-tokens, remembered for up to a million of them."""
+
+    def __init__(self, encoding) -> None:
+        super().__init__()
+        self.encoding = encoding
+
+    def __missing__(self, piece: str) -> int:
+        n = len(self.encoding.encode_ordinary(piece))
+        if len(self) >= 1_000_000:
+            self.clear()
+        self[piece] = n
+        return n
+
+
 class Counter:
-    """Tokens of a pre-token under a byte-level BPE, remembered for up to a million pre-tokens."""
+    """Tokens of a pre-token under a byte-level BPE."""
 
     def __init__(self, ranks: bytes) -> None:
         import regex
         import tiktoken
 
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-        self.known: dict[str, int] = {}
         self.split = regex.compile(PATTERN)
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
+        self.known = Known(self.encoding)
 
     def __call__(self, piece: str) -> int:
-        n = self.known.get(piece)
-        if n is None:
-            n = len(self.encoding._encode_single_piece(piece.encode("utf-8", "replace")))
-            if len(self.known) >= 1_000_000:
-                self.known.clear()
-            self.known[piece] = n
-        return n
+        return self.known[piece]
+
+    def total(self, text: str) -> int:
+        return sum(map(self.known.__getitem__, self.split.findall(text)))
+
+
+def ranks_of(spark: SparkSession, tokenizer: str | None) -> bytes:
+    """The tokenizer's table (under 2 MB), read by the driver and sent with the code."""
+    with open(tokenizer or spark.conf.get(SETTING, TOKENIZER), "rb") as f:
+        return f.read()
 
 
 class TokenTree:
@@ -42,25 +67,45 @@ class TokenTree:
 
     def __init__(self, text: str, counter: Counter) -> None:
         self.counter, self.text, self.encoded = counter, text, 0
-        self._build([(len(p), counter(p)) for p in counter.split.findall(text)])
+        pieces = counter.split.findall(text)
+        rows = np.empty((len(pieces), 2), np.int32)
+        rows[:, 0] = np.fromiter(map(len, pieces), np.int32, len(pieces))
+        rows[:, 1] = np.fromiter(map(counter.known.__getitem__, pieces), np.int32, len(pieces))
+        self._build(rows)
+
+    @classmethod
+    def load(cls, text: str, pieces: bytes, sizes: bytes, sums: bytes, counter: Counter) -> TokenTree:
+        """A tree as saved()."""
+        self = cls.__new__(cls)
+        self.counter, self.text, self.encoded = counter, text, 0
+        rows = np.frombuffer(pieces, np.int32).reshape(-1, 2)
+        ends = np.cumsum(np.frombuffer(sizes, np.int32)).tolist()
+        self.leaves = [rows[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        self.chars, self.tokens = (x.copy() for x in np.frombuffer(sums, np.int64).reshape(2, -1))
+        self.m = len(self.chars) // 2
+        return self
+
+    def saved(self) -> tuple[bytes, bytes, bytes]:
+        """Pre-tokens, sizes of the leaves, and sums."""
+        return np.concatenate(self.leaves).astype(np.int32).tobytes(), np.array([len(x) for x in self.leaves], np.int32).tobytes(), np.stack([self.chars, self.tokens]).tobytes()
 
-    def _build(self, pieces: list[tuple[int, int]]) -> None:
-        self.leaves = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]]
+    def _build(self, rows: np.ndarray) -> None:
+        self.leaves = [rows[i : i + LEAF] for i in range(0, len(rows), LEAF)] or [rows]
         m = 1
         while m < len(self.leaves):
             m *= 2
-        self.m, self.chars, self.tokens = m, [0] * (2 * m), [0] * (2 * m)
-        for i, leaf in enumerate(self.leaves):
-            self.chars[m + i], self.tokens[m + i] = sum(x for x, _ in leaf), sum(x for _, x in leaf)
-        for i in range(m - 1, 0, -1):
-            self._sum(i)
-
-    def _sum(self, i: int) -> None:
-        self.chars[i], self.tokens[i] = self.chars[2 * i] + self.chars[2 * i + 1], self.tokens[2 * i] + self.tokens[2 * i + 1]
+        self.m, self.chars, self.tokens = m, np.zeros(2 * m, np.int64), np.zeros(2 * m, np.int64)
+        if len(rows):
+            held = np.add.reduceat(rows.astype(np.int64), np.arange(0, len(rows), LEAF))
+            self.chars[m : m + len(held)], self.tokens[m : m + len(held)] = held[:, 0], held[:, 1]
+        while m > 1:
+            for sums in (self.chars, self.tokens):
+                sums[m // 2 : m] = sums[m : 2 * m].reshape(-1, 2).sum(axis=1)
+            m //= 2
 
     @property
     def n_tokens(self) -> int:
-        return self.tokens[1]
+        return int(self.tokens[1])
 
     @property
     def n_pretokens(self) -> int:
@@ -72,7 +117,7 @@ class TokenTree:
         while i < self.m:
             i *= 2
             if at >= begin + self.chars[i] and self.chars[i + 1]:
-                begin += self.chars[i]
+                begin += int(self.chars[i])
                 i += 1
         return i - self.m, begin
 
@@ -85,86 +130,150 @@ class TokenTree:
         shift = len(new) - (end - start)
         text = self.text[:start] + new + self.text[end:]
         first, begin = self._leaf(max(0, start - 2))
-        while first and not self.leaves[first]:
+        while first and not len(self.leaves[first]):
             first -= 1
-        leaf, skip = self.leaves[first] if first < len(self.leaves) else [], 0
-        while skip < len(leaf) and begin + leaf[skip][0] <= start - 2:
-            begin += leaf[skip][0]
+        leaf, skip = self.leaves[first] if first < len(self.leaves) else np.empty((0, 2), np.int32), 0
+        while skip < len(leaf) and begin + leaf[skip, 0] <= start - 2:
+            begin += int(leaf[skip, 0])
             skip += 1
         # Old boundaries from here on, leaf by leaf, while new matches are made.
-        last, index, old, fresh, at = first, skip, begin, [], begin
+        last, index, old, fresh = first, skip, begin, []
         for match in self.counter.split.finditer(text, begin):
             if match.start() >= start + len(new):
                 goal = match.start() - shift
                 while old < goal and last < len(self.leaves):
                     if index < len(self.leaves[last]):
-                        old += self.leaves[last][index][0]
+                        old += int(self.leaves[last][index, 0])
                         index += 1
                     else:
                         last, index = last + 1, 0
                 if old == goal and goal >= end:
                     break
             fresh.append((match.end() - match.start(), self.counter(match.group())))
-            at = match.end()
         else:
             last, index = len(self.leaves), 0
         self.encoded += len(fresh)
         self.text = text
-        rest = self.leaves[last][index:] if last < len(self.leaves) else []
+        made = np.array(fresh, np.int32).reshape(-1, 2)
+        rest = self.leaves[last][index:] if last < len(self.leaves) else made[:0]
         if last == first:
-            self.leaves[first] = self.leaves[first][:skip] + fresh + rest
+            self.leaves[first] = np.concatenate([self.leaves[first][:skip], made, rest])
         else:
-            self.leaves[first] = self.leaves[first][:skip] + fresh
+            self.leaves[first] = np.concatenate([self.leaves[first][:skip], made])
             for i in range(first + 1, min(last, len(self.leaves))):
-                self.leaves[i] = []
+                self.leaves[i] = made[:0]
             if last < len(self.leaves):
                 self.leaves[last] = rest
         if len(self.leaves[first]) > 4 * LEAF:
-            self._build([p for leaf in self.leaves for p in leaf])
+            self._build(np.concatenate(self.leaves))
             return
         for i in range(first, min(last + 1, len(self.leaves))):
             j = self.m + i
-            self.chars[j], self.tokens[j] = sum(x for x, _ in self.leaves[i]), sum(x for _, x in self.leaves[i])
+            self.chars[j], self.tokens[j] = self.leaves[i].sum(axis=0, dtype=np.int64)
             while j > 1:
                 j //= 2
-                self._sum(j)
+                for sums in (self.chars, self.tokens):
+                    sums[j] = sums[2 * j] + sums[2 * j + 1]
+
+
+TREES = "doc_id long, text string, pieces binary, leaves binary, sums binary, n_pretokens long, n_tokens long"
+
+
+def build_trees(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """(doc_id, text, pieces, leaves, sums, n_pretokens, n_tokens) for every row of docs(doc_id, text): the
+    table of trees. A null text has the tree of an empty one. Rows without doc_id and repeated rows have
+    trees too; other columns are not carried."""
+    ranks = ranks_of(docs.sparkSession, tokenizer)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter(ranks)
+        for batch in batches:
+            out = []
+            for text in batch.column("text"):
+                tree = TokenTree(text.as_py() or "", counter)
+                out.append((*tree.saved(), tree.n_pretokens, tree.n_tokens))
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            kinds = (pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], [c.split()[0] for c in TREES.split(", ")])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, TREES)
+
+
+EDITS = "array<struct<start:long,stop:long,replacement:string>>"
+
+
+def updated(trees: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """trees(TREES, edits) after their `edits`, an array of (start, stop, replacement) in characters,
+    applied in turn: the columns of TREES, n_edits, n_reencoded (pre-tokens encoded anew), and what
+    n_pretokens and n_tokens were before. A null text isn't edited; null places mean 0, a null replacement an empty one, and places beyond
+    the text its end."""
+    ranks = ranks_of(trees.sparkSession, tokenizer)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter(ranks)
+        for batch in batches:
+            out, texts = [], []
+            columns = [batch.column(c) for c in ("text", "pieces", "leaves", "sums", "edits")]
+            for text, pieces, leaves, sums, edits in zip(*columns, strict=True):
+                script = edits.as_py() or []
+                text = text.as_py()
+                script = script if text is not None else []
+                tree = TokenTree.load(text or "", pieces.as_py(), leaves.as_py(), sums.as_py(), counter)
+                for e in script:
+                    tree.edit(e["start"] or 0, e["stop"] or 0, e["replacement"] or "")
+                texts.append(None if text is None else tree.text)
+                out.append((*tree.saved(), tree.n_pretokens, tree.n_tokens, len(script), tree.encoded))
+            rows = list(zip(*out, strict=True)) or [[]] * 7
+            kinds = (*[pa.binary()] * 3, *[pa.int64()] * 4)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), *(pa.array(c, t) for c, t in zip(rows, kinds, strict=True)), batch.column("n_pretokens"), batch.column("n_tokens")], names)
+
+    schema = f"{TREES}, n_edits long, n_reencoded long, n_pretokens_before long, n_tokens_before long"
+    names = [c.split()[0] for c in schema.split(", ")]
+    return trees.select(*[c.split()[0] for c in TREES.split(", ")], "edits").mapInArrow(run, schema)
 
 
-def sample_edits(text: str) -> list[tuple[int, int, str]]:
+def apply_edits(trees: DataFrame, edits: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """The table of trees after edits(doc_id, seq, start, stop, replacement), those of a document in order
+    of seq. Trees of other documents stay as they are and don't pass through Python. An edit of a
+    doc_id that has no tree, or of null, is of no effect; of a doc_id that has several, it holds for each."""
+    script = edits.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "replacement"))).alias("edits"))
+    script = script.select("doc_id", F.transform("edits", lambda e: F.struct(e["start"].alias("start"), e["stop"].alias("stop"), e["replacement"].alias("replacement"))).alias("edits"))
+    columns = [c.split()[0] for c in TREES.split(", ")]
+    rows = trees.select(*columns).join(script, "doc_id", "left")
+    return rows.where("edits IS NULL").select(*columns).unionByName(updated(rows.where("edits IS NOT NULL"), tokenizer).select(*columns))
+
+
+def sample_edits(text: Column) -> Column:
     """A deletion, an insertion and a replacement whose places follow from the text's length."""
-    n = len(text)
-    return [(2 * n // 3, 2 * n // 3 + 11, ""), (n // 4, n // 4, " (edited)"), (n // 2, n // 2 + 5, "xyz 42")]
+    n = F.length(text).cast("long")
+    at = lambda x: F.floor(x).cast("long")
+    edit = lambda a, b, new: F.struct(a.alias("start"), b.alias("stop"), F.lit(new).alias("replacement"))
+    return F.array(edit(at(2 * n / 3), at(2 * n / 3) + 11, ""), edit(at(n / 4), at(n / 4), " (edited)"), edit(at(n / 2), at(n / 2) + 5, "xyz 42"))
 
 
-def edited_counts(docs: DataFrame, edits: Callable[[str], list[tuple[int, int, str]]] = sample_edits, tokenizer: str = TOKENIZER) -> DataFrame:
+def edited_counts(docs: DataFrame, edits: Column | None = None, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, n_pretokens, n_tokens, n_edits, n_tokens_edited, n_reencoded) for every row of
-    docs(doc_id, text): tokens of the whole text, and after edits(text), a list of (start, end,
-    replacement) in characters, applied in turn. n_reencoded: pre-tokens the edits encoded anew.
+    docs(doc_id, text): tokens of the whole text by its tree, and after `edits`, a column of EDITS over
+    `text` (three sample edits unless given). n_reencoded: pre-tokens the edits encoded anew.
 
     A null text is empty and isn't edited. Places beyond the text mean its end. Repeated rows and null
-    ids are each answered; other columns are not carried; an empty table gives an empty result. The
-    tokenizer's table (under 2 MB) is read by the driver and sent with the code.
+    ids are each answered; other columns are not carried; an empty table gives an empty result.
     """
-    with open(tokenizer, "rb") as f:
-        ranks = f.read()
+    trees = build_trees(docs, tokenizer).withColumn("edits", sample_edits(F.col("text")) if edits is None else edits)
+    rows = updated(trees, tokenizer)
+    return rows.select("doc_id", F.col("n_pretokens_before").alias("n_pretokens"), F.col("n_tokens_before").alias("n_tokens"), "n_edits", F.col("n_tokens").alias("n_tokens_edited"), "n_reencoded")
+
+
+def counted(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """(doc_id, n) for every row of docs(doc_id, text): the tokens of its text, 0 for null."""
+    ranks = ranks_of(docs.sparkSession, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(ranks)
         for batch in batches:
-            out: list[tuple[int, ...]] = []
-            for text in batch.column("text"):
-                text = text.as_py()
-                tree = TokenTree(text or "", counter)
-                before = tree.n_pretokens, tree.n_tokens
-                script = [] if text is None else edits(text)
-                for e in script:
-                    tree.edit(*e)
-                out.append((*before, len(script), tree.n_tokens, tree.encoded))
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "n_pretokens", "n_tokens", "n_edits", "n_tokens_edited", "n_reencoded"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([counter.total(t.as_py() or "") for t in batch.column("text")], pa.int64())], ["doc_id", "n"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long, n_edits long, n_tokens_edited long, n_reencoded long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
