@@ -8,34 +8,53 @@ from pyspark.sql import functions as F
 
 from corpusflow.llm.blocks import best, ties, usable
 
-#: Score cells filled at a time: 16 queries by a block of candidates stay in a core's cache.
-AT_ONCE = 16
+#: Score cells filled at a time: 16 queries by as many candidates stay in a core's cache.
+AT_ONCE, CELLS = 16, 8192
 
 
-def taat(q_ids, queries, ids, candidates, k):
+def whole(x: np.ndarray, scale: float) -> np.ndarray:
+    """floor(scale * x) as integers, of Python where they don't fit 64 bits."""
+    x = np.floor(scale * x)
+    if np.abs(x).max(initial=0) < 2**62:
+        return x.astype(np.int64)
+    return np.array([[int(v) for v in row] for row in x], object)
+
+
+def fitting(weights: np.ndarray, asked: np.ndarray) -> type:
+    """Integers that hold every sum of products."""
+    limit = int(np.abs(weights).max(initial=0)) * int(np.abs(asked).max(initial=0)) * max(1, weights.shape[1])
+    return np.int32 if limit < 2**31 else np.int64 if limit < 2**63 else object
+
+
+def taat(q_ids, queries, ids, candidates, k, scale):
     """Postings of each dimension over the block; a query's weights are scattered into a dense row of
     scores one dimension at a time, then the k + 1 largest are selected (its own row may be one)."""
-    weights, asked = candidates.astype(np.int64), queries.astype(np.int64)
-    limit = int(np.abs(weights).max(initial=0)) * int(np.abs(asked).max(initial=0)) * max(1, weights.shape[1])
-    kind = np.int32 if limit < 2**31 else np.int64
-    weights, asked = weights.astype(kind), asked.astype(kind)
-    postings = []
-    for term in range(weights.shape[1]):
-        where = np.flatnonzero(weights[:, term])
-        postings.append((None if 2 * len(where) > len(ids) else where, weights[:, term].copy() if 2 * len(where) > len(ids) else weights[where, term]))
-    for lo in range(0, len(q_ids), AT_ONCE):
-        some = asked[lo : lo + AT_ONCE]
-        scores, buffer = np.zeros((len(some), len(ids)), kind), np.empty(len(ids), kind)
-        for term, (where, posted) in enumerate(postings):
-            for i in np.flatnonzero(some[:, term]):
-                if where is None:
-                    np.multiply(posted, some[i, term], out=buffer)
-                    scores[i] += buffer
-                else:
-                    scores[i][where] += posted * some[i, term]
-        for i in range(len(some)):
-            places = ties(scores[i], k + 1)
-            yield lo + i, places, scores[i][places].astype(np.int64)
+    wanted = whole(queries, scale)
+    for begin in range(0, len(ids), CELLS):
+        weights = whole(candidates[begin : begin + CELLS], scale)
+        kind = fitting(weights, wanted)
+        weights, asked, n = weights.astype(kind), wanted.astype(kind), len(weights)
+        postings = []
+        for term in range(weights.shape[1]):
+            where = np.flatnonzero(weights[:, term])
+            dense = 2 * len(where) > n
+            postings.append((None if dense else where, weights[:, term].copy() if dense else weights[where, term]))
+        for lo in range(0, len(q_ids), AT_ONCE):
+            some = asked[lo : lo + AT_ONCE]
+            scores, buffer = np.zeros((len(some), n), kind), np.empty(n, kind)
+            for term, (where, posted) in enumerate(postings):
+                for i in np.flatnonzero(some[:, term]):
+                    if where is None:
+                        np.multiply(posted, some[i, term], out=buffer)
+                        scores[i] += buffer
+                    else:
+                        scores[i][where] += posted * some[i, term]
+            for i in range(len(some)):
+                places = ties(scores[i], k + 1)
+                found = scores[i][places]
+                if kind is object and max(map(abs, found)) >= 2**63:
+                    raise OverflowError("a score doesn't fit 64 bits")
+                yield lo + i, begin + places, found.astype(np.int64)
 
 
 def exact_topk(df: DataFrame, is_query=None, k: int = 20, scale: float = 64.0) -> DataFrame:
@@ -44,11 +63,11 @@ def exact_topk(df: DataFrame, is_query=None, k: int = 20, scale: float = 64.0) -
 
     Null vectors and those with null or non-finite components take no part, nor do rows without
     vec_id; empty vectors neither. Of a repeated vec_id the largest vector counts. Vectors of another
-    length than the query's are no candidates of it. An empty table gives an empty result.
+    length than the query's are no candidates of it. Sums are exact whatever the components; a score
+    among a block's best that doesn't fit 64 bits is an error. An empty table gives an empty result.
     """
     is_query = F.col("vec_id") % 20 == 0 if is_query is None else is_query
-    df = usable(df, nonzero=False).withColumn("embedding", F.transform("embedding", lambda x: F.floor(x * F.lit(scale)).cast("double")))
-    return best(df, is_query, k, "score long", lambda *block: taat(*block, k))
+    return best(usable(df, nonzero=False), is_query, k, "score long", lambda *block: taat(*block, k, scale))
 
 
 def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,10 +94,10 @@ def test_ann(spark):
 
 
 def test_multi_index_finds_all_within_the_radius():
-    codes = np.random.default_rng(2).integers(0, 256, (500, 16)).astype(np.uint8)
+    codes = np.random.default_rng(2).integers(0, 256, (500, 32)).astype(np.uint8)
     index = ann.MultiIndex(codes)
     far = np.bitwise_count(codes ^ codes[3]).sum(axis=1)
-    for radius in (0, 40, 55, 64):
+    for radius in (0, 15, 31, 110, 128):
         assert index.within(codes[3], radius).tolist() == np.flatnonzero(far <= radius).tolist()
 
 
@@ -224,7 +224,7 @@ def test_token_counts(spark, docs, none):
 
 def test_packing(spark, docs, none):
     for df in (docs, keyless(docs)):
-        rows = packing.best_fit(df, group_rows=6).collect()
+        rows = packing.best_fit(df, group_rows=6, tokens=packing.word_count(F.col("text"))).collect()
         n = Counter()
         room = defaultdict(list)
         for r in rows:
