@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
@@ -70,33 +70,43 @@ WHOLE = {
 SPELLINGS = {
     "licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense", "acknowledgement": "acknowledgment", "acknowledgements": "acknowledgments",
     "analogue": "analog", "artefact": "artifact", "authorisation": "authorization", "authorised": "authorized", "cancelled": "canceled", "catalogue": "catalog", "centre": "center",
-    "favour": "favor", "fulfil": "fulfill", "fulfilment": "fulfillment", "initialise": "initialize", "judgement": "judgment", "labelling": "labeling", "merchantability": "merchantability",
+    "favour": "favor", "fulfil": "fulfill", "fulfilment": "fulfillment", "initialise": "initialize", "judgement": "judgment", "labelling": "labeling",
     "modelled": "modeled", "optimise": "optimize", "organisation": "organization", "organisations": "organizations", "practise": "practice", "programme": "program", "realise": "realize",
-    "recognise": "recognize", "signalling": "signaling", "utilisation": "utilization", "whilst": "while", "wilful": "willful", "noncommercial": "noncommercial", "https": "http",
+    "recognise": "recognize", "signalling": "signaling", "utilisation": "utilization", "whilst": "while", "wilful": "willful", "https": "http",
 }
-SPELLINGS = {a: b for a, b in SPELLINGS.items() if a != b}
 #: A line that only says who holds the rights, in lower case.
 HOLDER = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 PUNCTUATION = r"[\x00-\x2f\x3a-\x60\x7b-\x7f\x{a0}\x{ab}\x{bb}\x{2010}-\x{2027}]+"
 
 
-def canonical(text: Column) -> Column:
-    """Lower case, without holder lines, words set apart by two blanks, spellings made equal."""
-    out = F.regexp_replace(F.regexp_replace(F.lower(text), HOLDER, "\n"), PUNCTUATION, "  ")
-    out = F.concat(F.lit("  "), out, F.lit("  "))
+#: All that PUNCTUATION leaves.
+KEPT = r"0-9a-z\x{80}-\x{9f}\x{a1}-\x{aa}\x{ac}-\x{ba}\x{bc}-\x{200f}\x{2028}-\x{10ffff}"
+#: A word of SPELLINGS, looked for by its first letter.
+SPELT = " (?:" + "|".join(f"{c}(?:{'|'.join(w[1:] for w in SPELLINGS if w[0] == c)})" for c in sorted({w[0] for w in SPELLINGS})) + ") "
+
+
+def canonical(rows: DataFrame, *columns: str) -> DataFrame:
+    """(columns, canonical) of rows(columns, text): lower case, without holder lines, words set apart by one
+    blank, spellings made equal. Each step is a projection of its own, so none is worked out twice; a text is
+    searched once for words that have another spelling, and only one that has some is rewritten."""
+    low = rows.select(*columns, F.lower("text").alias("low"))
+    held = F.greatest(*[F.col("low").contains(x) for x in ("copyright", "(c)", "©", "all rights reserved")])
+    bare = F.when(held, F.regexp_replace("low", HOLDER, "\n")).otherwise(F.col("low"))
+    words = low.select(*columns, F.concat(F.lit(" "), F.regexp_replace(bare, f"[^{KEPT}]+", " "), F.lit(" ")).alias("words"))
+    settled = F.replace("words", F.lit(" "), F.lit("  "))
     for a, b in SPELLINGS.items():
-        out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.trim(F.regexp_replace(out, " +", " "))
+        settled = F.replace(settled, F.lit(f" {a} "), F.lit(f" {b} "))
+    return words.select(*columns, F.trim(F.when(F.col("words").rlike(SPELT), F.regexp_replace(settled, " +", " ")).otherwise(F.col("words"))).alias("canonical"))
 
 
-def digest(text: Column) -> Column:
-    return F.sha2(canonical(text), 256)
+def digests(rows: DataFrame, *columns: str) -> DataFrame:
+    return canonical(rows, *columns).select(*columns, F.sha2("canonical", 256).alias("digest"))
 
 
 def known_digests(spark: SparkSession, known: dict[str, list[str]]) -> DataFrame:
     rows = [(name, text) for name, texts in known.items() for text in texts]
-    table = spark.createDataFrame(rows, "license_id string, text string")
-    return table.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    table = digests(spark.createDataFrame(rows, "license_id string, text string"), "license_id")
+    return table.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan_licenses(docs: DataFrame, known: dict[str, list[str]] | None = None) -> DataFrame:
@@ -113,7 +123,7 @@ def scan_licenses(docs: DataFrame, known: dict[str, list[str]] | None = None) ->
         whole = docs.sparkSession.createDataFrame([(d, name) for name, d in WHOLE.items()], table.schema)
         table = table.unionByName(whole).groupBy("digest").agg(F.min("license_id").alias("license_id"))
     table = table.where(F.col("digest") != F.sha2(F.lit(""), 256))
-    rows = docs.select("doc_id", digest(F.col("text")).alias("digest"))
+    rows = digests(docs.select("doc_id", F.col("text").cast("string").alias("text")), "doc_id")
     return rows.join(F.broadcast(table), "digest", "left").select("doc_id", "digest", "license_id", F.col("license_id").isNotNull().alias("is_license"))
 
 
