@@ -30,7 +30,7 @@ def normalized(c: Column) -> Column:
 
 def utf16_length(c: Column) -> Column:
     """Length in UTF-16 units; characters beyond the BMP count twice."""
-    return F.length(c) + F.length(F.regexp_replace(c, r"[^\x{10000}-\x{10FFFF}]", ""))
+    return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
 
 
 def half_up(c: Column) -> Column:

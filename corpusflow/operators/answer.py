@@ -34,6 +34,7 @@ def _blocks(rows: DataFrame, block: Column) -> DataFrame:
 def context(chunks: DataFrame) -> DataFrame:
     """(query_id, context): numbered blocks in order of rank; those without a url are marked internal.
     A budget bounds what is gathered for a query."""
+    # The marks and labels of a block, that of internal metadata included.
     head = F.concat(F.lit("--- Context ["), F.col("__at").cast("string"), F.lit("] ---\n"))
     inner = F.concat(F.lit("Source: "), F.col("page_title"), F.lit(" (internal project metadata — do NOT cite as a URL)\n\n"), F.col("text"))
     outer = F.concat(F.lit("Source URL: "), F.col("source_url"), F.lit("\nPage Title: "), F.col("page_title"), F.lit("\nSection: "), or_else(F.col("heading_path"), F.lit("(none)")), F.lit("\n\n"), F.col("text"))
@@ -79,6 +80,38 @@ def generate(prompt: DataFrame, model: Callable[[str, str], str]) -> DataFrame:
     return prompt.select("query_id", run(F.col("system"), F.col("user")).alias("answer"))
 
 
+SYSTEM_ONCE = "Answer from the context only and name the chunks you use."
+FAILED = "The answer could not be made. Please try again."
+
+
+def generate_once(questions: DataFrame, chunks: DataFrame, model: Callable[[str, str, float, int], str], config: AnswerConfig = AnswerConfig()) -> DataFrame:
+    """(query_id, answer, refused, sources) of questions(query_id, query, confident), one call each over their
+    chunks within the budget: a refusal where retrieval isn't confident or nothing fits; an answer that is
+    blank or fails is refused too. sources are the urls of all chunks used, in order, repeats included."""
+    used = within_budget(chunks, config.budget_tokens)
+    at = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    urls = used.withColumn("__at", at).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", F.coalesce("source_url", F.lit("")).alias("u")))), lambda x: x["u"]).alias("urls"))
+    rows = questions.join(context_once(used), "query_id", "left").join(urls, "query_id", "left")
+    ready = F.coalesce(F.col("confident"), F.lit(False)) & F.col("context").isNotNull()
+
+    @F.arrow_udf("string")
+    def run(users: pa.Array) -> pa.Array:
+        out = []
+        for user in users.to_pylist():
+            try:
+                said = None if user is None else model(SYSTEM_ONCE, user, config.temperature, config.max_tokens_once)
+                out.append(said if said is None or said.strip() else "")
+            except Exception:
+                out.append("")
+        return pa.array(out, pa.string())
+
+    user = F.when(ready, F.concat("context", F.lit("\n\n---\nUser Question: "), F.coalesce("query", F.lit(""))))
+    rows = rows.select("query_id", "urls", run(user).alias("said"))
+    good = F.col("said") != ""
+    answer = F.when(F.col("said").isNull(), DECLINED).when(good, F.col("said")).otherwise(FAILED)
+    return rows.select("query_id", answer.alias("answer"), ~F.coalesce(good, F.lit(False)).alias("x"), F.when(good, F.col("urls")).otherwise(F.array().cast("array<string>")).alias("sources")).toDF("query_id", "answer", "refused", "sources")
+
+
 def resolve_citations(answers: DataFrame, usable: DataFrame) -> DataFrame:
     """(query_id, sources) of answers(query_id, answer): cited urls in order of first citation; without
     any [N] none for a refusal, else all distinct urls in order; none where nothing was usable."""

@@ -16,7 +16,17 @@ def valid_raw(pages: DataFrame) -> DataFrame:
     return pages.where(F.col("url").rlike(PARTS) & F.col("html").isNotNull() & F.col("statusCode").isNotNull() & F.col("contentType").isNotNull() & (F.col("depth") >= 0))
 
 
-def valid_chunks(rows: DataFrame, required: tuple[str, ...] = ("chunk_id", "doc_id", "text", "source_url")) -> DataFrame:
+def valid_cleaned(pages: DataFrame) -> DataFrame:
+    """Cleaned pages with a url that can be parsed, all other fields, and blocks and headings without gaps."""
+    keep = F.col("url").rlike(PARTS) & (F.col("depth") >= 0)
+    for c in ("title", "headings", "textBlocks", "cleanedAt", "sourceHash"):
+        keep = keep & F.col(c).isNotNull()
+    blocks = F.forall("textBlocks", lambda b: F.coalesce(b["type"].isin("paragraph", "list", "table", "faq") & b["content"].isNotNull() & b["headingPath"].isNotNull(), F.lit(False)))
+    headings = F.forall("headings", lambda h: F.coalesce(h["level"].isNotNull() & h["text"].isNotNull(), F.lit(False)))
+    return pages.where(keep & blocks & headings)
+
+
+def valid_chunks(rows: DataFrame, required: tuple[str, ...] = ("chunk_id", "doc_id", "text", "source_url", "page_title", "heading_path", "content_type", "token_count")) -> DataFrame:
     """Rows with all required fields and a text that isn't blank."""
     keep = F.length(normalized(F.col("text"))) > 0
     for c in required:

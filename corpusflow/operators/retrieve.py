@@ -113,13 +113,16 @@ def final_chunks(reranked: DataFrame, least: float) -> DataFrame:
 
 def retrieve(questions: DataFrame, held: DataFrame, embedder: index.Embedder, reranker: Reranker, facts: DataFrame | None = None, config: RetrieveConfig = RetrieveConfig()) -> tuple[DataFrame, DataFrame]:
     """(chunks, diagnostics) of questions(query_id, query): short ones have no results, those that
-    trigger facts get these alone, the rest are searched, gated, reranked and gated again."""
+    trigger facts get these alone, the rest are searched, gated, reranked and gated again. A question that
+    the embedder fails on has the reason `error` and doesn't hold up the others."""
     asked = questions.select("query_id", trimmed(F.coalesce("query", F.lit(""))).alias("query")).checkpoint()
     spark = asked.sparkSession
     long_enough = asked.where(utf16_length(F.col("query")) >= config.min_query_chars)
     hits = fact_chunks(match_facts(long_enough, facts_table(spark) if facts is None else facts)).checkpoint()
     open_ = long_enough.join(hits.select("query_id").distinct(), "query_id", "left_anti")
-    vectors = open_.select("query_id", "query", index.embedded(expanded(F.col("query"), config), embedder, "query").alias("vector")).checkpoint()
+    vectors = open_.select("query_id", "query", index.embedded(expanded(F.col("query"), config), embedder, "query", or_null=True).alias("vector")).checkpoint()
+    failed = vectors.where("vector IS NULL").select("query_id", F.lit(True).alias("failed"))
+    vectors = vectors.where("vector IS NOT NULL")
     found = index.search(held, vectors, config.top_k).checkpoint()
     first = gate(found, vectors, "vector_score", config.min_vector, "low_vector_score")
     passed = found.join(first.where("confident").select("query_id"), "query_id", "left_semi").join(vectors.select("query_id", "query"), "query_id").join(held.select("chunk_id", "text", "source_url", "page_title", "heading_path", "content_type", "token_count"), "chunk_id")
@@ -129,8 +132,8 @@ def retrieve(questions: DataFrame, held: DataFrame, embedder: index.Embedder, re
     columns = ["query_id", "rank", "chunk_id", "text", "source_url", "page_title", "heading_path", "content_type", "token_count", "vector_score", "rerank_score"]
     searched = final_chunks(ranked.join(low, "query_id", "left_anti"), config.min_rerank).select(*columns)
     static = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id"))).withColumn("heading_path", F.lit("")).withColumn("content_type", F.lit("paragraph")).select(*columns)
-    info = asked.select("query_id").join(first.select("query_id", "candidates", "top", "reason"), "query_id", "left").join(tops, "query_id", "left").join(hits.groupBy("query_id").agg(F.count("*").alias("facts")), "query_id", "left")
-    reason = F.when(F.col("facts").isNotNull(), F.lit(None)).when(F.col("candidates").isNull(), "no_results").when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("rerank_top") < config.min_rerank, "low_rerank_score")
+    info = asked.select("query_id").join(first.select("query_id", "candidates", "top", "reason"), "query_id", "left").join(tops, "query_id", "left").join(hits.groupBy("query_id").agg(F.count("*").alias("facts")), "query_id", "left").join(failed, "query_id", "left")
+    reason = F.when(F.col("facts").isNotNull(), F.lit(None)).when(F.col("failed"), "error").when(F.col("candidates").isNull(), "no_results").when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("rerank_top") < config.min_rerank, "low_rerank_score")
     fact = F.col("facts").isNotNull()
     diagnostics = info.select("query_id", reason.isNull().alias("confident"), reason.alias("reason"), F.when(fact, 1.0).otherwise(F.coalesce("top", F.lit(0.0))).alias("vector_top_score"), F.when(fact, 1.0).otherwise(F.col("rerank_top")).alias("rerank_top_score"), F.coalesce("facts", "candidates", F.lit(0)).alias("candidates_retrieved"), F.coalesce("facts", "after", F.lit(0)).alias("candidates_after_rerank"))
     return searched.unionByName(static), diagnostics

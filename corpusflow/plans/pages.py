@@ -75,8 +75,9 @@ def dominant_type(spark, sf_dir):
 
 
 def min_length_filter(spark, sf_dir):
-    rows = blocks(spark, sf_dir).where("content <> ''").groupBy("doc_id").agg(F.sum(text.utf16_length(F.col("content"))).cast("long").alias("total"))
-    return rows.where("total >= 400")
+    rows = blocks(spark, sf_dir).groupBy("doc_id").agg(F.collect_list("content").alias("contents"))
+    total = clean.total_length(F.col("contents"))
+    return rows.select("doc_id", total.cast("long").alias("total")).where(F.col("total") >= clean.CleanConfig().min_content_length)
 
 
 def source_hash_dedupe(spark, sf_dir):
@@ -128,8 +129,10 @@ def index_batches(spark, sf_dir):
 
 
 def flat_metadata(spark, sf_dir):
-    rows = chunks(spark, sf_dir).withColumn("path", F.array("page_title", "heading_path"))
-    return rows.select("chunk_id", F.array_join("path", " > ").alias("heading_path"), F.sha2("text", 256).alias("text_digest"), "token_count")
+    rows = chunks(spark, sf_dir).withColumn("heading_path", F.array("page_title", "heading_path"))
+    rest = {c: F.lit(c) for c in ("doc_id", "section_heading", "crawled_at", "language", "source_hash")} | {"chunk_index": F.lit(0), "chunk_count": F.lit(1)}
+    flat = rows.withColumns(rest).select("chunk_id", *index.flat_metadata())
+    return flat.select("chunk_id", "heading_path", F.sha2("text", 256).alias("text_digest"), "token_count")
 
 
 def robots_rules(spark, sf_dir):
@@ -167,16 +170,32 @@ def crawl_bfs(spark, sf_dir):
 
 
 def crawl_outcomes(spark, sf_dir):
-    """A crawl of the pages themselves: every url is a seed, all hosts are allowed and no page bound is set."""
+    """A crawl of the pages themselves: every url is a seed, all hosts are allowed and have the same robots
+    file, and no page bound is set."""
     checkpoints(spark)
     from corpusflow.config import CrawlConfig
 
     pages = web(spark, sf_dir)
     hosts = tuple(r[0] for r in pages.select(urls.host(F.col("url")).alias("h")).distinct().orderBy("h").collect())
-    rules = crawl.robots_rules(_robots(spark), "corpusflow/1.0")
+    files = pages.select(urls.origin(F.col("url")).alias("origin"), F.lit(200).alias("status"), F.lit(ROBOTS).alias("body")).distinct()
+    rules = crawl.robots_rules(files, "corpusflow/1.0")
     return crawl.crawl(pages, rules, CrawlConfig(allowed_domains=hosts, max_pages=None), pages.select("url")).select("url", "depth", "outcome")
 
 
+def crawl_manifest(spark, sf_dir):
+    rows = crawl.crawl_manifest(crawl_outcomes(spark, sf_dir), 1.5, "then", "now")
+    return rows.withColumn("failed_urls", F.sha2(F.array_join("failed_urls", "|"), 256))
+
+
+def discover(spark, sf_dir):
+    checkpoints(spark)
+    from corpusflow.config import CrawlConfig
+
+    pages = web(spark, sf_dir)
+    hosts = tuple(r[0] for r in pages.select(urls.host(F.col("url")).alias("h")).distinct().orderBy("h").collect())
+    return crawl.discover(pages, CrawlConfig(allowed_domains=hosts, max_pages=None), pages.select("url"))
+
+
 _U = r"^(?i)(https?)://([^/?#]+)([^?#]*)(\?[^#]*)?"
 _HOST = r"regexp_replace(lower(regexp_extract(url, '(?i)^https?://([^/?#]+)', 1)), '^www\.', '')"
 _PATH = r"regexp_extract(url, '(?i)^https?://[^/?#]+([^?#]*)', 1)"
@@ -186,6 +205,16 @@ _NORM = rf"""'https://' || {_HOST} || CASE WHEN {_PATH} IN ('', '/') THEN '/' EL
 _PIECES = "unnest(list_transform(range(0, length(text), 400), lambda i: substring(text, i + 1, 400)))"
 _SEGMENT = "replace(list_filter(string_split(regexp_extract(url, '(?i)^https?://[^/?#]+([^?#]*)', 1), '/'), lambda x: x <> '')[-1], '-', ' ')"
 _LABEL = rf"coalesce(list_aggregate(list_transform(regexp_extract_all({_SEGMENT}, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+'), lambda w: upper(w[1]) || w[2:]), 'string_agg', ''), 'Home')"
+#: Links lead to no page of the table, so what isn't a page lies one step away and fails, if it may be fetched at all.
+_CRAWL = rf"""s AS (SELECT DISTINCT {_NORM} AS url FROM pages), g AS (SELECT {_NORM} AS url, min_by(html, page_id) AS html FROM pages GROUP BY 1),
+r(kind, pattern) AS (VALUES {', '.join(map(str, RULES))}), b AS (SELECT url, html, {_PATH} AS path, true AS ruled FROM g),
+judged AS (SELECT url, html, coalesce(max(length(pattern)) FILTER (kind = 'disallow'), -1) AS deny, coalesce(max(length(pattern)) FILTER (kind = 'allow'), -1) AS allow FROM b LEFT JOIN r ON ruled AND starts_with(path, pattern) GROUP BY 1, 2),
+f AS (SELECT url, html, CASE WHEN deny = -1 OR allow >= deny THEN 'fetched' ELSE 'robots' END AS outcome FROM judged),
+h AS (SELECT url AS src, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href=.([^>''"]*)', 1)) AS href FROM f WHERE outcome = 'fetched'),
+t AS (SELECT DISTINCT regexp_extract(src, '^(https://[^/?#]*)', 1) || regexp_replace(href, '(.)/$', '') AS url FROM h WHERE starts_with(href, '/')),
+n AS (SELECT url, {_PATH} AS path, true AS ruled FROM t WHERE url NOT IN (SELECT url FROM s)),
+m AS (SELECT url, path, coalesce(max(length(pattern)) FILTER (kind = 'disallow'), -1) AS deny, coalesce(max(length(pattern)) FILTER (kind = 'allow'), -1) AS allow FROM n LEFT JOIN r ON ruled AND starts_with(path, pattern) GROUP BY 1, 2),
+o AS (SELECT url, 0 AS depth, outcome FROM f UNION ALL SELECT url, 1, CASE WHEN regexp_matches(path, '(?i)\.({'|'.join(SKIP_EXTENSIONS)})\z') THEN 'extension' WHEN deny = -1 OR allow >= deny THEN 'failed' ELSE 'robots' END FROM m)"""
 SQL = {
     "url_normalize": f"SELECT page_id, {_NORM} AS norm FROM pages",
     "url_dedupe": f"SELECT {_NORM} AS norm, min(page_id) AS first_page, count(*) AS n FROM pages GROUP BY 1",
@@ -201,14 +230,21 @@ SQL = {
     "dominant_type": f"WITH {BLOCKS}, k AS (SELECT doc_id, count(*) AS n, count(*) FILTER (type = 'table') AS t, count(*) FILTER (type = 'faq') AS f, count(*) FILTER (type = 'list') AS l FROM blocks GROUP BY 1) SELECT doc_id, CASE WHEN t > 0 AND 2 * t >= n THEN 'table' WHEN f > 0 AND 2 * f >= n THEN 'faq' WHEN l > 0 AND 2 * l >= n THEN 'list' ELSE 'paragraph' END AS type FROM k",
     "min_length_filter": f"WITH {BLOCKS} SELECT doc_id, sum(length(content))::BIGINT AS total FROM blocks WHERE content <> '' GROUP BY 1 HAVING total >= 400",
     "source_hash_dedupe": f"WITH d AS (SELECT 'https://e.com/' || doc_id AS url, sha256(array_to_string(list_transform(string_split(text, chr(10)), lambda x: {sql_normalized('x')}), chr(10) || '---' || chr(10))) AS sourceHash FROM documents WHERE text IS NOT NULL) SELECT arg_min(url, sha256(url)) AS url, sourceHash FROM d GROUP BY sourceHash",
-    "retrieval_text": f"WITH {BLOCKS}, r AS (SELECT doc_id, pos, content, CASE WHEN pos = 2 THEN []::VARCHAR[] ELSE path END AS path FROM blocks WHERE pos < 3) SELECT doc_id, pos, sha256(CASE WHEN len(path) > 0 THEN array_to_string(path, ' > ') || chr(10) || chr(10) ELSE '' END || content) AS digest, coalesce(nullif(path[-1], ''), 'T') AS heading FROM r",
+    "retrieval_text": f"WITH {BLOCKS}, r AS (SELECT doc_id, pos, content, CASE WHEN pos % 3 = 2 THEN []::VARCHAR[] ELSE path END AS path FROM blocks) SELECT doc_id, pos, sha256(CASE WHEN len(path) > 0 THEN array_to_string(path, ' > ') || chr(10) || chr(10) ELSE '' END || content) AS digest, coalesce(nullif(path[-1], ''), 'T') AS heading FROM r",
     "index_batches": "WITH r AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 96 AS batch FROM (SELECT DISTINCT doc_id FROM documents)) SELECT batch, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM r GROUP BY 1",
     "flat_metadata": "SELECT doc_id::VARCHAR AS chunk_id, lang || ' > ' || CASE WHEN doc_id % 3 <> 0 THEN source ELSE '' END AS heading_path, sha256(text) AS text_digest, ceil(length(text) / 4.0)::BIGINT AS token_count FROM documents WHERE text IS NOT NULL",
-    "robots_rules": "SELECT * FROM (VALUES ('https://news.example', 'disallow', '/de'), ('https://news.example', 'allow', '/de/1'), ('https://news.example', 'disallow', '/fr/'), ('https://news.example', 'allow', '/fr/'), ('https://news.example', 'disallow', '/es/2'), ('https://www.wiki.example', 'disallow', '/')) t(origin, kind, pattern)",
+    "robots_rules": f"""WITH f(origin, status, body) AS (VALUES ('https://news.example', 200, '{ROBOTS}'), ('https://www.wiki.example', 200, 'User-agent: *' || chr(10) || 'Disallow: /'), ('http://gone.example', 404, 'User-agent: *' || chr(10) || 'Disallow: /')),
+l AS (SELECT origin, unnest(string_split(body, chr(10))) AS raw, unnest(range(len(string_split(body, chr(10))))) AS pos FROM f WHERE status = 200), s AS (SELECT origin, pos, trim(regexp_replace(raw, '#.*', '')) AS line FROM l),
+k AS (SELECT origin, pos, lower(trim(string_split(line, ':')[1])) AS kind, trim(array_to_string(string_split(line, ':')[2:], ':')) AS pattern FROM s),
+a AS (SELECT *, last_value(CASE WHEN kind = 'user-agent' THEN lower(pattern) IN ('*', 'corpusflow') END IGNORE NULLS) OVER (PARTITION BY origin ORDER BY pos ROWS UNBOUNDED PRECEDING) AS applies FROM k)
+SELECT origin, kind, pattern FROM a WHERE applies AND kind IN ('allow', 'disallow') AND pattern <> ''""",
+    "crawl_outcomes": f"""WITH {_CRAWL} SELECT url, depth, outcome FROM o""",
+    "crawl_manifest": f"""WITH {_CRAWL} SELECT count(*) FILTER (outcome = 'fetched') AS pages_fetched, count(*) FILTER (outcome = 'failed') AS pages_failed, count(*) FILTER (outcome = 'robots') AS pages_skipped_robots, 0::BIGINT AS pages_skipped_domain, 0::BIGINT AS pages_skipped_non_html, count(*) FILTER (outcome = 'extension') AS pages_skipped_extension, sha256(coalesce(string_agg(url, '|' ORDER BY url) FILTER (outcome = 'failed'), '')) AS failed_urls, 2::BIGINT AS duration_seconds, 'then' AS started_at, 'now' AS finished_at FROM o""",
+    "discover": f"WITH u AS (SELECT DISTINCT {_NORM} AS url FROM pages) SELECT url, '2024-01-01' AS lastmod FROM u",
     "robots_longest_match": f"WITH r(kind, pattern) AS (VALUES {', '.join(map(str, RULES))}), p AS (SELECT page_id, {_PATH} AS path FROM pages), m AS (SELECT page_id, coalesce(max(length(pattern)) FILTER (kind = 'disallow'), -1) AS deny, coalesce(max(length(pattern)) FILTER (kind = 'allow'), -1) AS allow FROM p LEFT JOIN r ON starts_with(p.path, r.pattern) GROUP BY 1) SELECT page_id, deny = -1 OR allow >= deny AS allowed FROM m",
     "crawl_bfs": "WITH RECURSIVE g AS (SELECT page_id AS src, (page_id * 7 + k) % (SELECT count(*) FROM pages) AS dst FROM pages, (VALUES (0), (1), (2)) t(k)), r(url, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT g.dst, r.depth + 1 FROM r JOIN g ON g.src = r.url WHERE r.depth < 4) SELECT url::VARCHAR AS url, min(depth)::INT AS depth FROM r GROUP BY 1",
     "link_extract": rf"WITH p AS (SELECT {_NORM} AS src, regexp_extract_all(html, '(?i)<a\s[^>]*?href=.([^>''\x22]*)', 1) AS l FROM pages), h AS (SELECT src, unnest(l) AS href, unnest(range(len(l))) AS pos FROM p) SELECT src, regexp_extract(src, '^(https://[^/?#]*)', 1) || regexp_replace(href, '(.)/$', '\1') AS dst, min(pos) AS pos FROM h WHERE starts_with(href, '/') GROUP BY 1, 2",
     "url_labels": f"SELECT page_id, {_HOST} AS host_label, {_LABEL} AS path_label, CASE WHEN page_id % 2 = 0 THEN 'T' ELSE {_LABEL} END AS title FROM pages",
 }
-NAMES = (url_normalize, url_dedupe, url_domain_filter, url_skip_extension, url_labels, doc_ids, content_hash, normalize_whitespace, token_estimate, chunk_fixed_split, sentence_split, section_islands, dominant_type, min_length_filter, source_hash_dedupe, retrieval_text, link_extract, clean_pages, clean_manifest, chunk_pages, chunk_manifest, index_pages, index_batches, flat_metadata, robots_rules, robots_longest_match, crawl_bfs, crawl_outcomes)
+NAMES = (url_normalize, url_dedupe, url_domain_filter, url_skip_extension, url_labels, doc_ids, content_hash, normalize_whitespace, token_estimate, chunk_fixed_split, sentence_split, section_islands, dominant_type, min_length_filter, source_hash_dedupe, retrieval_text, link_extract, clean_pages, clean_manifest, chunk_pages, chunk_manifest, index_pages, index_batches, flat_metadata, robots_rules, robots_longest_match, crawl_bfs, crawl_outcomes, crawl_manifest, discover)
 QUERIES = {f.__name__: f for f in NAMES}

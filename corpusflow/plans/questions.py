@@ -55,14 +55,19 @@ def _vectors(spark, sf_dir):
     return rows, rows.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "vector")
 
 
+def _rounded(rows, *columns):
+    """Scores to six places, so that they can be compared with those of another engine."""
+    return rows.withColumns({c: F.round(c, 6) for c in columns})
+
+
 def vector_topk(spark, sf_dir):
-    return index.search(*_vectors(spark, sf_dir), 15)
+    return _rounded(index.search(*_vectors(spark, sf_dir), 15), "vector_score")
 
 
 def vector_gate(spark, sf_dir):
     rows, asked = _vectors(spark, sf_dir)
     found = index.search(rows, asked, 15).where("chunk_id <> query_id")
-    return retrieve.gate(found, asked, "vector_score", 0.45, "low_vector_score")
+    return _rounded(retrieve.gate(found, asked, "vector_score", 0.45, "low_vector_score"), "top")
 
 
 def rerank_topn(spark, sf_dir):
@@ -82,11 +87,11 @@ def _retrieved(spark, sf_dir):
 
 
 def retrieve_chunks(spark, sf_dir):
-    return _retrieved(spark, sf_dir)[0].drop("text")
+    return _rounded(_retrieved(spark, sf_dir)[0].drop("text"), "vector_score", "rerank_score")
 
 
 def retrieve_diag(spark, sf_dir):
-    return _retrieved(spark, sf_dir)[1]
+    return _rounded(_retrieved(spark, sf_dir)[1], "vector_top_score", "rerank_top_score")
 
 
 def context_budget(spark, sf_dir):
@@ -149,7 +154,9 @@ def _events(spark, sf_dir):
 
 
 def chat_events(spark, sf_dir):
-    return _events(spark, sf_dir).select("query_id", "seq", "event")
+    """The payloads are compared as parsed: whether confident, and the text, url or message they hold."""
+    data = lambda path: F.get_json_object("data", path)
+    return _events(spark, sf_dir).select("query_id", "seq", "event", data("$.confident").alias("confident"), F.coalesce(data("$.delta"), data("$.sources[0]"), data("$.message"), data("$.reason")).alias("said"))
 
 
 def fold_events(spark, sf_dir):
@@ -169,7 +176,7 @@ _CASES = " ".join(f"WHEN regexp_matches(lower(q), '{p}') THEN q || ' {t}'" for p
 _FACTS = ", ".join(f"('{i}', {t}, '{c}', '{u}', '{s}', {p}, '{g}')" for i, t, c, u, s, p, g in retrieve.FACTS)
 _MATCH = f"""f(id, triggers, content, source_url, source_title, priority, grp) AS (VALUES {_FACTS}), q AS (SELECT DISTINCT conv_id AS query_id, {list(_ASKED)}[(conv_id % {len(_ASKED)} + 1)::INT] AS query FROM conversations),
 h AS (SELECT q.query_id, f.*, rank() OVER (PARTITION BY query_id, grp ORDER BY priority DESC) AS r FROM q, f WHERE len(list_filter(triggers, lambda t: CASE WHEN contains(t, ' ') THEN contains(lower(query), t) ELSE regexp_matches(lower(query), '\\b' || t || '\\b') END)) > 0)"""
-_SEARCH = """v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL), s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_dot_product(q.e, c.e) / (sqrt(list_dot_product(c.e, c.e)) * sqrt(list_dot_product(q.e, q.e))), 6) AS vector_score FROM v q, v c WHERE q.vec_id < 5),
+_SEARCH = """v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL), s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, list_dot_product(q.e, c.e) / (sqrt(list_dot_product(c.e, c.e)) * sqrt(list_dot_product(q.e, q.e))) AS vector_score FROM v q, v c WHERE q.vec_id % 50 = 0),
 t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vector_score DESC, chunk_id)::INT AS vector_rank FROM s QUALIFY vector_rank <= 15)"""
 _BUDGET = f"{CHUNKS}, w AS (SELECT *, sum(token_count) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM c), u AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS nr FROM w WHERE used <= 4000)"
 _ANSWERS = "a AS (SELECT conv_id, turn, (conv_id * 100 + turn) % 1000000 AS query_id, CASE WHEN turn % 4 = 0 THEN text || ' [2] and [1], [2] and [99]' WHEN turn % 4 = 1 THEN text || ' [77]' WHEN turn % 4 = 2 THEN repeat(text, 3) ELSE text || ' I don''t have enough information.' END AS answer FROM conversations)"
@@ -178,6 +185,14 @@ _LANGS = ", ".join(map(str, LANGUAGES))
 _BLOCK = "'--- Context [' || nr || '] ---' || chr(10) || CASE WHEN source_url = '' THEN 'Source: ' || page_title || ' (internal project metadata — do NOT cite as a URL)' ELSE 'Source URL: ' || source_url || chr(10) || 'Page Title: ' || page_title || chr(10) || 'Section: ' || CASE WHEN heading_path = '' THEN '(none)' ELSE heading_path END END || chr(10) || chr(10) || text"
 _ONCE = "'--- Context ' || nr || ' ---' || chr(10) || 'Source URL: ' || source_url || chr(10) || 'Page Title: ' || page_title || chr(10) || 'Section: ' || CASE WHEN heading_path = '' THEN '(none)' ELSE heading_path END || chr(10) || 'Content Type: paragraph' || chr(10) || 'Relevance Score: ' || printf('%.3f', coalesce(rerank_score, vector_score)) || chr(10) || chr(10) || text"
 _JOINED = "chr(10) || chr(10) ORDER BY nr"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_PROMPT = f"""{_BUDGET}, x AS (SELECT query_id AS slot, string_agg({_BLOCK}, {_JOINED}) AS context FROM u GROUP BY 1), q AS (SELECT conv_id AS query_id, arg_max(text, turn) FILTER (role = 'user') AS query FROM conversations GROUP BY 1 HAVING count(*) FILTER (role = 'user') > 0),
+p AS (SELECT query_id, CASE WHEN context IS NULL THEN 'No context documents were retrieved for this question.' || chr(10) || chr(10) || 'Question: ' || query ELSE 'Context:' || chr(10) || chr(10) || context || chr(10) || chr(10) || '---' || chr(10) || 'Question: ' || query END AS "user" FROM q LEFT JOIN x ON slot = query_id % 6)"""
 SQL = {
     "last_user_message": "SELECT conv_id, arg_max(text, turn) FILTER (role = 'user') AS query FROM conversations GROUP BY 1 HAVING count(*) FILTER (role = 'user') > 0",
     "request_validation": f"SELECT conv_id, turn, length({sql_trim('q')}) > 0 AS valid FROM (SELECT *, coalesce(CASE WHEN turn % 3 <> 0 THEN text ELSE ' ' || chr(9) END, '') AS q FROM conversations)",
@@ -185,20 +200,24 @@ SQL = {
     "expand_query": f"SELECT conv_id, turn, CASE WHEN len({_WORDS}) > 5 THEN q {_CASES} WHEN len({_WORDS}) <= 2 THEN q || ' {GENERIC_EXPANSION}' ELSE q END AS expanded FROM (SELECT conv_id, turn, array_to_string(string_split(text, ' ')[1:(1 + turn % 7)], ' ') AS q FROM conversations)",
     "static_fact_match": f"WITH {_MATCH} SELECT query_id, id, priority, grp FROM h WHERE r = 1",
     "static_chunks": f"WITH {_MATCH} SELECT query_id, 'static-' || id AS chunk_id, content AS text, source_url, source_title AS page_title, ceil(length(content) / 4.0)::BIGINT AS token_count, 1.0::DOUBLE AS vector_score, 1.0::DOUBLE AS rerank_score FROM h WHERE r = 1",
-    "vector_topk": f"WITH {_SEARCH} SELECT query_id, chunk_id, vector_score, vector_rank FROM t",
-    "vector_gate": f"WITH {_SEARCH}, g AS (SELECT query_id, count(*) AS candidates, max(vector_score) AS top FROM t WHERE chunk_id <> query_id GROUP BY 1) SELECT query_id, candidates, top, CASE WHEN top < 0.45 THEN 'low_vector_score' END AS reason, top >= 0.45 AS confident FROM g",
+    "vector_topk": f"WITH {_SEARCH} SELECT query_id, chunk_id, round(vector_score, 6) AS vector_score, vector_rank FROM t",
+    "vector_gate": f"WITH {_SEARCH}, g AS (SELECT query_id, count(*) AS candidates, max(vector_score) AS top FROM t WHERE chunk_id <> query_id GROUP BY 1) SELECT query_id, candidates, round(top, 6) AS top, CASE WHEN top < 0.45 THEN 'low_vector_score' END AS reason, top >= 0.45 AS confident FROM g",
     "rerank_topn": f"WITH {CHUNKS} SELECT query_id, rank::VARCHAR AS chunk_id, r::INT AS rank, rerank_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC NULLS LAST, rank) AS r FROM c) WHERE r <= 5",
     "final_chunks": f"WITH {CHUNKS} SELECT query_id, rank::VARCHAR AS chunk_id FROM c WHERE rerank_score IS NULL OR rerank_score >= 0.15",
     "context_budget": f"WITH {_BUDGET} SELECT query_id, rank, used FROM u",
     "build_context": f"WITH {_BUDGET} SELECT query_id, string_agg({_BLOCK}, {_JOINED}) AS context FROM u GROUP BY 1",
     "build_context_once": f"WITH {_BUDGET} SELECT query_id, string_agg({_ONCE}, {_JOINED}) AS context FROM u GROUP BY 1",
-    "resolve_citations": f"""WITH {_ANSWERS}, {CHUNKS}, l AS (SELECT query_id AS slot, list(source_url ORDER BY rank) AS urls FROM c WHERE rank < 40 GROUP BY 1),
+    "resolve_citations": f"""WITH {_ANSWERS}, {_BUDGET}, l AS (SELECT query_id AS slot, list(source_url ORDER BY rank) AS urls FROM u GROUP BY 1),
 n AS (SELECT query_id, answer, urls, list_transform(regexp_extract_all(answer, '\\[(\\d+)\\]', 1), lambda x: x::BIGINT) AS cited FROM a LEFT JOIN l ON slot = conv_id % 6),
 p AS (SELECT query_id, CASE WHEN urls IS NULL THEN [] WHEN len(cited) > 0 THEN list_transform(list_filter(cited, lambda i: i BETWEEN 1 AND len(urls)), lambda i: urls[i]) WHEN {_REFUSED} THEN [] ELSE urls END AS s FROM n)
 SELECT query_id, array_to_string(list_filter(s, lambda u, i: u <> '' AND list_position(s, u) = i), ',') AS sources FROM p""",
     "refusal_detect": f"WITH {_ANSWERS} SELECT conv_id, turn, {_REFUSED} AS refusal FROM a",
     "citation_tokens": f"WITH {_ANSWERS} SELECT conv_id, turn, regexp_replace(answer, '\\[(\\d+)\\]', '`[cit:\\1]`', 'g') AS marked FROM a",
-    "chat_events": "WITH d AS (SELECT conv_id AS query_id, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY 1), e AS (SELECT query_id, unnest(CASE WHEN query_id % 10 = 0 THEN ['error'] ELSE ['metadata'] || list_transform(range(n), lambda x: 'text') || ['sources', 'done'] END) AS event, unnest(range(CASE WHEN query_id % 10 = 0 THEN 1 ELSE n + 3 END)) AS seq FROM d) SELECT query_id, seq::INT AS seq, event FROM e",
+    "chat_events": """WITH d AS (SELECT conv_id AS query_id, list(coalesce(text, '') ORDER BY turn, coalesce(text, '')) AS t FROM conversations WHERE role = 'assistant' GROUP BY 1),
+e AS (SELECT query_id, unnest(CASE WHEN query_id % 10 = 0 THEN [{'event': 'error', 'confident': NULL, 'said': 'broken'}] ELSE [{'event': 'metadata', 'confident': CASE WHEN query_id % 3 <> 0 THEN 'true' ELSE 'false' END, 'said': 'no_results'}] || list_transform(t, lambda x: {'event': 'text', 'confident': NULL, 'said': x}) || [{'event': 'sources', 'confident': NULL, 'said': 'https://e.com/1'}, {'event': 'done', 'confident': NULL, 'said': NULL}] END) AS v, unnest(range(CASE WHEN query_id % 10 = 0 THEN 1 ELSE len(t) + 3 END)) AS seq FROM d)
+SELECT query_id, seq::INT AS seq, v.event AS event, v.confident AS confident, v.said AS said FROM e""",
+    "build_prompt": f"""WITH {_PROMPT} SELECT query_id, CASE WHEN query_id % 2 = 0 THEN {_quoted(answer.SYSTEM[True])} ELSE {_quoted(answer.SYSTEM[False])} END || ' ' || CASE WHEN query_id % 3 = 1 THEN {_quoted(answer.REPLY_IN["ur"])} ELSE {_quoted(answer.REPLY_IN["en"])} END AS system, sha256("user") AS user_digest, CASE WHEN query_id % 2 = 0 THEN 0.1 ELSE 0.25 END::DOUBLE AS temperature, 900::INT AS max_tokens FROM p""",
+    "generate": f"""WITH {_PROMPT} SELECT query_id, CASE WHEN "user" IS NULL THEN {_quoted(answer.DECLINED)} ELSE length("user") || ' characters [1]' END AS answer FROM p""",
     "fold_events": "SELECT conv_id AS query_id, CASE WHEN conv_id % 10 = 0 THEN '' ELSE string_agg(coalesce(text, ''), '' ORDER BY turn, coalesce(text, '')) END AS content, CASE WHEN conv_id % 10 = 0 THEN '' ELSE 'https://e.com/1' END AS urls, conv_id % 10 <> 0 AND conv_id % 3 = 0 AS is_refusal, CASE WHEN conv_id % 10 = 0 THEN 'broken' END AS error FROM conversations WHERE role = 'assistant' GROUP BY conv_id",
     "message_upsert": "SELECT event_id % 500 AS id, min(event_id) AS seq, arg_max(event_type, event_id) AS event_type, arg_max(user_id, event_id) AS user_id FROM events GROUP BY 1",
 }

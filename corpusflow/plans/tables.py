@@ -17,9 +17,14 @@ def checkpoints(spark: SparkSession) -> None:
     """Operators that cut their lineage need a folder: the session's, or one of our own where none is set."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusflow-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not folder:
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="corpusflow-")
+        sc.setCheckpointDir(folder)
 
 
 def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,28 +54,44 @@ def _fs(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at, jvm
 
 
+def _pointers(fs, root) -> list[int]:
+    """Numbers of the pointers under a root, the newest first."""
+    if not fs.exists(root):
+        return []
+    names = [x.getPath().getName() for x in fs.listStatus(root)]
+    return sorted((int(n.removeprefix("pointer-")) for n in names if n.removeprefix("pointer-").isdigit()), reverse=True)
+
+
 def save_versioned(rows: DataFrame, root: str, version: int = schemas.SNAPSHOT_VERSION) -> str:
-    """Write a table beside those before it, then turn the pointer; the path being read is never overwritten."""
+    """Write a table beside those before it, then a pointer with the next number. Nothing is overwritten or
+    deleted, so after a crash at any point the table before is still the current one."""
     spark, name = rows.sparkSession, uuid.uuid4().hex
     rows.write.parquet(f"{root}/data-{name}")
-    spark.createDataFrame([(json.dumps({"version": version, "data": f"data-{name}"}),)], "value string").coalesce(1).write.text(f"{root}/pointer-{name}")
-    fs, current, jvm = _fs(spark, f"{root}/current")
-    fs.delete(current, True)
-    if not fs.rename(jvm.org.apache.hadoop.fs.Path(f"{root}/pointer-{name}"), current):
-        raise OSError(f"{root}/current could not be set")
+    made = f"{root}/new-{name}"
+    spark.createDataFrame([(json.dumps({"version": version, "data": f"data-{name}"}),)], "value string").coalesce(1).write.text(made)
+    fs, at, jvm = _fs(spark, root)
+    path = jvm.org.apache.hadoop.fs.Path
+    number = next(iter(_pointers(fs, at)), 0) + 1
+    while fs.exists(path(f"{root}/pointer-{number}")) or not fs.rename(path(made), path(f"{root}/pointer-{number}")):
+        if not fs.exists(path(made)):
+            raise OSError(f"no pointer could be set under {root}")
+        number += 1
     return f"{root}/data-{name}"
 
 
 def load_versioned(spark: SparkSession, root: str, schema: str = schemas.SNAPSHOT, version: int = schemas.SNAPSHOT_VERSION) -> DataFrame:
-    """The current table; an empty one where there is none, it is of another version or unreadable."""
+    """The table of the newest complete pointer; an empty one where there is none, it is of another version or unreadable."""
     empty = spark.createDataFrame([], schema)
-    fs, current, _ = _fs(spark, f"{root}/current")
-    if not fs.exists(current):
-        return empty
-    try:
-        said = json.loads(spark.read.text(f"{root}/current").first()[0])
-    except (ValueError, TypeError):
-        return empty
-    if not isinstance(said, dict) or said.get("version") != version or not fs.exists(current.getParent().suffix(f"/{said.get('data')}")):
-        return empty
-    return spark.read.schema(schema).parquet(f"{root}/{said['data']}")
+    fs, at, jvm = _fs(spark, root)
+    path = jvm.org.apache.hadoop.fs.Path
+    for number in _pointers(fs, at):
+        if not fs.exists(path(f"{root}/pointer-{number}/_SUCCESS")):
+            continue
+        try:
+            said = json.loads(spark.read.text(f"{root}/pointer-{number}").first()[0])
+        except (ValueError, TypeError):
+            return empty
+        if not isinstance(said, dict) or said.get("version") != version or not fs.exists(path(f"{root}/{said.get('data')}")):
+            return empty
+        return spark.read.schema(schema).parquet(f"{root}/{said['data']}")
+    return empty

@@ -72,7 +72,7 @@ def test_search_in_turns(spark, monkeypatch):
     rows = spark.createDataFrame([(i, [float(i % 3), 1.0, float(i)]) for i in range(30)], "chunk_id long, vector array<float>")
     asked = rows.where("chunk_id < 6").withColumnRenamed("chunk_id", "query_id")
     once = sorted(map(tuple, index.search(rows, asked, 4).collect()))
-    monkeypatch.setattr(index, "QUERIES_AT_ONCE", 2)
+    monkeypatch.setattr(index, "QUERY_BYTES", 2 * 8 * 3)
     assert sorted(map(tuple, index.search(rows, asked, 4).collect())) == once and len(once) == 24
 
 
