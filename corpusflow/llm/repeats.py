@@ -389,6 +389,7 @@ def removed(docs: DataFrame, keep_text: bool, carry: bool) -> DataFrame:
             cut = np.searchsorted(spans["doc"], np.arange(batch.num_rows + 1))
             gone = np.bincount(spans["doc"], spans["end"] - spans["start"], batch.num_rows).astype(np.int64) if len(spans) else np.zeros(batch.num_rows, np.int64)
             held, digest, texts = memoryview(np.ascontiguousarray(data)), [], []
+            null = batch.column("text").is_null().to_pylist()
             for i in range(batch.num_rows):
                 mine = spans[cut[i] : cut[i + 1]]
                 left = [held[x:y] for x, y in zip((offsets[i] + np.r_[0, mine["end"]]).tolist(), [*(offsets[i] + mine["start"]).tolist(), int(offsets[i + 1])], strict=True)] if len(mine) else [held[offsets[i] : offsets[i + 1]]]
@@ -397,7 +398,7 @@ def removed(docs: DataFrame, keep_text: bool, carry: bool) -> DataFrame:
                     whole.update(x)
                 digest.append(whole.hexdigest())
                 if keep_text:
-                    texts.append(b"".join(left).decode("utf-8", "ignore"))
+                    texts.append(None if null[i] else b"".join(left).decode("utf-8", "ignore"))
             columns = [batch.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array(gone), pa.array(np.diff(cut), pa.int64()), pa.array(digest, pa.string())]
             if keep_text:
                 columns.append(pa.array(texts, pa.string()))
@@ -413,29 +414,27 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, keep_text:
     docs(doc_id, text): each byte goes that is covered by a `length`-byte string which also starts
     earlier (smaller doc_id, or the same document, earlier start), judged on the input.
 
-    Texts are UTF-8 bytes; a null text is empty; strings never cross documents. kept_text leaves out
-    the bytes of characters that were cut in two. Strings are compared by their bytes, whole phrases
+    Texts are UTF-8 bytes; a null text is empty; strings never cross documents. kept_text (null for a null
+    text) leaves out the bytes of characters that were cut in two. Strings are compared by their bytes, whole phrases
     (and strings of triggers with more than `hot` phrases) by 128-bit BLAKE2b digests. Rows without
     doc_id take no part; of a repeated doc_id each distinct text counts, under the key identified()
-    gives it (unique: ids are known to be distinct). carry: a struct `row` holds each row as it came;
-    other columns are not carried. An empty table gives an empty result.
+    gives it (unique: ids are known to be distinct). carry: a struct `row` holds the
+    other columns; else they are not carried. An empty table gives an empty result.
     """
     if k >= length:
         raise ValueError("k must be less than length")
-    if carry:
-        docs = docs if unique else identified(docs.where("doc_id IS NOT NULL"))
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-        docs = rows.select("doc_id", "text")
-    else:
-        docs = rows = keyed_texts(docs, unique)
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(True).alias("none")]
+    docs = (docs if unique else identified(docs.where("doc_id IS NOT NULL"))) if carry else keyed_texts(docs, unique)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.struct(*rest).alias("row")] * carry).where("doc_id IS NOT NULL")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(tasks(docs.sparkSession), math.ceil(size / SHARE))
     told = stored(dictionary(phrases(docs, parts, length, k, local_hot), parts, length, hot))
     ask = told.where(F.col("kind") != REMOVE).groupBy("doc_id").agg(F.collect_list(F.struct("kind", "a", "b", "trigger", "before")).alias("spans"))
-    strings = sorted_suffixes(compared(docs.join(ask, "doc_id").select("doc_id", "text", "spans"), parts, length), parts, length, k)
+    # Both joins take the same columns of docs, so the texts are shuffled once for the two.
+    strings = sorted_suffixes(compared(docs.join(ask, "doc_id").select(*docs.columns, "spans"), parts, length), parts, length, k)
     gone = told.where(F.col("kind") == REMOVE).select("doc_id", "a", "b").unionByName(strings)
     spans = gone.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return removed(rows.join(spans, "doc_id", "left").select(*rows.columns, "spans"), keep_text, carry)
+    return removed(docs.join(spans, "doc_id", "left").select(*docs.columns, "spans"), keep_text, carry)
 
 
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
