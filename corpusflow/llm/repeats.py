@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from corpusflow.llm.common import Rolling, digests, identified, keyed_texts, mix, slices, stored, tasks, text_buffer
 
 LENGTH, K = 100, 32
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Bytes of text to each task that dictionary and suffixes are dealt to.
 SHARE = 32 << 20
 #: Phrases or strings that a task sorts at a time; rows of one trigger or string stay together.

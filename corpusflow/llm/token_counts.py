@@ -17,13 +17,15 @@ from pyspark.sql import functions as F
 
 #: Pre-tokens of a leaf; one that grows to four times as many makes the tree be built anew.
 LEAF = 64
+#: Pre-tokens whose tokens a task remembers.
+MEMORY = 200_000
 #: A byte-level BPE; another file may be named by the setting below.
 TOKENIZER, SETTING = "/opt/tokenizers/byte_bpe_50k.tiktoken", "spark.corpusflow.tokenizer"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Known(dict):
-    """Tokens of pre-tokens, remembered for up to a million of them."""
+    """Tokens of pre-tokens, remembered for up to MEMORY of them."""
 
     def __init__(self, encoding) -> None:
         super().__init__()
@@ -31,7 +33,7 @@ class Known(dict):
 
     def __missing__(self, piece: str) -> int:
         n = len(self.encoding.encode_ordinary(piece))
-        if len(self) >= 1_000_000:
+        if len(self) >= MEMORY:
             self.clear()
         self[piece] = n
         return n
