@@ -15,10 +15,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusflow.llm.common import slices, text_buffer
+
 #: Pre-tokens of a leaf; one that grows to four times as many makes the tree be built anew.
 LEAF = 64
 #: Pre-tokens whose tokens a task remembers.
 MEMORY = 200_000
+#: Bytes of text whose trees are sent on at once.
+SLICE = 1 << 21
 #: A byte-level BPE; another file may be named by the setting below.
 TOKENIZER, SETTING = "/opt/tokenizers/byte_bpe_50k.tiktoken", "spark.corpusflow.tokenizer"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -178,6 +182,13 @@ class TokenTree:
                     sums[j] = sums[2 * j] + sums[2 * j + 1]
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows with up to SLICE bytes of text in a batch, or one row."""
+    for batch in batches:
+        for a, b in slices(text_buffer(batch.column("text"))[1], SLICE):
+            yield batch.slice(a, b - a)
+
+
 TREES = "doc_id long, text string, pieces binary, leaves binary, sums binary, n_pretokens long, n_tokens long"
 
 
@@ -189,7 +200,7 @@ def build_trees(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(ranks)
-        for batch in batches:
+        for batch in _sliced(batches):
             out = []
             for text in batch.column("text"):
                 tree = TokenTree(text.as_py() or "", counter)
@@ -201,6 +212,13 @@ def build_trees(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, TREES)
 
 
+def edit_all(tree: TokenTree, script: list[dict]) -> int:
+    """Applies edits in turn; how many there were."""
+    for e in script:
+        tree.edit(e["start"] or 0, e["stop"] or 0, e["replacement"] or "")
+    return len(script)
+
+
 EDITS = "array<struct<start:long,stop:long,replacement:string>>"
 
 
@@ -213,7 +231,7 @@ def updated(trees: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(ranks)
-        for batch in batches:
+        for batch in _sliced(batches):
             out, texts = [], []
             columns = [batch.column(c) for c in ("text", "pieces", "leaves", "sums", "edits")]
             for text, pieces, leaves, sums, edits in zip(*columns, strict=True):
@@ -221,8 +239,7 @@ def updated(trees: DataFrame, tokenizer: str | None = None) -> DataFrame:
                 text = text.as_py()
                 script = script if text is not None else []
                 tree = TokenTree.load(text or "", pieces.as_py(), leaves.as_py(), sums.as_py(), counter)
-                for e in script:
-                    tree.edit(e["start"] or 0, e["stop"] or 0, e["replacement"] or "")
+                edit_all(tree, script)
                 texts.append(None if text is None else tree.text)
                 out.append((*tree.saved(), tree.n_pretokens, tree.n_tokens, len(script), tree.encoded))
             rows = list(zip(*out, strict=True)) or [[]] * 7
@@ -256,14 +273,30 @@ def sample_edits(text: Column) -> Column:
 def edited_counts(docs: DataFrame, edits: Column | None = None, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, n_pretokens, n_tokens, n_edits, n_tokens_edited, n_reencoded) for every row of
     docs(doc_id, text): tokens of the whole text by its tree, and after `edits`, a column of EDITS over
-    `text` (three sample edits unless given). n_reencoded: pre-tokens the edits encoded anew.
+    `text` (three sample edits unless given). n_reencoded: pre-tokens the edits encoded anew. A tree lives while
+    its row is answered; where trees are to be kept for later edits, build_trees and apply_edits keep them.
 
     A null text is empty and isn't edited. Places beyond the text mean its end. Repeated rows and null
     ids are each answered; other columns are not carried; an empty table gives an empty result.
     """
-    trees = build_trees(docs, tokenizer).withColumn("edits", sample_edits(F.col("text")) if edits is None else edits)
-    rows = updated(trees, tokenizer)
-    return rows.select("doc_id", F.col("n_pretokens_before").alias("n_pretokens"), F.col("n_tokens_before").alias("n_tokens"), "n_edits", F.col("n_tokens").alias("n_tokens_edited"), "n_reencoded")
+    ranks = ranks_of(docs.sparkSession, tokenizer)
+    names = ["doc_id", "n_pretokens", "n_tokens", "n_edits", "n_tokens_edited", "n_reencoded"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter(ranks)
+        for batch in batches:
+            out = []
+            for text, edits in zip(batch.column("text"), batch.column("edits"), strict=True):
+                text, script = text.as_py(), edits.as_py() or []
+                tree = TokenTree(text or "", counter)
+                before = tree.n_pretokens, tree.n_tokens
+                n = 0 if text is None else edit_all(tree, script)
+                out.append((*before, n, tree.n_tokens, tree.encoded))
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns)], names)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (sample_edits(F.col("text").cast("string")) if edits is None else edits).alias("edits"))
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def counted(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

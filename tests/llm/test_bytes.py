@@ -264,3 +264,15 @@ def test_vectors_in_one_length():
     table = pa.table({"vec_id": [3, 1, 2], "embedding": pa.array([[1.0, 2.0], [3.0], [0.0, 1.0]], pa.list_(pa.float64()))})
     got = [(ids.tolist(), x.tolist()) for ids, x in blocks.by_length(table)]
     assert got == [([1], [[3.0]]), ([2, 3], [[0.0, 1.0], [1.0, 2.0]])]
+
+
+def test_counts_in_one_pass_are_those_of_kept_trees(spark, monkeypatch):
+    rows = [(i, None if i == 3 else prose(i * 9, i)) for i in range(14)] + [(None, "a b"), (5, prose(45, 5))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    kept = token_counts.updated(token_counts.build_trees(docs).withColumn("edits", token_counts.sample_edits(F.col("text"))))
+    want = Counter((r["doc_id"], r["n_pretokens_before"], r["n_tokens_before"], r["n_edits"], r["n_tokens"], r["n_reencoded"]) for r in kept.collect())
+    assert Counter(map(tuple, token_counts.edited_counts(docs).collect())) == want
+    (batch,) = pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]}).to_batches()
+    monkeypatch.setattr(token_counts, "SLICE", 200)
+    parts = list(token_counts._sliced([batch]))
+    assert len(parts) > 3 and pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
