@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, field, fields
 
 # Query parameters that never tell pages apart.
 STRIP_PARAMS = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "mc_cid", "mc_eid", "sessionid", "sid", "page", "size", "p", "per_page", "offset", "v", "ver", "version", "_", "t")
@@ -95,3 +97,27 @@ class AnswerConfig:
     max_tokens_once: int = 800
     temperature: float = 0.1
     temperature_unsure: float = 0.25
+
+
+def from_env(kind: type, prefix: str = "CORPUSFLOW_", env: Mapping[str, str] | None = None):
+    """Settings of a kind above with the fields that the environment names, as prefix + FIELD: numbers as
+    they are, true or false, lists with commas, an empty value for None. What doesn't parse is an error."""
+    env, given = os.environ if env is None else env, {}
+    for f in fields(kind):
+        said = env.get(prefix + f.name.upper())
+        if said is None or f.name == "expansions":
+            continue
+        given[f.name] = _parsed(f.name, str(f.type), said.strip())
+    return kind(**given)
+
+
+def _parsed(name: str, kind: str, said: str):
+    if "tuple" in kind:
+        return tuple(x.strip() for x in said.split(",") if x.strip())
+    if "None" in kind and not said:
+        return None
+    if kind == "bool":
+        if said.lower() not in ("true", "false"):
+            raise ValueError(f"{name} must be true or false, not {said}")
+        return said.lower() == "true"
+    return int(said) if kind.startswith("int") else float(said) if kind == "float" else said

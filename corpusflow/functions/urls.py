@@ -12,6 +12,8 @@ from corpusflow.functions.text import or_else, trimmed
 
 #: scheme, authority, path, query, fragment
 PARTS = r"(?is)\A(https?):[/\\]{2}([^/\\?#]+)([^?#]*)(\?[^#]*)?(#.*)?\z"
+#: Characters that no path has in normal form.
+UNSAFE = r"[^\x21\x23-\x3b\x3d\x3f-\x5d\x5f\x61-\x7a\x7c\x7e]"
 #: Characters that no authority has.
 BAD_HOST = r"[\s<>\[\]^|%\x00-\x20\x7f]"
 
@@ -40,6 +42,13 @@ def _resolved(path: Column) -> Column:
     return _let(kept, lambda k: F.concat(F.lit("/"), F.array_join(k, "/"), F.when(folder & (F.size(k) > 0), "/").otherwise("")))
 
 
+def _encoded(path: Column) -> Column:
+    """Controls, blanks, quotes, angle brackets, braces, carets, backquotes and what is beyond ASCII as %XX
+    of their UTF-8; escapes that are there stay as they are."""
+    one = lambda c: F.when(c == " ", "%20").when(c.rlike(UNSAFE), F.url_encode(c)).otherwise(c)
+    return F.when(path.rlike(UNSAFE), F.array_join(F.transform(F.regexp_extract_all(path, F.lit("(?s)."), 0), one), "")).otherwise(path)
+
+
 def _query(raw: Column) -> Column:
     """Kept parameters, decoded, in order of `key,value`, encoded again."""
     words = lambda c: F.coalesce(F.try_url_decode(c), c)
@@ -79,7 +88,7 @@ def _normalize(url: Column) -> Column:
     host = F.regexp_replace(authority, r"\Awww\.", "")
     host = F.regexp_replace(host, r":443\z|:\z", "")
     host = F.when(scheme == "http", F.regexp_replace(host, r":80\z", "")).otherwise(host)
-    path = F.regexp_replace(F.translate(_part(url, 3), "\\", "/"), " ", "%20")
+    path = _let(F.regexp_replace(F.translate(_part(url, 3), "\\", "/"), r"[\t\n\r]", ""), _encoded)
     path = _let(or_else(path, F.lit("/")), _without_dots)
     path = F.regexp_replace(path, r"(?<=.)/\z", "")
     query = F.regexp_replace(_query(_part(url, 4)), r"\A(?=.)", "?")

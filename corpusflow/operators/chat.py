@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.config import LANGUAGES
@@ -72,3 +72,20 @@ def upsert_messages(rows: DataFrame, key: str = "id", order: str = "seq") -> Dat
     return last.select(key, order, *[F.col(f"m.{c}").alias(c) for c in rest])
 
 
+MESSAGES = "session string, id string, seq long, role string, content string"
+
+
+def save_messages(rows: DataFrame, path: str) -> None:
+    """Append rows(MESSAGES) to the history; what was written before is never rewritten."""
+    rows.select(*[c.split()[0] for c in MESSAGES.split(", ")]).write.mode("append").parquet(path)
+
+
+def load_messages(spark: SparkSession, path: str) -> DataFrame:
+    """The history with the last version of each message of a session, at the place of its first; empty
+    where there is none. Files that can't be read are left out."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], MESSAGES)
+    rows = spark.read.schema(MESSAGES).option("ignoreCorruptFiles", True).parquet(path)
+    last = rows.groupBy("session", "id").agg(F.max_by(F.struct("role", "content"), "seq").alias("m"), F.min("seq").alias("seq"))
+    return last.select("session", "id", "seq", "m.role", "m.content")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,18 +65,30 @@ def clean_pages(pages: DataFrame, config: CleanConfig = CleanConfig(), cleaned_a
     return first_by_hash(clean(pages, config, cleaned_at).where("kept").drop("kept"))
 
 
-def clean_manifest(cleaned: DataFrame) -> DataFrame:
-    """One row of counts from clean()'s rows, duplicates counted by hash."""
+def _extra(**values: int | str | None) -> list[Column]:
+    """Constants of a manifest that were given."""
+    return [F.lit(v).cast("long" if isinstance(v, int) else "string").alias(c) for c, v in values.items() if v is not None]
+
+
+def clean_manifest(cleaned: DataFrame, dropped_error: int | None = None, started_at: str | None = None, finished_at: str | None = None) -> DataFrame:
+    """One row of counts from clean()'s rows, duplicates counted by hash; where they are given, also the
+    pages that couldn't be read (see invalid_count), begin and end."""
     by_hash = cleaned.groupBy("kept", "sourceHash").agg(F.count("*").alias("n"))
     return by_hash.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("pages_read"), F.count_if("kept").alias("pages_cleaned"),
         F.coalesce(F.sum(F.when(~F.col("kept"), F.col("n"))), F.lit(0)).alias("dropped_short"), F.coalesce(F.sum(F.when(F.col("kept"), F.col("n") - 1)), F.lit(0)).alias("dropped_duplicate"),
+        *_extra(dropped_error=dropped_error, started_at=started_at, finished_at=finished_at),
     )
 
 
-def chunk_manifest(pages_read: int, chunks: DataFrame) -> DataFrame:
-    """Counts and rounded averages; 0 where there is nothing."""
+def invalid_count(pages: DataFrame, valid: Callable[[DataFrame], DataFrame]) -> int:
+    """How many rows `valid` (valid_raw, valid_cleaned) leaves out."""
+    return pages.count() - valid(pages).count()
+
+
+def chunk_manifest(pages_read: int, chunks: DataFrame, pages_failed: int | None = None, started_at: str | None = None, finished_at: str | None = None) -> DataFrame:
+    """Counts and rounded averages; 0 where there is nothing. Pages that failed, begin and end where given."""
     per = chunks.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("token_count").alias("tokens"))
     totals = per.agg(F.count("*").alias("pages_chunked"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_chunks"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
     ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
-    return totals.select(F.lit(pages_read).cast("long").alias("pages_read"), "pages_chunked", "total_chunks", (half_up(ratio("total_chunks", "pages_chunked") * 10) / 10).alias("avg_chunks_per_page"), half_up(ratio("tokens", "total_chunks")).alias("avg_tokens_per_chunk"))
+    return totals.select(F.lit(pages_read).cast("long").alias("pages_read"), "pages_chunked", "total_chunks", (half_up(ratio("total_chunks", "pages_chunked") * 10) / 10).alias("avg_chunks_per_page"), half_up(ratio("tokens", "total_chunks")).alias("avg_tokens_per_chunk"), *_extra(pages_failed=pages_failed, started_at=started_at, finished_at=finished_at))

@@ -63,12 +63,13 @@ def rebuild_snapshot(changes: DataFrame, results: DataFrame, previous: DataFrame
     return old.unionByName(new)
 
 
-def run_metadata(changes: DataFrame, results: DataFrame) -> DataFrame:
-    """One row of counts; unchanged pages count as skipped."""
+def run_metadata(changes: DataFrame, results: DataFrame, started_at: str | None = None, finished_at: str | None = None) -> DataFrame:
+    """One row of counts; unchanged pages count as skipped. Begin and end are in it where they are given."""
+    times = [F.lit(v).alias(c) for c, v in (("started_at", started_at), ("finished_at", finished_at)) if v is not None]
     a = changes.agg(F.count_if(F.col("change") != "removed").alias("total_urls_discovered"), F.count_if(F.col("change") == "removed").alias("pages_removed"), F.count_if(F.col("change") == "unchanged").alias("unchanged"))
     n = lambda s: F.count_if(F.col("status") == s)
     b = results.agg(n("added").alias("pages_added"), n("updated").alias("pages_updated"), n("skipped").alias("skipped"), n("error").alias("errors"))
-    return a.join(b).select("pages_added", "pages_updated", "pages_removed", (F.col("skipped") + F.col("unchanged")).alias("pages_skipped"), "errors", "total_urls_discovered")
+    return a.join(b).select("pages_added", "pages_updated", "pages_removed", (F.col("skipped") + F.col("unchanged")).alias("pages_skipped"), "errors", "total_urls_discovered", *times)
 
 
 @dataclass

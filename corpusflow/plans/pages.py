@@ -103,7 +103,8 @@ def clean_pages(spark, sf_dir):
 
 
 def clean_manifest(spark, sf_dir):
-    return clean.clean_manifest(clean.clean(raw_pages(spark, sf_dir)))
+    pages = raw_pages(spark, sf_dir)
+    return clean.clean_manifest(clean.clean(clean.valid_raw(pages)), clean.invalid_count(pages, clean.valid_raw))
 
 
 def chunk_pages(spark, sf_dir):
@@ -113,8 +114,8 @@ def chunk_pages(spark, sf_dir):
 
 def chunk_manifest(spark, sf_dir):
     checkpoints(spark)
-    pages = clean.clean_pages(raw_pages(spark, sf_dir)).checkpoint()
-    return clean.chunk_manifest(pages.count(), chunk.chunk_pages(pages))
+    pages = clean.clean_pages(clean.valid_raw(raw_pages(spark, sf_dir))).checkpoint()
+    return clean.chunk_manifest(pages.count(), chunk.chunk_pages(clean.valid_cleaned(pages)), clean.invalid_count(pages, clean.valid_cleaned))
 
 
 def index_pages(spark, sf_dir):
