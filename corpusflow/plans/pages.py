@@ -206,13 +206,15 @@ _NORM = rf"""'https://' || {_HOST} || CASE WHEN {_PATH} IN ('', '/') THEN '/' EL
 _PIECES = "unnest(list_transform(range(0, length(text), 400), lambda i: substring(text, i + 1, 400)))"
 _SEGMENT = "replace(list_filter(string_split(regexp_extract(url, '(?i)^https?://[^/?#]+([^?#]*)', 1), '/'), lambda x: x <> '')[-1], '-', ' ')"
 _LABEL = rf"coalesce(list_aggregate(list_transform(regexp_extract_all({_SEGMENT}, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+'), lambda w: upper(w[1]) || w[2:]), 'string_agg', ''), 'Home')"
+#: A path as URLs have it: what a path can't hold as %XX of its UTF-8.
+_ENCODED = r"coalesce(list_aggregate(list_transform(regexp_extract_all({0}, '(?s).'), lambda c: CASE WHEN regexp_matches(c, '[^\x21\x23-\x3b\x3d\x3f-\x5d\x5f\x61-\x7a\x7c\x7e]') THEN url_encode(c) ELSE c END), 'string_agg', ''), '')"
 #: Links lead to no page of the table, so what isn't a page lies one step away and fails, if it may be fetched at all.
 _CRAWL = rf"""s AS (SELECT DISTINCT {_NORM} AS url FROM pages), g AS (SELECT {_NORM} AS url, min_by(html, page_id) AS html FROM pages GROUP BY 1),
 r(kind, pattern) AS (VALUES {', '.join(map(str, RULES))}), b AS (SELECT url, html, {_PATH} AS path, true AS ruled FROM g),
 judged AS (SELECT url, html, coalesce(max(length(pattern)) FILTER (kind = 'disallow'), -1) AS deny, coalesce(max(length(pattern)) FILTER (kind = 'allow'), -1) AS allow FROM b LEFT JOIN r ON ruled AND starts_with(path, pattern) GROUP BY 1, 2),
 f AS (SELECT url, html, CASE WHEN deny = -1 OR allow >= deny THEN 'fetched' ELSE 'robots' END AS outcome FROM judged),
 h AS (SELECT url AS src, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href=.([^>''"]*)', 1)) AS href FROM f WHERE outcome = 'fetched'),
-t AS (SELECT DISTINCT regexp_extract(src, '^(https://[^/?#]*)', 1) || regexp_replace(href, '(.)/$', '') AS url FROM h WHERE starts_with(href, '/')),
+t AS (SELECT DISTINCT regexp_extract(src, '^(https://[^/?#]*)', 1) || regexp_replace({_ENCODED.format('href')}, '(.)/$', '\1') AS url FROM h WHERE starts_with(href, '/')),
 n AS (SELECT url, {_PATH} AS path, true AS ruled FROM t WHERE url NOT IN (SELECT url FROM s)),
 m AS (SELECT url, path, coalesce(max(length(pattern)) FILTER (kind = 'disallow'), -1) AS deny, coalesce(max(length(pattern)) FILTER (kind = 'allow'), -1) AS allow FROM n LEFT JOIN r ON ruled AND starts_with(path, pattern) GROUP BY 1, 2),
 o AS (SELECT url, 0 AS depth, outcome FROM f UNION ALL SELECT url, 1, CASE WHEN regexp_matches(path, '(?i)\.({'|'.join(SKIP_EXTENSIONS)})\z') THEN 'extension' WHEN deny = -1 OR allow >= deny THEN 'failed' ELSE 'robots' END FROM m)"""
@@ -244,7 +246,7 @@ SELECT origin, kind, pattern FROM a WHERE applies AND kind IN ('allow', 'disallo
     "discover": f"WITH u AS (SELECT DISTINCT {_NORM} AS url FROM pages) SELECT url, '2024-01-01' AS lastmod FROM u",
     "robots_longest_match": f"WITH r(kind, pattern) AS (VALUES {', '.join(map(str, RULES))}), p AS (SELECT page_id, {_PATH} AS path FROM pages), m AS (SELECT page_id, coalesce(max(length(pattern)) FILTER (kind = 'disallow'), -1) AS deny, coalesce(max(length(pattern)) FILTER (kind = 'allow'), -1) AS allow FROM p LEFT JOIN r ON starts_with(p.path, r.pattern) GROUP BY 1) SELECT page_id, deny = -1 OR allow >= deny AS allowed FROM m",
     "crawl_bfs": "WITH RECURSIVE g AS (SELECT page_id AS src, (page_id * 7 + k) % (SELECT count(*) FROM pages) AS dst FROM pages, (VALUES (0), (1), (2)) t(k)), r(url, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT g.dst, r.depth + 1 FROM r JOIN g ON g.src = r.url WHERE r.depth < 4) SELECT url::VARCHAR AS url, min(depth)::INT AS depth FROM r GROUP BY 1",
-    "link_extract": rf"WITH p AS (SELECT {_NORM} AS src, regexp_extract_all(html, '(?i)<a\s[^>]*?href=.([^>''\x22]*)', 1) AS l FROM pages), h AS (SELECT src, unnest(l) AS href, unnest(range(len(l))) AS pos FROM p) SELECT src, regexp_extract(src, '^(https://[^/?#]*)', 1) || regexp_replace(href, '(.)/$', '\1') AS dst, min(pos) AS pos FROM h WHERE starts_with(href, '/') GROUP BY 1, 2",
+    "link_extract": rf"WITH p AS (SELECT {_NORM} AS src, regexp_extract_all(html, '(?i)<a\s[^>]*?href=.([^>''\x22]*)', 1) AS l FROM pages), h AS (SELECT src, unnest(l) AS href, unnest(range(len(l))) AS pos FROM p) SELECT src, regexp_extract(src, '^(https://[^/?#]*)', 1) || regexp_replace({_ENCODED.format('href')}, '(.)/$', '\1') AS dst, min(pos) AS pos FROM h WHERE starts_with(href, '/') GROUP BY 1, 2",
     "url_labels": f"SELECT page_id, {_HOST} AS host_label, {_LABEL} AS path_label, CASE WHEN page_id % 2 = 0 THEN 'T' ELSE {_LABEL} END AS title FROM pages",
 }
 NAMES = (url_normalize, url_dedupe, url_domain_filter, url_skip_extension, url_labels, doc_ids, content_hash, normalize_whitespace, token_estimate, chunk_fixed_split, sentence_split, section_islands, dominant_type, min_length_filter, source_hash_dedupe, retrieval_text, link_extract, clean_pages, clean_manifest, chunk_pages, chunk_manifest, index_pages, index_batches, flat_metadata, robots_rules, robots_longest_match, crawl_bfs, crawl_outcomes, crawl_manifest, discover)
