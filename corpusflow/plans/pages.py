@@ -8,6 +8,7 @@ from corpusflow.config import SKIP_EXTENSIONS, STRIP_PARAMS
 from corpusflow.functions import text, tokens, urls
 from corpusflow.operators import chunk, clean, crawl, index
 from corpusflow.operators.html import parsed
+from corpusflow.plans import page_sql
 from corpusflow.plans.tables import BLOCKS, WS, blocks, checkpoints, chunks, raw_pages, sql_normalized, sql_trim, table, web
 
 DOMAINS = ("news.example", "www.example.com", "wiki.example")
@@ -219,6 +220,7 @@ n AS (SELECT url, {_PATH} AS path, true AS ruled FROM t WHERE url NOT IN (SELECT
 m AS (SELECT url, path, coalesce(max(length(pattern)) FILTER (kind = 'disallow'), -1) AS deny, coalesce(max(length(pattern)) FILTER (kind = 'allow'), -1) AS allow FROM n LEFT JOIN r ON ruled AND starts_with(path, pattern) GROUP BY 1, 2),
 o AS (SELECT url, 0 AS depth, outcome FROM f UNION ALL SELECT url, 1, CASE WHEN regexp_matches(path, '(?i)\.({'|'.join(SKIP_EXTENSIONS)})\z') THEN 'extension' WHEN deny = -1 OR allow >= deny THEN 'failed' ELSE 'robots' END FROM m)"""
 SQL = {
+    **page_sql.SQL,
     "url_normalize": f"SELECT page_id, {_NORM} AS norm FROM pages",
     "url_dedupe": f"SELECT {_NORM} AS norm, min(page_id) AS first_page, count(*) AS n FROM pages GROUP BY 1",
     "url_domain_filter": f"SELECT page_id, {_HOST} AS host, {_HOST} IN ('news.example', 'example.com', 'wiki.example') AS allowed FROM pages",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.urls import doc_id
 from corpusflow.operators import incremental, index
+from corpusflow.plans import page_sql
 from corpusflow.plans.tables import SITEMAP, SNAPSHOT, checkpoints, raw_pages, sitemap, snapshot, table
 
 
@@ -81,9 +82,14 @@ _DIFF = f"""{SNAPSHOT}, {SITEMAP}, d AS (SELECT coalesce(cur.url, prev.url) AS u
  FROM cur FULL OUTER JOIN prev ON cur.url = prev.url)"""
 _RESULTS = f"""{_DIFF}, n AS (SELECT *, ('0x' || sha256(url)[1:4])::BIGINT AS h FROM d WHERE change IN ('added', 'changed')),
 r AS (SELECT *, CASE WHEN h % 5 = 0 THEN 'skipped' WHEN h % 7 = 0 THEN 'error' WHEN change = 'added' THEN 'added' ELSE 'updated' END AS status FROM n)"""
+#: What of the candidates is new, and its chunks; a page isn't compared with others here.
+_FRESH = f"""{_DIFF}, {page_sql.CLEANED}, n AS (SELECT d.url, d.lastmod, d.hash AS was_hash, coalesce(d.hash, '') = '' AS first, sha256(q.html) AS now_hash, coalesce(coalesce(d.hash, '') = '' OR d.hash <> sha256(q.html), false) AND q.url IS NOT NULL AS differs FROM d LEFT JOIN pages q ON q.url = d.url WHERE change IN ('added', 'changed')),
+o AS (SELECT * FROM p WHERE kept AND url IN (SELECT url FROM n WHERE differs)), {page_sql.chunked('o')}, y AS (SELECT source_url AS url, count(*) AS made FROM k GROUP BY 1)"""
 _IDX = "i AS (SELECT sha256('https://e.com/' || (doc_id % 100))[1:16] || '-' || doc_id AS chunk_id, sha256('https://e.com/' || (doc_id % 100))[1:16] AS doc_id, n_chars FROM documents)"
 _GONE = "g AS (SELECT sha256('https://e.com/' || x)[1:16] AS doc_id FROM range(0, 100, 9) t(x))"
 SQL = {
+    "process_delta": f"WITH {_FRESH}, z AS (SELECT n.url, lastmod, CASE WHEN NOT differs THEN 'skipped' WHEN made IS NULL THEN 'error' WHEN first THEN 'added' ELSE 'updated' END AS status, now_hash, coalesce(made, 0) AS chunks_written FROM n LEFT JOIN y USING (url)) SELECT url, lastmod, status, CASE WHEN status IN ('added', 'updated') THEN now_hash END AS \"newHash\", chunks_written FROM z",
+    "incremental_refresh": f"WITH {_FRESH} SELECT chunk_id, doc_id, source_url, chunk_index, token_count, sha256(text) AS text_digest FROM k",
     "diff_snapshot": f"WITH {_DIFF} SELECT url, lastmod, change FROM d",
     "fetch_changes": f"WITH {_DIFF} SELECT d.url, d.hash AS prevHash, sha256(p.html) AS contentHash, coalesce(d.hash IS NULL OR d.hash <> sha256(p.html), false) AS differs FROM d LEFT JOIN pages p ON p.url = d.url WHERE change IN ('added', 'changed')",
     "snapshot_rebuild": f"WITH {_RESULTS} SELECT url, was AS lastmod, was AS lastModified, hash AS contentHash, 'then' AS lastFetchedAt FROM d WHERE change = 'unchanged' UNION ALL SELECT url, was, was, hash, 'then' FROM r WHERE status = 'skipped' AND known UNION ALL SELECT url, lastmod, lastmod, sha256(url), 'now' FROM r WHERE status IN ('added', 'updated')",
