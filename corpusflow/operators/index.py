@@ -34,7 +34,7 @@ class HashingEmbedder:
         out = np.zeros((len(texts), self.dim))
         for i, text in enumerate(texts):
             for word in text.lower().split():
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+                h = int.from_bytes(hashlib.md5(word.encode(), usedforsecurity=False).digest()[:8], "little")
                 out[i, h % self.dim] += 1 if h >> 63 else -1
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(norm > 0, norm, 1)).astype(np.float32)

@@ -58,11 +58,22 @@ k AS (SELECT sha256(url)[1:16] || '-' || chunk_index AS chunk_id, sha256(url)[1:
  '1970-01-01T00:00:00.000Z' AS crawled_at, 'en' AS language, false AS is_boilerplate, chunk_index, len(found) AS chunk_count, hash AS source_hash FROM e)"""
 
 
+def embedded(e: str) -> str:
+    """A list of 64 doubles: words of the text e by the bits of their digests, scaled to norm 1 in floats."""
+    words = f"list_transform(list_filter(string_split_regex(lower({e}), '[ \\n]+'), lambda x: x <> ''), lambda x: md5(x))"
+    slots = f"list_transform({words}, lambda h: {{'slot': ('0x' || h[1:2])::INT % 64, 'add': CASE WHEN h[15] >= '8' THEN 1 ELSE -1 END}})"
+    sums = f"list_transform([{slots}], lambda w: list_transform(range(64), lambda d: coalesce(list_sum(list_transform(list_filter(w, lambda y: y.slot = d), lambda y: y.add)), 0)::DOUBLE))[1]"
+    return f"list_transform([{sums}], lambda v: list_transform(v, lambda x: CASE WHEN list_dot_product(v, v) > 0 THEN (x / sqrt(list_dot_product(v, v)))::FLOAT::DOUBLE ELSE 0 END))[1]"
+
+
+#: i(chunk_id, vector, doc_id, ...): the index of all kept pages.
+INDEXED = f"{CLEANED}, {chunked('c')}, i AS (SELECT *, {embedded('text')} AS vector FROM k)"
 _TOTALS = "x AS (SELECT count(DISTINCT doc_id) AS pages, count(*) AS n, coalesce(sum(token_count), 0)::BIGINT AS tokens FROM k)"
 _BLOCK = "to_json(list_transform(texts, lambda x: {'type': 'paragraph', 'content': x, 'headingPath': CASE WHEN h1 <> '' THEN [h1] ELSE [] END}))::VARCHAR"
 SQL = {
     "clean_pages": f"WITH {CLEANED} SELECT url, title, CASE WHEN h1 <> '' THEN to_json([{{'level': 1, 'text': h1}}])::VARCHAR ELSE '[]' END AS headings, {_BLOCK} AS blocks, hash AS \"sourceHash\", 0::INT AS depth FROM c",
     "clean_manifest": f"WITH {CLEANED} SELECT (SELECT count(*) FROM p) AS pages_read, (SELECT count(*) FROM c) AS pages_cleaned, (SELECT count(*) FROM p WHERE NOT kept) AS dropped_short, (SELECT count(*) - count(DISTINCT hash) FROM p WHERE kept) AS dropped_duplicate, 0::BIGINT AS dropped_error",
     "chunk_pages": f"WITH {CLEANED}, {chunked('c')} SELECT * FROM k",
+    "index_pages": f"WITH {INDEXED} SELECT chunk_id, list_transform(vector, lambda x: round(x, 6)) AS vector, doc_id, source_url, page_title, section_heading, heading_path, content_type, token_count, chunk_index, chunk_count, crawled_at, language, source_hash, text FROM i",
     "chunk_manifest": f"WITH {CLEANED}, {chunked('c')}, {_TOTALS} SELECT (SELECT count(*) FROM c) AS pages_read, pages AS pages_chunked, n AS total_chunks, CASE WHEN pages > 0 THEN floor(n / pages * 10 + 0.5) / 10 ELSE 0 END::DOUBLE AS avg_chunks_per_page, CASE WHEN n > 0 THEN floor(tokens / n + 0.5) ELSE 0 END::BIGINT AS avg_tokens_per_chunk, 0::BIGINT AS pages_failed FROM x",
 }

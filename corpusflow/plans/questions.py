@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusflow.config import EXPANSIONS, GENERIC_EXPANSION, LANGUAGES, REFUSALS
 from corpusflow.functions import text
 from corpusflow.operators import answer, chat, chunk, clean, index, retrieve
+from corpusflow.plans import page_sql
 from corpusflow.plans.tables import CHUNKS, WS, checkpoints, chunks, raw_pages, sql_trim, table
 
 
@@ -174,10 +175,21 @@ def message_upsert(spark, sf_dir):
 _WORDS = f"string_split_regex({sql_trim('q')}, '{WS}+')"
 _CASES = " ".join(f"WHEN regexp_matches(lower(q), '{p}') THEN q || ' {t}'" for p, t in EXPANSIONS)
 _FACTS = ", ".join(f"('{i}', {t}, '{c}', '{u}', '{s}', {p}, '{g}')" for i, t, c, u, s, p, g in retrieve.FACTS)
-_MATCH = f"""f(id, triggers, content, source_url, source_title, priority, grp) AS (VALUES {_FACTS}), q AS (SELECT DISTINCT conv_id AS query_id, {list(_ASKED)}[(conv_id % {len(_ASKED)} + 1)::INT] AS query FROM conversations),
-h AS (SELECT q.query_id, f.*, rank() OVER (PARTITION BY query_id, grp ORDER BY priority DESC) AS r FROM q, f WHERE len(list_filter(triggers, lambda t: CASE WHEN contains(t, ' ') THEN contains(lower(query), t) ELSE regexp_matches(lower(query), '\\b' || t || '\\b') END)) > 0)"""
+_HITS = f"""known(id, triggers, content, source_url, source_title, priority, grp) AS (VALUES {_FACTS}), h AS (SELECT q.query_id, known.*, rank() OVER (PARTITION BY query_id, grp ORDER BY priority DESC) AS r FROM q, known WHERE len(list_filter(triggers, lambda t: CASE WHEN contains(t, ' ') THEN contains(lower(query), t) ELSE regexp_matches(lower(query), '\\b' || t || '\\b') END)) > 0)"""
+_MATCH = f"q AS (SELECT DISTINCT conv_id AS query_id, {list(_ASKED)}[(conv_id % {len(_ASKED)} + 1)::INT] AS query FROM conversations), {_HITS}"
 _SEARCH = """v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL), s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, list_dot_product(q.e, c.e) / (sqrt(list_dot_product(c.e, c.e)) * sqrt(list_dot_product(q.e, q.e))) AS vector_score FROM v q, v c WHERE q.vec_id % 50 = 0),
 t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vector_score DESC, chunk_id)::INT AS vector_rank FROM s QUALIFY vector_rank <= 15)"""
+_EXPANDED = f"CASE WHEN len({_WORDS}) > 5 THEN q {_CASES} WHEN len({_WORDS}) <= 2 THEN q || ' {GENERIC_EXPANSION}' ELSE q END"
+#: All questions, answered by facts (h) or by the index: candidates, those that pass, the five best.
+_RETRIEVED = rf"""{page_sql.INDEXED}, l AS (SELECT conv_id, arg_max(text, turn) FILTER (role = 'user') AS said FROM conversations GROUP BY 1 HAVING count(*) FILTER (role = 'user') > 0),
+asked AS (SELECT conv_id AS query_id, {sql_trim("coalesce(said, '')")} AS query FROM l), q AS (SELECT * FROM asked WHERE length(query) >= 2), {_HITS}, facts AS (SELECT query_id, count(*) AS n FROM h WHERE r = 1 GROUP BY 1),
+open AS (SELECT query_id, query AS q FROM q WHERE query_id NOT IN (SELECT query_id FROM facts)), vec AS (SELECT query_id, q, {page_sql.embedded(_EXPANDED)} AS e FROM open),
+near AS (SELECT query_id, chunk_id, q, list_dot_product(e, vector) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(vector, vector))) AS vector_score FROM vec, i WHERE list_dot_product(e, e) > 0 AND list_dot_product(vector, vector) > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY vector_score DESC, chunk_id) <= 15),
+best AS (SELECT query_id, max(vector_score) AS top, count(*) AS n FROM near GROUP BY 1),
+held AS (SELECT near.*, list_distinct(list_filter(string_split_regex(lower(q), '{WS}+'), lambda x: x <> '')) AS words, i.* EXCLUDE (chunk_id) FROM near JOIN best USING (query_id) JOIN i USING (chunk_id) WHERE top >= 0.45),
+scored AS (SELECT *, CASE WHEN len(words) > 0 THEN len(list_intersect(words, string_split_regex(lower(text), '{WS}+'))) / len(words) ELSE 0 END AS rerank_score FROM held),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, vector_score DESC, chunk_id) AS rank FROM scored QUALIFY rank <= 5),
+tops AS (SELECT query_id, max(rerank_score) AS top, count(*) AS n FROM ranked GROUP BY 1)"""
 _BUDGET = f"{CHUNKS}, w AS (SELECT *, sum(token_count) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM c), u AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS nr FROM w WHERE used <= 4000)"
 _ANSWERS = "a AS (SELECT conv_id, turn, (conv_id * 100 + turn) % 1000000 AS query_id, CASE WHEN turn % 4 = 0 THEN text || ' [2] and [1], [2] and [99]' WHEN turn % 4 = 1 THEN text || ' [77]' WHEN turn % 4 = 2 THEN repeat(text, 3) ELSE text || ' I don''t have enough information.' END AS answer FROM conversations)"
 _REFUSED = "(length(" + sql_trim("answer") + ") < 80 OR " + " OR ".join("regexp_matches(lower(answer), '" + p.replace("'", "''") + "')" for p in REFUSALS) + ")"
@@ -197,11 +209,16 @@ SQL = {
     "last_user_message": "SELECT conv_id, arg_max(text, turn) FILTER (role = 'user') AS query FROM conversations GROUP BY 1 HAVING count(*) FILTER (role = 'user') > 0",
     "request_validation": f"SELECT conv_id, turn, length({sql_trim('q')}) > 0 AS valid FROM (SELECT *, coalesce(CASE WHEN turn % 3 <> 0 THEN text ELSE ' ' || chr(9) END, '') AS q FROM conversations)",
     "language_rows": f"SELECT conv_id, turn, language, code, language_name, direction FROM (SELECT conv_id, turn, ['en', 'ur', 'sd', 'xx'][(conv_id % 4 + 1)::INT] AS language FROM conversations) c JOIN (VALUES {_LANGS}) t(code, language_name, direction) ON t.code = CASE WHEN language IN ('ur', 'sd') THEN language ELSE 'en' END",
-    "expand_query": f"SELECT conv_id, turn, CASE WHEN len({_WORDS}) > 5 THEN q {_CASES} WHEN len({_WORDS}) <= 2 THEN q || ' {GENERIC_EXPANSION}' ELSE q END AS expanded FROM (SELECT conv_id, turn, array_to_string(string_split(text, ' ')[1:(1 + turn % 7)], ' ') AS q FROM conversations)",
+    "expand_query": f"SELECT conv_id, turn, {_EXPANDED} AS expanded FROM (SELECT conv_id, turn, array_to_string(string_split(text, ' ')[1:(1 + turn % 7)], ' ') AS q FROM conversations)",
     "static_fact_match": f"WITH {_MATCH} SELECT query_id, id, priority, grp FROM h WHERE r = 1",
     "static_chunks": f"WITH {_MATCH} SELECT query_id, 'static-' || id AS chunk_id, content AS text, source_url, source_title AS page_title, ceil(length(content) / 4.0)::BIGINT AS token_count, 1.0::DOUBLE AS vector_score, 1.0::DOUBLE AS rerank_score FROM h WHERE r = 1",
     "vector_topk": f"WITH {_SEARCH} SELECT query_id, chunk_id, round(vector_score, 6) AS vector_score, vector_rank FROM t",
     "vector_gate": f"WITH {_SEARCH}, g AS (SELECT query_id, count(*) AS candidates, max(vector_score) AS top FROM t WHERE chunk_id <> query_id GROUP BY 1) SELECT query_id, candidates, round(top, 6) AS top, CASE WHEN top < 0.45 THEN 'low_vector_score' END AS reason, top >= 0.45 AS confident FROM g",
+    "retrieve_chunks": f"""WITH {_RETRIEVED} SELECT query_id, rank::INT AS rank, chunk_id, source_url, page_title, heading_path, content_type, token_count, round(vector_score, 6) AS vector_score, round(rerank_score, 6) AS rerank_score FROM ranked WHERE rerank_score >= 0.15
+UNION ALL SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY id)::INT, 'static-' || id, source_url, source_title, '', 'paragraph', ceil(length(content) / 4.0)::BIGINT, 1, 1 FROM h WHERE r = 1""",
+    "retrieve_diag": f"""WITH {_RETRIEVED}, info AS (SELECT query_id, facts.n AS facts, best.n AS found, best.top AS top, tops.top AS rerank_top, tops.n AS after FROM asked LEFT JOIN facts USING (query_id) LEFT JOIN best USING (query_id) LEFT JOIN tops USING (query_id)),
+why AS (SELECT *, CASE WHEN facts > 0 THEN NULL WHEN found IS NULL THEN 'no_results' WHEN top < 0.45 THEN 'low_vector_score' WHEN rerank_top < 0.15 THEN 'low_rerank_score' END AS reason FROM info)
+SELECT query_id, reason IS NULL AS confident, reason, round(CASE WHEN facts > 0 THEN 1 ELSE coalesce(top, 0) END, 6)::DOUBLE AS vector_top_score, round(CASE WHEN facts > 0 THEN 1 ELSE rerank_top END, 6)::DOUBLE AS rerank_top_score, coalesce(facts, found, 0) AS candidates_retrieved, coalesce(facts, after, 0) AS candidates_after_rerank FROM why""",
     "rerank_topn": f"WITH {CHUNKS} SELECT query_id, rank::VARCHAR AS chunk_id, r::INT AS rank, rerank_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC NULLS LAST, rank) AS r FROM c) WHERE r <= 5",
     "final_chunks": f"WITH {CHUNKS} SELECT query_id, rank::VARCHAR AS chunk_id FROM c WHERE rerank_score IS NULL OR rerank_score >= 0.15",
     "context_budget": f"WITH {_BUDGET} SELECT query_id, rank, used FROM u",
