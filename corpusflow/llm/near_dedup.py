@@ -338,5 +338,14 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(identified(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), percent=85, unique=True)
 
 
-SQL: dict[str, str] = {}
+#: All pairs of distinct word sequences that share a shingle; doc_ids are distinct. For small tables.
+SQL = {
+    "op4_near_dedup": r"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS own, CASE WHEN len(w) > 0 THEN min(doc_id) OVER (PARTITION BY w) ELSE doc_id END AS rep FROM d),
+e AS (SELECT doc_id, len(own) AS n, unnest(own) AS shingle FROM s WHERE doc_id = rep),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) + any_value(b.n) AS sizes, count(*) AS shared FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * shared >= 85 * (sizes - shared)), g AS (SELECT a, b FROM l UNION SELECT b, a FROM l UNION SELECT doc_id, rep FROM s UNION SELECT rep, doc_id FROM s),
+r(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.a, g.b FROM r JOIN g ON g.a = r.b), c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, len(own)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)"""
+}
 QUERIES = {"op4_near_dedup": op4_near_dedup}

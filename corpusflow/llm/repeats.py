@@ -441,5 +441,14 @@ def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(identified(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), unique=True)
 
 
-SQL: dict[str, str] = {}
+#: Every string of 100 bytes by its digest; doc_ids are distinct. For small tables.
+SQL = {
+    "op7_repeated_passages": """WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents), n AS (SELECT *, octet_length(b) AS n FROM d),
+s AS (SELECT doc_id, b, unnest(range(n - 99)) AS lo FROM n WHERE n >= 100), h AS (SELECT doc_id, lo, md5(b[lo + 1:lo + 100]) AS h FROM s),
+f AS (SELECT h, min({'doc_id': doc_id, 'lo': lo}) AS first FROM h GROUP BY 1 HAVING count(*) > 1), r AS (SELECT doc_id, lo FROM h JOIN f USING (h) WHERE {'doc_id': doc_id, 'lo': lo} <> first),
+m AS (SELECT doc_id, lo, lo > lag(lo, 1, -101) OVER (PARTITION BY doc_id ORDER BY lo) + 100 AS new FROM r), i AS (SELECT doc_id, lo, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY lo) AS run FROM m),
+t AS (SELECT doc_id, run, min(lo) AS lo, max(lo) + 100 AS hi FROM i GROUP BY 1, 2), u AS (SELECT doc_id, list(lo ORDER BY lo) AS los, list(hi ORDER BY lo) AS his, sum(hi - lo)::BIGINT AS removed FROM t GROUP BY 1),
+k AS (SELECT doc_id, n, coalesce(removed, 0) AS n_removed, coalesce(len(los), 0) AS n_spans, hex(b) AS x, [0] || coalesce(his, []) AS a, coalesce(los, []) || [n] AS z FROM n LEFT JOIN u USING (doc_id))
+SELECT doc_id, n::BIGINT AS n_bytes, n_removed, n_spans, sha256(unhex(array_to_string(list_transform(range(1, len(a) + 1), lambda j: substring(x, 2 * a[j] + 1, 2 * (z[j] - a[j]))), ''))) AS kept_sha256 FROM k"""
+}
 QUERIES = {"op7_repeated_passages": op7_repeated_passages}
