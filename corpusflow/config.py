@@ -34,6 +34,12 @@ GENERIC_EXPANSION = "overview information"
 REFUSALS = ("don'?t have (specific |enough )?information", "outside (my|the) (knowledge|scope)")
 #: code, name, direction.
 LANGUAGES = (("en", "English", "ltr"), ("ur", "Urdu", "rtl"), ("sd", "Sindhi", "rtl"))
+#: Questions that a chat offers at its start, by language.
+SUGGESTED = {
+    "en": ("What is this site about?", "How do I get in touch?", "What has changed recently?"),
+    "ur": ("یہ سائٹ کس بارے میں ہے؟", "رابطہ کیسے کیا جائے؟", "حال ہی میں کیا بدلا ہے؟"),
+    "sd": ("هي سائيٽ ڇا بابت آهي؟", "رابطو ڪيئن ڪجي؟", "تازو ڇا تبديل ٿيو آهي؟"),
+}
 
 
 def _positive(**values: float) -> None:

@@ -77,14 +77,19 @@ def resolve(ref: Column, base: Column) -> Column:
     )
 
 
+def _ascii_host(host: Column) -> Column:
+    """Hosts beyond ASCII as `xn--` labels (IDNA 2003: a sharp s becomes ss); null where there is no such form."""
+    return F.when(host.rlike(r"[^\x00-\x7f]"), F.lower(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), host))).otherwise(host)
+
+
 def normalize(url: Column, base: Column | None = None) -> Column:
-    """https, host in lower case without one leading `www.`, no fragment, no tracking parameters, the
-    others sorted, one trailing slash off. Null for other schemes and what is no URL."""
+    """https, host in lower case and ASCII without one leading `www.`, no fragment, no tracking parameters,
+    the others sorted, one trailing slash off. Null for other schemes and what is no URL."""
     return _let(trimmed(url) if base is None else resolve(url, base), _normalize)
 
 
 def _normalize(url: Column) -> Column:
-    scheme, authority = F.lower(_part(url, 1)), F.lower(_part(url, 2))
+    scheme, authority = F.lower(_part(url, 1)), _ascii_host(F.lower(_part(url, 2)))
     host = F.regexp_replace(authority, r"\Awww\.", "")
     host = F.regexp_replace(host, r":443\z|:\z", "")
     host = F.when(scheme == "http", F.regexp_replace(host, r":80\z", "")).otherwise(host)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.config import LANGUAGES
+from corpusflow.config import LANGUAGES, SUGGESTED
 from corpusflow.functions.text import trimmed
 from corpusflow.operators.answer import language_code
 
@@ -27,6 +27,14 @@ def with_language(rows: DataFrame, column: str = "language") -> DataFrame:
     return rows.withColumn("code", language_code(F.col(column))).join(F.broadcast(table), "code", "left")
 
 
+def suggested_questions(rows: DataFrame, column: str = "language") -> DataFrame:
+    """rows with the questions that a chat in their language begins with: one row a question, `place` from 0."""
+    table = [(code, list(asked)) for code, asked in SUGGESTED.items()]
+    table = rows.sparkSession.createDataFrame(table, "code string, asked array<string>")
+    found = rows.withColumn("code", language_code(F.col(column))).join(F.broadcast(table), "code")  # one row a language
+    return found.select(*rows.columns, F.posexplode("asked").alias("place", "question"))
+
+
 def events(answers: DataFrame) -> DataFrame:
     """(query_id, seq, event, data): metadata, a text event for each delta, sources, done; of a row with
     an error only that. answers(query_id, confident, reason, deltas, sources, error)."""

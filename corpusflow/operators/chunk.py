@@ -120,29 +120,43 @@ _SCHEMA = "array<struct<content:string,heading_path:array<string>,content_type:s
 _ARROW = pa.list_(pa.struct([("content", pa.string()), ("heading_path", pa.list_(pa.string())), ("content_type", pa.string()), ("tokens", pa.int64())]))
 
 
-def chunked(blocks: Column, config: ChunkConfig, tokenizer: Tokenizer) -> Column:
-    @F.arrow_udf(_SCHEMA)
-    def run(pages: pa.Array) -> pa.Array:
-        out = []
-        for page in pages.to_pylist():
-            found = page_chunks(page or [], config, tokenizer)
+def chunked(blocks: Column, config: ChunkConfig, tokenizer: Tokenizer, or_null: bool = False) -> Column:
+    """Chunks of each page's blocks. or_null: null for a page that this fails on, instead of an error."""
+
+    def cut(page: list[dict]) -> list[dict] | None:
+        try:
+            found = page_chunks(page, config, tokenizer)
             for c in found:
                 c["tokens"] = tokenizer.count(" > ".join(c["heading_path"]) + "\n\n" + c["content"] if c["heading_path"] else c["content"])
-            out.append(found)
-        return pa.array(out, _ARROW)
+        except MemoryError:
+            raise
+        except Exception:
+            if not or_null:
+                raise
+            return None
+        return found
+
+    @F.arrow_udf(_SCHEMA)
+    def run(pages: pa.Array) -> pa.Array:
+        return pa.array([cut(page or []) for page in pages.to_pylist()], _ARROW)
 
     return run(blocks)
 
 
-def chunk_pages(cleaned: DataFrame, config: ChunkConfig = ChunkConfig(), tokenizer: Tokenizer | None = None) -> DataFrame:
-    """Chunk rows of cleaned pages; chunk_index counts the kept chunks of a page from 0. No shuffle."""
-    rows = cleaned.withColumn("found", chunked(F.col("textBlocks"), config, tokenizer or Estimate()))
-    rows = rows.select("url", "title", "cleanedAt", "sourceHash", F.size("found").cast("long").alias("chunk_count"), F.posexplode("found").alias("chunk_index", "c"))
+def chunk_pages(cleaned: DataFrame, config: ChunkConfig = ChunkConfig(), tokenizer: Tokenizer | None = None, mark_failed: bool = False) -> DataFrame:
+    """Chunk rows of cleaned pages; chunk_index counts the kept chunks of a page from 0. No shuffle.
+    mark_failed: a page that can't be chunked is one row with `failed`, instead of an error."""
+    rows = cleaned.withColumn("found", chunked(F.col("textBlocks"), config, tokenizer or Estimate(), mark_failed))
+    failed = [F.col("found").isNull().alias("failed")] if mark_failed else []
+    explode = F.posexplode_outer if mark_failed else F.posexplode
+    rows = rows.select("url", "title", "cleanedAt", "sourceHash", F.size("found").cast("long").alias("chunk_count"), *failed, explode("found").alias("chunk_index", "c"))
+    if mark_failed:
+        rows = rows.where("failed OR c IS NOT NULL")
     doc = doc_id(F.col("url"))
     return rows.select(
-        chunk_id(doc, F.col("chunk_index")).alias("chunk_id"), doc.alias("doc_id"), retrieval_text(F.col("c.content"), F.col("c.heading_path")).alias("text"), F.col("c.tokens").alias("token_count"),
+        F.when(F.col("chunk_index").isNotNull(), chunk_id(doc, F.col("chunk_index"))).alias("chunk_id"), doc.alias("doc_id"), retrieval_text(F.col("c.content"), F.col("c.heading_path")).alias("text"), F.col("c.tokens").alias("token_count"),
         F.col("url").alias("source_url"), F.col("title").alias("page_title"), section_heading(F.col("c.heading_path"), F.col("title")).alias("section_heading"), F.col("c.heading_path").alias("heading_path"), F.col("c.content_type").alias("content_type"),
-        F.col("cleanedAt").alias("crawled_at"), F.lit("en").alias("language"), F.lit(False).alias("is_boilerplate"), "chunk_index", "chunk_count", F.col("sourceHash").alias("source_hash"),
+        F.col("cleanedAt").alias("crawled_at"), F.lit("en").alias("language"), F.lit(False).alias("is_boilerplate"), "chunk_index", "chunk_count", F.col("sourceHash").alias("source_hash"), *(["failed"] if mark_failed else []),
     )
 
 

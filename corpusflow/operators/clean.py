@@ -45,12 +45,13 @@ def total_length(contents: Column) -> Column:
 
 
 def clean(pages: DataFrame, config: CleanConfig = CleanConfig(), cleaned_at: str = "1970-01-01T00:00:00.000Z") -> DataFrame:
-    """Cleaned pages and `kept`: false where the blocks are too short; one parse a page."""
-    page = pages.select("url", "depth", parsed(F.col("html")).alias("p"))
+    """Cleaned pages with `error`, why a page couldn't be read, and `kept`: false for those pages and where
+    the blocks are too short; one parse a page."""
+    page = pages.select("url", "depth", parsed(F.col("html"), or_error=True).alias("p"))
     blocks = F.transform("p.blocks", lambda b: F.struct(b["type"].alias("type"), normalized(b["content"]).alias("content"), b["headingPath"].alias("headingPath")))
-    rows = page.select("url", "depth", "p.title", "p.headings", blocks.alias("textBlocks"))
+    rows = page.select("url", "depth", "p.title", "p.headings", "p.error", blocks.alias("textBlocks"))
     contents = F.transform("textBlocks", lambda b: b["content"])
-    return rows.select("url", "title", "headings", "textBlocks", F.lit(cleaned_at).alias("cleanedAt"), source_hash(contents).alias("sourceHash"), "depth", (F.coalesce(total_length(contents), F.lit(0)) >= config.min_content_length).alias("kept"))
+    return rows.select("url", "title", "headings", "textBlocks", F.lit(cleaned_at).alias("cleanedAt"), source_hash(contents).alias("sourceHash"), "depth", "error", (F.col("error").isNull() & (F.coalesce(total_length(contents), F.lit(0)) >= config.min_content_length)).alias("kept"))
 
 
 def first_by_hash(pages: DataFrame) -> DataFrame:
@@ -62,7 +63,7 @@ def first_by_hash(pages: DataFrame) -> DataFrame:
 
 
 def clean_pages(pages: DataFrame, config: CleanConfig = CleanConfig(), cleaned_at: str = "1970-01-01T00:00:00.000Z") -> DataFrame:
-    return first_by_hash(clean(pages, config, cleaned_at).where("kept").drop("kept"))
+    return first_by_hash(clean(pages, config, cleaned_at).where("kept").drop("kept", "error"))
 
 
 def _extra(**values: int | str | None) -> list[Column]:
@@ -71,13 +72,14 @@ def _extra(**values: int | str | None) -> list[Column]:
 
 
 def clean_manifest(cleaned: DataFrame, dropped_error: int | None = None, started_at: str | None = None, finished_at: str | None = None) -> DataFrame:
-    """One row of counts from clean()'s rows, duplicates counted by hash; where they are given, also the
-    pages that couldn't be read (see invalid_count), begin and end."""
-    by_hash = cleaned.groupBy("kept", "sourceHash").agg(F.count("*").alias("n"))
+    """One row of counts from clean()'s rows, duplicates counted by hash; where they are given, also begin,
+    end, and dropped_error: the invalid pages (see invalid_count) and those that the parser failed on."""
+    by_hash = cleaned.groupBy("kept", "sourceHash", F.col("error").isNotNull().alias("failed")).agg(F.count("*").alias("n"))
+    failed = [] if dropped_error is None else [(F.coalesce(F.sum(F.when(F.col("failed"), F.col("n"))), F.lit(0)) + dropped_error).alias("dropped_error")]
     return by_hash.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("pages_read"), F.count_if("kept").alias("pages_cleaned"),
-        F.coalesce(F.sum(F.when(~F.col("kept"), F.col("n"))), F.lit(0)).alias("dropped_short"), F.coalesce(F.sum(F.when(F.col("kept"), F.col("n") - 1)), F.lit(0)).alias("dropped_duplicate"),
-        *_extra(dropped_error=dropped_error, started_at=started_at, finished_at=finished_at),
+        F.coalesce(F.sum(F.when(~F.col("kept") & ~F.col("failed"), F.col("n"))), F.lit(0)).alias("dropped_short"), F.coalesce(F.sum(F.when(F.col("kept"), F.col("n") - 1)), F.lit(0)).alias("dropped_duplicate"),
+        *failed, *_extra(started_at=started_at, finished_at=finished_at),
     )
 
 
@@ -87,8 +89,14 @@ def invalid_count(pages: DataFrame, valid: Callable[[DataFrame], DataFrame]) ->
 
 
 def chunk_manifest(pages_read: int, chunks: DataFrame, pages_failed: int | None = None, started_at: str | None = None, finished_at: str | None = None) -> DataFrame:
-    """Counts and rounded averages; 0 where there is nothing. Pages that failed, begin and end where given."""
+    """Counts and rounded averages; 0 where there is nothing. Begin and end where given, and pages_failed:
+    the given number and the pages that chunk_pages marked as failed."""
+    failed = F.count_if("failed") if "failed" in chunks.columns else F.lit(0).cast("long")
+    bad = chunks.agg(failed.alias("bad"))
+    if "failed" in chunks.columns:
+        chunks = chunks.where("NOT failed")
     per = chunks.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("token_count").alias("tokens"))
     totals = per.agg(F.count("*").alias("pages_chunked"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_chunks"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
     ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
-    return totals.select(F.lit(pages_read).cast("long").alias("pages_read"), "pages_chunked", "total_chunks", (half_up(ratio("total_chunks", "pages_chunked") * 10) / 10).alias("avg_chunks_per_page"), half_up(ratio("tokens", "total_chunks")).alias("avg_tokens_per_chunk"), *_extra(pages_failed=pages_failed, started_at=started_at, finished_at=finished_at))
+    lost = [] if pages_failed is None else [(F.col("bad") + pages_failed).alias("pages_failed")]
+    return totals.join(bad).select(F.lit(pages_read).cast("long").alias("pages_read"), "pages_chunked", "total_chunks", (half_up(ratio("total_chunks", "pages_chunked") * 10) / 10).alias("avg_chunks_per_page"), half_up(ratio("tokens", "total_chunks")).alias("avg_tokens_per_chunk"), *lost, *_extra(started_at=started_at, finished_at=finished_at))

@@ -203,18 +203,29 @@ def content(html: str) -> dict:
     return {"title": title or (headings[0]["text"] if headings else ""), "headings": headings, "blocks": blocks, "links": links}
 
 
-SCHEMA = "struct<title:string,headings:array<struct<level:int,text:string>>,blocks:array<struct<type:string,content:string,headingPath:array<string>>>,links:array<string>>"
+SCHEMA = "struct<title:string,headings:array<struct<level:int,text:string>>,blocks:array<struct<type:string,content:string,headingPath:array<string>>>,links:array<string>,error:string>"
 _ARROW = pa.struct([
     ("title", pa.string()), ("headings", pa.list_(pa.struct([("level", pa.int32()), ("text", pa.string())]))),
-    ("blocks", pa.list_(pa.struct([("type", pa.string()), ("content", pa.string()), ("headingPath", pa.list_(pa.string()))]))), ("links", pa.list_(pa.string())),
+    ("blocks", pa.list_(pa.struct([("type", pa.string()), ("content", pa.string()), ("headingPath", pa.list_(pa.string()))]))), ("links", pa.list_(pa.string())), ("error", pa.string()),
 ])
 
 
-def parsed(html: Column) -> Column:
-    """The content struct of a page; null for null. Filters on other columns run before it."""
+def parsed(html: Column, or_error: bool = False) -> Column:
+    """The content struct of a page; null for null. Filters on other columns run before it. or_error: a page
+    that the parser fails on has only `error`, what it failed with, and doesn't hold up the others."""
+
+    def read(page: str) -> dict:
+        try:
+            return content(page)
+        except MemoryError:
+            raise
+        except Exception as e:
+            if not or_error:
+                raise
+            return {"error": f"{type(e).__name__}: {e}"}
 
     @F.arrow_udf(SCHEMA)
     def parse(pages: pa.Array) -> pa.Array:
-        return pa.array([None if p is None else content(p) for p in pages.to_pylist()], _ARROW)
+        return pa.array([None if p is None else read(p) for p in pages.to_pylist()], _ARROW)
 
     return parse(html)

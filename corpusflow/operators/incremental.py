@@ -45,7 +45,7 @@ def process_delta(candidates: DataFrame, fetched: DataFrame, previous: DataFrame
     """Status by page: skipped (not fetched, or as before), error (no content or no chunks), added or
     updated. Content is not deduplicated across pages here."""
     rows = fetched_changes(candidates, fetched, previous)
-    pages = clean.clean(rows.where("differs").select("url", "html", F.lit(0).alias("depth")), cleaning, cleaned_at).where("kept").drop("kept")
+    pages = clean.clean(rows.where("differs").select("url", "html", F.lit(0).alias("depth")), cleaning, cleaned_at).where("kept").drop("kept", "error")
     chunks = chunk.chunk_pages(pages, chunking, tokenizer).checkpoint()
     written = chunks.groupBy(F.col("source_url").alias("url")).agg(F.count("*").alias("chunks_written"))
     done = rows.drop("html").join(written, "url", "left")

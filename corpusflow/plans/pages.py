@@ -116,7 +116,7 @@ def chunk_pages(spark, sf_dir):
 def chunk_manifest(spark, sf_dir):
     checkpoints(spark)
     pages = clean.clean_pages(clean.valid_raw(raw_pages(spark, sf_dir))).checkpoint()
-    return clean.chunk_manifest(pages.count(), chunk.chunk_pages(clean.valid_cleaned(pages)), clean.invalid_count(pages, clean.valid_cleaned))
+    return clean.chunk_manifest(pages.count(), chunk.chunk_pages(clean.valid_cleaned(pages), mark_failed=True), clean.invalid_count(pages, clean.valid_cleaned))
 
 
 def index_pages(spark, sf_dir):

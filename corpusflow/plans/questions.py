@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusflow.config import EXPANSIONS, GENERIC_EXPANSION, LANGUAGES, REFUSALS
+from corpusflow.config import EXPANSIONS, GENERIC_EXPANSION, LANGUAGES, REFUSALS, SUGGESTED
 from corpusflow.functions import text
 from corpusflow.operators import answer, chat, chunk, clean, index, retrieve
 from corpusflow.plans import page_sql
@@ -30,6 +30,12 @@ def language_rows(spark, sf_dir):
     return chat.with_language(rows)
 
 
+def suggested_questions(spark, sf_dir):
+    """The questions each conversation would be offered in its language."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.element_at(F.array(F.lit("en"), F.lit("ur"), F.lit("sd"), F.lit("xx")), (F.col("conv_id") % 4 + 1).cast("int")).alias("language")).distinct()
+    return chat.suggested_questions(rows)
+
+
 def expand_query(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", retrieve.expanded(F.expr("substring_index(text, ' ', 1 + CAST(turn % 7 AS INT))")).alias("expanded"))
 
@@ -209,6 +215,7 @@ SQL = {
     "last_user_message": "SELECT conv_id, arg_max(text, turn) FILTER (role = 'user') AS query FROM conversations GROUP BY 1 HAVING count(*) FILTER (role = 'user') > 0",
     "request_validation": f"SELECT conv_id, turn, length({sql_trim('q')}) > 0 AS valid FROM (SELECT *, coalesce(CASE WHEN turn % 3 <> 0 THEN text ELSE ' ' || chr(9) END, '') AS q FROM conversations)",
     "language_rows": f"SELECT conv_id, turn, language, code, language_name, direction FROM (SELECT conv_id, turn, ['en', 'ur', 'sd', 'xx'][(conv_id % 4 + 1)::INT] AS language FROM conversations) c JOIN (VALUES {_LANGS}) t(code, language_name, direction) ON t.code = CASE WHEN language IN ('ur', 'sd') THEN language ELSE 'en' END",
+    "suggested_questions": f"SELECT conv_id, language, place, question FROM (SELECT DISTINCT conv_id, ['en', 'ur', 'sd', 'xx'][(conv_id % 4 + 1)::INT] AS language FROM conversations) c JOIN (VALUES {', '.join(str((c, i, q)) for c, a in SUGGESTED.items() for i, q in enumerate(a))}) t(code, place, question) ON t.code = CASE WHEN language IN ('ur', 'sd') THEN language ELSE 'en' END",
     "expand_query": f"SELECT conv_id, turn, {_EXPANDED} AS expanded FROM (SELECT conv_id, turn, array_to_string(string_split(text, ' ')[1:(1 + turn % 7)], ' ') AS q FROM conversations)",
     "static_fact_match": f"WITH {_MATCH} SELECT query_id, id, priority, grp FROM h WHERE r = 1",
     "static_chunks": f"WITH {_MATCH} SELECT query_id, 'static-' || id AS chunk_id, content AS text, source_url, source_title AS page_title, ceil(length(content) / 4.0)::BIGINT AS token_count, 1.0::DOUBLE AS vector_score, 1.0::DOUBLE AS rerank_score FROM h WHERE r = 1",
@@ -238,5 +245,5 @@ SELECT query_id, seq::INT AS seq, v.event AS event, v.confident AS confident, v.
     "fold_events": "SELECT conv_id AS query_id, CASE WHEN conv_id % 10 = 0 THEN '' ELSE string_agg(coalesce(text, ''), '' ORDER BY turn, coalesce(text, '')) END AS content, CASE WHEN conv_id % 10 = 0 THEN '' ELSE 'https://e.com/1' END AS urls, conv_id % 10 <> 0 AND conv_id % 3 = 0 AS is_refusal, CASE WHEN conv_id % 10 = 0 THEN 'broken' END AS error FROM conversations WHERE role = 'assistant' GROUP BY conv_id",
     "message_upsert": "SELECT event_id % 500 AS id, min(event_id) AS seq, arg_max(event_type, event_id) AS event_type, arg_max(user_id, event_id) AS user_id FROM events GROUP BY 1",
 }
-NAMES = (last_user_message, request_validation, language_rows, expand_query, static_fact_match, static_chunks, vector_topk, vector_gate, rerank_topn, final_chunks, retrieve_chunks, retrieve_diag, context_budget, build_context, build_context_once, build_prompt, generate, resolve_citations, refusal_detect, citation_tokens, chat_events, fold_events, message_upsert)
+NAMES = (last_user_message, request_validation, language_rows, suggested_questions, expand_query, static_fact_match, static_chunks, vector_topk, vector_gate, rerank_topn, final_chunks, retrieve_chunks, retrieve_diag, context_budget, build_context, build_context_once, build_prompt, generate, resolve_citations, refusal_detect, citation_tokens, chat_events, fold_events, message_upsert)
 QUERIES = {f.__name__: f for f in NAMES}
