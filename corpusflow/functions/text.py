@@ -12,6 +12,12 @@ WS = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{2
 BLANKS = "".join(map(chr, (9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 
 
+def once(udf):
+    """A Python function that a plan calls once a row. Catalyst copies a deterministic one into each filter
+    and projection that reads its result, and so would parse every page two times or more."""
+    return udf.asNondeterministic()
+
+
 def trimmed(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, rf"\A{WS}+", ""), rf"{WS}+\z", "")
 

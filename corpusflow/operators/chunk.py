@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.config import ChunkConfig
 from corpusflow.functions import tokens
-from corpusflow.functions.text import BLANKS, retrieval_text, section_heading
+from corpusflow.functions.text import BLANKS, once, retrieval_text, section_heading
 from corpusflow.functions.tokens import Estimate, Tokenizer, units
 from corpusflow.functions.urls import chunk_id, doc_id
 
@@ -140,7 +140,7 @@ def chunked(blocks: Column, config: ChunkConfig, tokenizer: Tokenizer, or_null:
     def run(pages: pa.Array) -> pa.Array:
         return pa.array([cut(page or []) for page in pages.to_pylist()], _ARROW)
 
-    return run(blocks)
+    return once(run)(blocks)
 
 
 def chunk_pages(cleaned: DataFrame, config: ChunkConfig = ChunkConfig(), tokenizer: Tokenizer | None = None, mark_failed: bool = False) -> DataFrame:

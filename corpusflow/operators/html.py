@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusflow.config import BOILERPLATE, HARD_STRIP, STRUCTURAL_STRIP
-from corpusflow.functions.text import BLANKS
+from corpusflow.functions.text import BLANKS, once
 from corpusflow.functions.tokens import units
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -211,7 +211,7 @@ _ARROW = pa.struct([
 
 
 def parsed(html: Column, or_error: bool = False) -> Column:
-    """The content struct of a page; null for null. Filters on other columns run before it. or_error: a page
+    """The content struct of a page; null for null. Filter pages before it: no filter moves below it. or_error: a page
     that the parser fails on has only `error`, what it failed with, and doesn't hold up the others."""
 
     def read(page: str) -> dict:
@@ -228,4 +228,4 @@ def parsed(html: Column, or_error: bool = False) -> Column:
     def parse(pages: pa.Array) -> pa.Array:
         return pa.array([None if p is None else read(p) for p in pages.to_pylist()], _ARROW)
 
-    return parse(html)
+    return once(parse)(html)

@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusflow.functions.text import once
+
 #: Bytes of query vectors that are sent to the tasks at once; more are searched in turns.
 QUERY_BYTES = 32 << 20
 
@@ -61,7 +63,7 @@ def embedded(text: Column, embedder: Embedder, kind: str = "document", batch: in
             out += list(got)
         return pa.array(out, pa.list_(pa.float32()))
 
-    return run(text)
+    return once(run)(text)
 
 
 def index_rows(chunks: DataFrame, embedder: Embedder) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.config import RetrieveConfig
-from corpusflow.functions.text import WS, trimmed, utf16_length
+from corpusflow.functions.text import WS, once, trimmed, utf16_length
 from corpusflow.functions.tokens import count
 from corpusflow.operators import index
 
@@ -89,7 +89,7 @@ def scored(query: Column, text: Column, reranker: Reranker) -> Column:
                 out[i] = float(s)
         return pa.array(out, pa.float64())
 
-    return run(query, text)
+    return once(run)(query, text)
 
 
 def gate(candidates: DataFrame, queries: DataFrame, score: str, least: float, reason: str) -> DataFrame:
