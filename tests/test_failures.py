@@ -85,3 +85,10 @@ def test_hosts_beyond_ascii(spark):
     cases = {"http://WWW.Bücher.example/a": "https://xn--bcher-kva.example/a", "https://例え.example": "https://xn--r8jz45g.example/", "https://bücher.example:443/": "https://xn--bcher-kva.example/", "https://e.com/": "https://e.com/"}
     rows = spark.createDataFrame(list(cases.items()), "url string, want string").select("want", urls.normalize(F.col("url")).alias("got")).collect()
     assert [r["got"] for r in rows] == [r["want"] for r in rows]
+
+
+def test_pages_are_parsed_once(spark):
+    rows = spark.createDataFrame([("https://e.com/1", PAGE, 0)], "url string, html string, depth int")
+    pages = clean.clean_pages(rows)
+    for df, n in ((pages, 1), (chunk.chunk_pages(pages), 2)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == n
