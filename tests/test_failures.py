@@ -1,11 +1,10 @@
-"""Pages that fail, log records, suggested questions, hosts beyond ASCII."""
+"""Pages that fail, log records, suggested questions."""
 
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from corpusflow.functions import urls
 from corpusflow.functions.tokens import Estimate
 from corpusflow.log import logger
 from corpusflow.operators import chat, chunk, clean, html
@@ -81,12 +80,6 @@ def test_suggested_questions(spark):
     assert asked[2, 0] == asked[3, 0] != asked[1, 0]
 
 
-def test_hosts_beyond_ascii(spark):
-    cases = {"http://WWW.Bücher.example/a": "https://xn--bcher-kva.example/a", "https://例え.example": "https://xn--r8jz45g.example/", "https://bücher.example:443/": "https://xn--bcher-kva.example/", "https://e.com/": "https://e.com/"}
-    rows = spark.createDataFrame(list(cases.items()), "url string, want string").select("want", urls.normalize(F.col("url")).alias("got")).collect()
-    assert [r["got"] for r in rows] == [r["want"] for r in rows]
-
-
 def test_pages_are_parsed_once(spark):
     rows = spark.createDataFrame([("https://e.com/1", PAGE, 0)], "url string, html string, depth int")
     pages = clean.clean_pages(rows)
