@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,15 +10,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import slices, stored, text_buffer, word_hashes
+from corpusflow.llm.common import MASK, forget, mix, slices, stored, text_buffer, word_hashes
 from corpusflow.llm.near_dedup import _LOWER, SLICE, words_of
 
 MARGINS = ("source", "lang", "topic")
 #: What own shares are raised to where a margin has no targets: rare sources gain, languages and topics hold.
 POWERS = {"source": 0.7, "lang": 1.0, "topic": 1.0}
 TOPICS, BUCKETS = 8, 4096
-#: Documents that topics are learned from, at most about so many.
-TOPIC_SAMPLE = 2048
+#: A language that holds at least one of so many documents has a mean of its own; rarer ones, and
+#: documents without a language, share one.
+OWN_MEAN = 1024
+#: Sums over all documents are of whole numbers, of so many to 1, so they are the same in any order.
+FIXED = float(1 << 28)
+#: Pairs of a text and a bucket that are worked on at a time.
+PAIRS = 1 << 17
 #: Cells (source x language x topic) that the driver rakes itself; more are raked as joins, in the same steps.
 CELLS = 200_000
 #: Of a level without a given goal so much may be taken, so that the other margins have room.
@@ -34,82 +39,273 @@ def bucketed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.searchsorted(offsets, starts, "right") - 1, (word_hashes(low, starts, ends) >> np.uint64(52)).astype(np.int64)
 
 
+def counted(row: np.ndarray, bucket: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct row * BUCKETS + bucket, rising, and how many there are of each; row doesn't fall."""
+    found, n = [], []
+    for lo in range(0, rows, 256):
+        a, b = np.searchsorted(row, (lo, lo + 256))
+        count = np.bincount((row[a:b] - lo) * BUCKETS + bucket[a:b])
+        at = np.flatnonzero(count)
+        found.append(at + lo * BUCKETS)
+        n.append(count[at])
+    return np.concatenate(found), np.concatenate(n)
+
+
+def packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Runs of values as binary, cut at the n + 1 offsets."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def profiled(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, lang, tokens, at, n). tokens: words of the whole text; at and n: the buckets they
+    lie in, as uint16, and how many in each, as uint32. docs has source and lang without nulls."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffer(batch.column("text"))
+            for lo, hi in slices(offsets, SLICE):
+                row, bucket = bucketed(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                found, n = counted(row, bucket, hi - lo)
+                ends = np.searchsorted(found, np.arange(hi - lo + 1) * BUCKETS)
+                lists = [packed((found % BUCKETS).astype(np.uint16), ends), packed(n.astype(np.uint32), ends)]
+                rest = [batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "source", "lang")]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(np.bincount(row, minlength=hi - lo), pa.int64()), *lists], ["doc_id", "source", "lang", "tokens", "at", "n"])
+
+    return docs.mapInArrow(run, "doc_id long, source string, lang string, tokens long, at binary, n binary")
+
+
+def shares(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows lo to hi of profiled() at a time: the row from lo on, the bucket and the share of its text's
+    words of each pair."""
+    at, ends = text_buffer(batch.column("at"))
+    at, ends, n = at.view(np.uint16), ends // 2, text_buffer(batch.column("n"))[0].view(np.uint32)
+    tokens = batch.column("tokens").to_numpy()
+    for lo, hi in slices(ends, PAIRS):
+        row = np.repeat(np.arange(hi - lo), np.diff(ends[lo : hi + 1]))
+        yield lo, hi, row, at[ends[lo] : ends[hi]].astype(np.int64), n[ends[lo] : ends[hi]] / tokens[lo:hi][row]
+
+
+def products(table: np.ndarray, row: np.ndarray, bucket: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    """(n, columns of table): the sums over each row's pairs of x times the table's row of the bucket."""
+    return np.stack([np.bincount(row, column[bucket] * x, n) for column in np.ascontiguousarray(table.T)], axis=1)
+
+
 @dataclass
 class Topics:
     """table: a row of TOPICS weights for each bucket of words; usual: what the texts of a language get
-    on average, so that a topic isn't just a language. A text's topic has the largest mean weight beyond
-    the usual."""
+    on average, so that a topic isn't just a language ('': of those that aren't there). A text's topic
+    has the largest mean weight beyond the usual."""
 
     table: np.ndarray
     usual: dict[str, np.ndarray]
 
-    def __call__(self, data: np.ndarray, offsets: np.ndarray, langs: list[str]) -> tuple[np.ndarray, list[str]]:
-        row, bucket = bucketed(data, offsets)
-        n = len(offsets) - 1
-        tokens = np.bincount(row, minlength=n)
-        usual = np.stack([self.usual.get(x, self.usual[""]) for x in langs]) if n else np.zeros((0, TOPICS))
-        means = np.stack([np.bincount(row, self.table[bucket, t], n) for t in range(TOPICS)], axis=1) / np.maximum(tokens, 1)[:, None]
-        best = (means - usual).argmax(axis=1)
-        return tokens, [f"t{b}" if m else "none" for b, m in zip(best.tolist(), tokens.tolist(), strict=True)]
-
-
-def learn_topics(docs: DataFrame, sample: int = TOPIC_SAMPLE, steps: int = 20, seed: int = 5) -> Topics:
-    """Clusters of vocabulary: spherical k-means over the mean word weights (by inverse document
-    frequency) of about `sample` documents taken by a hash of their text, each less its language's mean.
-    Their counts (at most BUCKETS a document) are made on the executors."""
-    rows = docs.where("text IS NOT NULL")
-    share = min(1.0, sample / max(1, rows.count()))
-    rows = rows.where(F.pmod(F.xxhash64("text", F.lit("topic")), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("lang", "text")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __call__(self, batch: pa.RecordBatch) -> list[str]:
+        langs, tokens, out = batch.column("lang").to_pylist(), batch.column("tokens").to_pylist(), []
+        for lo, hi, row, bucket, share in shares(batch):
+            usual = np.stack([self.usual.get(x, self.usual[""]) for x in langs[lo:hi]])
+            best = (products(self.table, row, bucket, share, hi - lo) - usual).argmax(axis=1)
+            out += [f"t{b}" if m else "none" for b, m in zip(best.tolist(), tokens[lo:hi], strict=True)]
+        return out
+
+
+def totals(profiles: DataFrame, sums: Callable[[Iterator[pa.RecordBatch]], np.ndarray], n: int) -> np.ndarray:
+    """The sum over all tasks of n whole numbers that each makes of its batches; BUCKETS of them at a
+    time are summed on the executors."""
+    schema = "block int, sums binary"
+
+    def made(of: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(of), pa.int32()), pa.array([x.tobytes() for x in of.values()], pa.binary())], ["block", "sums"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sums(batches)
+        yield made({i: x for i, x in enumerate(np.split(found, range(BUCKETS, n, BUCKETS))) if x.any()})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of: dict[int, np.ndarray] = {}
         for batch in batches:
-            data, offsets = text_buffer(batch.column("text"))
-            out = [np.zeros(BUCKETS, np.int64) for _ in range(batch.num_rows)]
-            for lo, hi in slices(offsets, SLICE):
-                row, bucket = bucketed(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                for i in range(hi - lo):
-                    out[lo + i] += np.bincount(bucket[row == i], minlength=BUCKETS)
-            yield pa.RecordBatch.from_pydict({"lang": batch.column("lang"), "at": pa.array([np.flatnonzero(c) for c in out], pa.list_(pa.int64())), "n": pa.array([c[c > 0] for c in out], pa.list_(pa.int64()))})
-
-    found = rows.mapInArrow(count, "lang string, at array<long>, n array<long>").toArrow().to_pylist()
-    found = sorted((r for r in found if r["at"]), key=lambda r: (r["lang"], r["at"], r["n"]))
-    if not found:
-        return Topics(np.zeros((BUCKETS, TOPICS)), {"": np.zeros(TOPICS)})
-    x = np.zeros((len(found), BUCKETS))
-    for i, r in enumerate(found):
-        x[i, r["at"]] = np.array(r["n"]) / sum(r["n"])
-    weight = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0)))
-    x *= weight
-    langs = np.array([r["lang"] for r in found])
-    means = {"": x.mean(axis=0), **{lang: x[langs == lang].mean(axis=0) for lang in set(langs.tolist())}}
-    y = x - np.stack([means[lang] for lang in langs])
-    y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
-    rng = np.random.default_rng(seed)
-    centres = y[rng.integers(len(y))][None]
-    while len(centres) < TOPICS:  # far from those before
-        far = np.maximum(0, 1 - (y @ centres.T).max(axis=1)) + 1e-9
-        centres = np.vstack([centres, y[rng.choice(len(y), p=far / far.sum())]])
+            for i, x in zip(batch.column("block").to_pylist(), batch.column("sums"), strict=True):
+                x = np.frombuffer(x.as_buffer(), np.int64)
+                of[i] = of[i] + x if i in of else x
+        yield made(of)
+
+    out = np.zeros(n, np.int64)
+    got = profiles.mapInArrow(run, schema).repartition("block").mapInArrow(add, schema).toArrow()
+    for i, x in zip(got["block"].to_pylist(), got["sums"].to_pylist(), strict=True):
+        out[i * BUCKETS : i * BUCKETS + len(x) // 8] = np.frombuffer(x, np.int64)
+    return out
+
+
+@dataclass
+class Usual:
+    """weight: of each bucket, by inverse document frequency; means: of the weighted shares of `langs`,
+    and last the one that all others share."""
+
+    weight: np.ndarray
+    langs: list[str]
+    means: np.ndarray
+
+    def codes(self, batch: pa.RecordBatch) -> np.ndarray:
+        code = {x: i for i, x in enumerate(self.langs)}
+        return np.array([code.get(x, len(code)) for x in batch.column("lang").to_pylist()], np.int64)
+
+
+def usual_words(profiles: DataFrame) -> Usual:
+    """Of all documents with words."""
+    count = profiles.groupBy("lang").agg(F.count("*").alias("n"))
+    whole = count.agg(F.sum("n")).first()[0] or 0
+    own = {r["lang"]: r["n"] for r in count.where((F.col("n") * OWN_MEAN >= whole) & (F.col("lang") != "")).collect()}
+    usual = Usual(np.zeros(BUCKETS), sorted(own), np.zeros((len(own) + 1, BUCKETS)))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros((len(own) + 2) * BUCKETS, np.int64)
+        for batch in batches:
+            lang = usual.codes(batch)
+            for lo, hi, row, bucket, share in shares(batch):
+                out[:-BUCKETS] += np.bincount(lang[lo:hi][row] * BUCKETS + bucket, np.rint(share * FIXED), len(out) - BUCKETS).astype(np.int64)
+                out[-BUCKETS:] += np.bincount(bucket, minlength=BUCKETS)
+        return out
+
+    got = totals(profiles, sums, (len(own) + 2) * BUCKETS).reshape(-1, BUCKETS)
+    weight = np.log((1 + whole) / (1 + got[-1]))
+    n = np.array([*(own[x] for x in usual.langs), whole - sum(own.values())])
+    return Usual(weight, usual.langs, got[:-1] / FIXED / np.maximum(n, 1)[:, None] * weight)
+
+
+def directed(profiles: DataFrame, usual: Usual) -> DataFrame:
+    """(h, mean, times, scale, at, n): each document's weighted shares of words, less its language's
+    mean, at length 1. at, n: its buckets and how many words are in each, as bytes (a bucket of more words
+    comes again); scale times n times the bucket's weight is a share over the length, and of the unit
+    vector of the mean so many `times` go off. A document that is its language's mean but for rounding
+    has no direction and no row."""
+    squares = (usual.means**2).sum(axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, langs, tokens = batch.column("h").to_numpy(), usual.codes(batch), batch.column("tokens").to_numpy()
+            for lo, hi, row, bucket, share in shares(batch):
+                lang, x = langs[lo:hi], share * usual.weight[bucket]
+                mean = usual.means[lang[row], bucket]
+                left = np.bincount(row, (x - mean) ** 2 - mean**2, hi - lo) + squares[lang]
+                some = left > 1e-8 * (np.bincount(row, x**2, hi - lo) + squares[lang])
+                length = np.sqrt(left[some])
+                n = np.rint(share * tokens[lo:hi][row]).astype(np.int64)
+                again = np.where(some[row], -(-n // BYTE), 0)
+                ends = np.r_[0, np.cumsum(np.bincount(row, again, hi - lo)[some].astype(np.int64))]
+                part = np.full(int(again.sum()), BYTE, np.uint8)
+                part[np.cumsum(again)[again > 0] - 1] = (n - (again - 1) * BYTE)[again > 0]
+                yield pa.RecordBatch.from_arrays([pa.array(h[lo:hi][some]), pa.array(lang[some].astype(np.int32)), pa.array(np.sqrt(squares[lang[some]]) / length), pa.array(1 / (tokens[lo:hi][some] * length)), packed(np.repeat(bucket, again).astype(np.uint16), ends), packed(part, ends)], DIRECTED_NAMES)
+
+    return profiles.mapInArrow(run, DIRECTED)
+
+
+#: The largest count that directed() holds in one byte.
+BYTE = 255
+DIRECTED = "h long, mean int, times double, scale double, at binary, n binary"
+DIRECTED_NAMES = [c.split()[0] for c in DIRECTED.split(", ")]
+
+
+def pairs_of(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows lo to hi of directed() at a time: their means, times and scales, where their pairs begin and
+    the last ends, and the bucket and n of each pair."""
+    n, ends = text_buffer(batch.column("n"))
+    at = text_buffer(batch.column("at"))[0].view(np.uint16)
+    mean, times, scale = (batch.column(c).to_numpy() for c in ("mean", "times", "scale"))
+    for lo, hi in slices(ends, PAIRS):
+        a, b = ends[lo], ends[hi]
+        yield lo, hi, mean[lo:hi].astype(np.int64), times[lo:hi], scale[lo:hi], ends[lo : hi + 1] - a, at[a:b].astype(np.int64), n[a:b].astype(np.float32)
+
+
+@dataclass
+class Centres:
+    """Of spherical k-means over directed(). weight: of the buckets; units: the unit vectors of the
+    languages' means."""
+
+    at: np.ndarray
+    weight: np.ndarray
+    units: np.ndarray
+
+    def near(self, mean: np.ndarray, times: np.ndarray, scale: np.ndarray, ends: np.ndarray, bucket: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """(rows, centres) inner products; every row has pairs."""
+        words = np.stack([np.add.reduceat(c[bucket] * n, ends[:-1]) for c in (self.at * self.weight).astype(np.float32)], axis=1)
+        return words * scale[:, None] - times[:, None] * (self.units @ self.at.T)[mean]
+
+    def far(self, turn: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """The document that is drawn among a task's, more often the further it is from all centres: the
+        least of exponential variables, which are made of the hashes `h`."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = None
+            for batch in batches:
+                h = batch.column("h").to_numpy()
+                for lo, hi, *rest in pairs_of(batch):
+                    far = np.maximum(0, 1 - self.near(*rest).max(axis=1)) + 1e-9 if len(self.at) else np.ones(hi - lo)
+                    draws = ((mix(h[lo:hi].view(np.uint64) + np.uint64(turn * 0x9E3779B97F4A7C15 & MASK)) >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
+                    wait = -np.log(draws) / far
+                    i = int(np.lexsort((h[lo:hi], wait))[0])
+                    if best is None or (wait[i], h[lo + i]) < best[:2]:
+                        best = wait[i], h[lo + i], batch.slice(lo + i, 1)
+            if best is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([best[0]], pa.float64()), *best[2].columns], ["wait", *best[2].schema.names])
+
+        return run
+
+    def drawn(self, docs: DataFrame, turn: int) -> np.ndarray:
+        """The direction of the document that is drawn among all of directed(), which has some."""
+        row = docs.mapInArrow(self.far(turn), f"wait double, {DIRECTED}").orderBy("wait", "h").first()
+        at, n = np.frombuffer(row["at"], np.uint16), np.frombuffer(row["n"], np.uint8)
+        return np.bincount(at, n * self.weight[at] * row["scale"], BUCKETS) - row["times"] * self.units[row["mean"]]
+
+    def moved(self, docs: DataFrame) -> np.ndarray:
+        """(centres, BUCKETS) sums of the directions that are nearest to each centre."""
+        n, m = len(self.at), len(self.units)
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+            words, means = np.zeros(n * BUCKETS, np.int64), np.zeros(n * m, np.int64)
+            for batch in batches:
+                for _, _, mean, times, scale, ends, bucket, count in pairs_of(batch):
+                    own, long = self.near(mean, times, scale, ends, bucket, count).argmax(axis=1), np.diff(ends)
+                    share = self.weight[bucket] * count * np.repeat(scale * FIXED, long)
+                    words += np.bincount(np.repeat(own * BUCKETS, long) + bucket, np.rint(share), len(words)).astype(np.int64)
+                    means += np.bincount(own * m + mean, np.rint(times * FIXED), len(means)).astype(np.int64)
+            return np.r_[words, means]
+
+        got = totals(docs, sums, n * (BUCKETS + m)) / FIXED
+        return got[: n * BUCKETS].reshape(n, BUCKETS) - got[n * BUCKETS :].reshape(n, m) @ self.units
+
+
+def learn_topics(profiles: DataFrame, steps: int = 20) -> Topics:
+    """Clusters of vocabulary: spherical k-means over the directions of all documents with words, at most
+    so many steps. Each draw of a first centre and each step is one pass over a stored table of them on
+    the executors; the driver holds centres, weights and means of languages. Neither the order of rows
+    nor how they are dealt to tasks matters. profiles: stored rows of profiled()."""
+    profiles = profiles.where("tokens > 0").select("lang", "tokens", "at", "n", F.xxhash64("lang", "at", "n").alias("h"))
+    usual = usual_words(profiles)
+    docs = stored(directed(profiles, usual))
+    units = usual.means / np.maximum(np.linalg.norm(usual.means, axis=1, keepdims=True), 1e-12)
+    centres = Centres(np.zeros((0, BUCKETS)), usual.weight, units)
+    if docs.isEmpty():  # no document but is its language's mean
+        centres, steps = Centres(np.zeros((TOPICS, BUCKETS)), usual.weight, units), 0
+    while len(centres.at) < TOPICS:  # far from those before
+        centres = Centres(np.vstack([centres.at, centres.drawn(docs, len(centres.at))]), usual.weight, units)
     for _ in range(steps):
-        own = (y @ centres.T).argmax(axis=1)
-        sums = np.stack([y[own == t].sum(axis=0) if (own == t).any() else centres[t] for t in range(TOPICS)])
-        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-    return Topics(weight[:, None] * centres.T, {lang: m @ centres.T for lang, m in means.items()})
+        sums, before = centres.moved(docs), centres.at
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = Centres(np.where(size > 1e-6, sums / np.maximum(size, 1e-12), before), usual.weight, units)
+        if (before == centres.at).all():
+            break
+    forget(docs)
+    found = usual.means @ centres.at.T
+    return Topics(usual.weight[:, None] * centres.at.T, {"": found[-1], **dict(zip(usual.langs, found, strict=False))})
 
 
-def profiled(docs: DataFrame, topics: Topics) -> DataFrame:
-    """(doc_id, source, lang, topic, tokens). tokens: words of the whole text. topic: `none` for a text
-    without words. docs has source and lang without nulls."""
+def labelled(profiles: DataFrame, topics: Topics) -> DataFrame:
+    """(doc_id, source, lang, topic, tokens) of rows of profiled(). topic: `none` for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffer(batch.column("text"))
-            langs = batch.column("lang").to_pylist()
-            for lo, hi in slices(offsets, SLICE):
-                tokens, names = topics(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], langs[lo:hi])
-                rest = [batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "source", "lang")]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(names, pa.string()), pa.array(tokens, pa.int64())], ["doc_id", "source", "lang", "topic", "tokens"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "source", "lang")], pa.array(topics(batch), pa.string()), batch.column("tokens")], ["doc_id", "source", "lang", "topic", "tokens"])
 
-    return docs.mapInArrow(run, "doc_id long, source string, lang string, topic string, tokens long")
+    return profiles.mapInArrow(run, "doc_id long, source string, lang string, topic string, tokens long")
 
 
 def tempered(shares: dict[str, float], power: float) -> dict[str, float]:
@@ -231,14 +427,17 @@ def mix_sources(docs: DataFrame, targets: dict[str, dict[str, float]] | None = N
     its power (POWERS unless given) as far as they have the tokens, so that a hot source gives way; a level without a target gets nothing). A cell's
     probability is its raked share of its tokens, at most 1; a hash of doc_id decides. A share `rate` of
     all tokens is expected, less if the margins can't hold at that rate. A document without tokens has
-    probability 0, as has a cell without weight. Topics are clusters of vocabulary, learned here unless
-    given. Null source or lang is the level ''. Null doc_ids hash alike; repeated rows decide alike;
+    probability 0, as has a cell without weight. Topics are clusters of vocabulary, learned here from
+    all documents unless given. Null source or lang is the level ''. Null doc_ids hash alike; repeated rows decide alike;
     other columns are not carried; an empty table gives an empty result. Only cell totals reach the
     driver, and only if there are at most cells_here of them; else they stay tables.
     """
     level = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), level("source"), level("lang"), F.col("text").cast("string").alias("text"))
-    rows = stored(profiled(docs, learn_topics(docs) if topics is None else topics))
+    profiles = profiled(docs) if topics is not None else stored(profiled(docs))
+    rows = stored(labelled(profiles, learn_topics(profiles) if topics is None else topics))
+    if topics is None:
+        forget(profiles)
     cells = stored(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")).where("tokens > 0"))
     n = cells.count()
     if n == 0:

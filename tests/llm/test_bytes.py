@@ -144,6 +144,36 @@ def test_topics_are_clusters_of_vocabulary(spark):
     assert len(by) >= 3 and all(max(n.values()) >= 0.98 * sum(n.values()) for n in by.values())
 
 
+def test_topics_are_learned_from_all_documents(spark, monkeypatch):
+    """Each word is in two of 4,000 documents' own words: none may be without weight. And against plain
+    k-means over all documents, however they are dealt to tasks."""
+    rng = random.Random(7)
+    themes = [[f"{c}{chr(97 + i)}{chr(97 + j)}" for i in range(5) for j in range(5)] for c in ("sea", "war", "tax", "law")]
+    rows = [(i, " ".join([*rng.choices(themes[i % 4], k=30), f"own{i % 2000}", *["often"] * (600 * (i == 8))]), "en" if i % 3 else "de", "s", 0) for i in range(4000)]
+    learned, real = [], mixing.learn_topics
+    monkeypatch.setattr(mixing, "learn_topics", lambda docs: learned.append(real(docs)) or learned[-1])
+    got = {r["doc_id"]: r["topic"] for r in mixing.mix_sources(spark.createDataFrame(rows, DOCS).repartition(3)).collect()}
+    again = {r["doc_id"]: r["topic"] for r in mixing.mix_sources(spark.createDataFrame(rows, DOCS).repartition(8, "doc_id")).collect()}
+    x = np.zeros((len(rows), mixing.BUCKETS))
+    for i, r in enumerate(rows):
+        data = np.frombuffer(r[1].encode(), np.uint8)
+        np.add.at(x[i], mixing.bucketed(data, np.array([0, len(data)]))[1], 1)
+    assert (np.abs(learned[0].table[x.any(axis=0)]).max(axis=1) > 0).all()
+    assert got == again and (learned[0].table == learned[1].table).all()
+    weight = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0)))
+    x = x / x.sum(axis=1, keepdims=True) * weight
+    for lang in ("en", "de"):
+        of = np.array([r[2] == lang for r in rows])
+        assert np.abs(learned[0].table.T / weight @ x[of].mean(axis=0) - learned[0].usual[lang]).max() < 1e-6
+        x[of] -= x[of].mean(axis=0)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    centres = learned[0].table.T / weight
+    own = (x @ centres.T).argmax(axis=1)
+    assert np.mean([got[r[0]] == f"t{t}" for r, t in zip(rows, own, strict=True)]) > 0.999
+    sums = np.stack([x[own == t].sum(axis=0) for t in range(mixing.TOPICS)])
+    assert ((sums / np.linalg.norm(sums, axis=1, keepdims=True) * centres).sum(axis=1) > 0.97).all()
+
+
 def test_packing_takes_tokens_and_opens_each_bin_at_its_cost(spark):
     rows = [(i, prose(i * 7, i)) for i in range(20)]
     with open(token_counts.TOKENIZER, "rb") as f:
