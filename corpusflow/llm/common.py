@@ -9,9 +9,10 @@ The result has one row for each key.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -139,6 +140,25 @@ def slices(offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
+def release() -> None:
+    """Give the memory back that the allocators of Arrow and of C hold free."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, and release() after its last batch: Python workers live on, and what each stage needed at most
+    would add up over the stages of a job."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return whole
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer (splitmix64), in place where x is owned."""
     x = x ^ (x >> np.uint64(30))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import forget, stored
+from corpusflow.llm.common import forget, released, stored
 
 #: Edges that one task contracts.
 LOCAL = 1 << 20
@@ -56,7 +56,7 @@ def components(edges: DataFrame, local: int = LOCAL) -> DataFrame:
     """
     edges = stored(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b"))
     shares = math.ceil(edges.count() / local)
-    stars = stored(edges.coalesce(max(1, shares)).mapInArrow(contract, "node long, comp long"))
+    stars = stored(edges.coalesce(max(1, shares)).mapInArrow(released(contract), "node long, comp long"))
     forget(edges)
     if shares <= 1:
         return stars

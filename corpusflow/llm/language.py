@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import text_buffer
+from corpusflow.llm.common import release, released, text_buffer
 
 BITS = 14
 BUCKETS = 1 << BITS
@@ -140,7 +140,7 @@ def sampled(docs: DataFrame, sample_rows: int) -> list[tuple[str, np.ndarray, np
                     how.append(c[c > 0].astype(np.int32))
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "lang": pa.array(langs, pa.string()), "at": pa.array(at, pa.list_(pa.int32())), "n": pa.array(how, pa.list_(pa.int32()))})
 
-    table = rows.mapInArrow(count, "doc_id long, lang string, at array<int>, n array<int>").toArrow()
+    table = rows.mapInArrow(released(count), "doc_id long, lang string, at array<int>, n array<int>").toArrow()
     found = zip(table["doc_id"].to_pylist(), table["lang"].to_pylist(), table["at"], table["n"], strict=True)
     return [(lang, at.values.to_numpy(), n.values.to_numpy()) for _, lang, at, n in sorted(found, key=lambda r: (r[0], r[1], len(r[2]), int(r[3].values.to_numpy().sum())))]
 
@@ -192,7 +192,9 @@ def accepted(text: Column, model: Model) -> Column:
     def judge(texts: pa.Array) -> pa.Array:
         data, offsets = text_buffer(texts)
         whole = (data[offsets[i] : offsets[i + 1]] for i in range(len(texts)))
-        return pa.array([lettered(t) and model(t)[1] >= model.reject_below for t in whole], pa.bool_())
+        out = pa.array([lettered(t) and model(t)[1] >= model.reject_below for t in whole], pa.bool_())
+        release()
+        return out
 
     return judge(text)
 

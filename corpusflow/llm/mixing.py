@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import MASK, forget, mix, slices, stored, text_buffer, word_hashes
+from corpusflow.llm.common import MASK, forget, mix, released, slices, stored, text_buffer, word_hashes
 from corpusflow.llm.near_dedup import _LOWER, SLICE, words_of
 
 MARGINS = ("source", "lang", "topic")
@@ -71,7 +71,7 @@ def profiled(docs: DataFrame) -> DataFrame:
                 rest = [batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "source", "lang")]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(np.bincount(row, minlength=hi - lo), pa.int64()), *lists], ["doc_id", "source", "lang", "tokens", "at", "n"])
 
-    return docs.mapInArrow(run, "doc_id long, source string, lang string, tokens long, at binary, n binary")
+    return docs.mapInArrow(released(run), "doc_id long, source string, lang string, tokens long, at binary, n binary")
 
 
 def shares(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -129,7 +129,7 @@ def totals(profiles: DataFrame, sums: Callable[[Iterator[pa.RecordBatch]], np.nd
         yield made(of)
 
     out = np.zeros(n, np.int64)
-    got = profiles.mapInArrow(run, schema).repartition("block").mapInArrow(add, schema).toArrow()
+    got = profiles.mapInArrow(released(run), schema).repartition("block").mapInArrow(released(add), schema).toArrow()
     for i, x in zip(got["block"].to_pylist(), got["sums"].to_pylist(), strict=True):
         out[i * BUCKETS : i * BUCKETS + len(x) // 8] = np.frombuffer(x, np.int64)
     return out
@@ -195,7 +195,7 @@ def directed(profiles: DataFrame, usual: Usual) -> DataFrame:
                 part[np.cumsum(again)[again > 0] - 1] = (n - (again - 1) * BYTE)[again > 0]
                 yield pa.RecordBatch.from_arrays([pa.array(h[lo:hi][some]), pa.array(lang[some].astype(np.int32)), pa.array(np.sqrt(squares[lang[some]]) / length), pa.array(1 / (tokens[lo:hi][some] * length)), packed(np.repeat(bucket, again).astype(np.uint16), ends), packed(part, ends)], DIRECTED_NAMES)
 
-    return profiles.mapInArrow(run, DIRECTED)
+    return profiles.mapInArrow(released(run), DIRECTED)
 
 
 #: The largest count that directed() holds in one byte.
@@ -251,7 +251,7 @@ class Centres:
 
     def drawn(self, docs: DataFrame, turn: int) -> np.ndarray:
         """The direction of the document that is drawn among all of directed(), which has some."""
-        row = docs.mapInArrow(self.far(turn), f"wait double, {DIRECTED}").orderBy("wait", "h").first()
+        row = docs.mapInArrow(released(self.far(turn)), f"wait double, {DIRECTED}").orderBy("wait", "h").first()
         at, n = np.frombuffer(row["at"], np.uint16), np.frombuffer(row["n"], np.uint8)
         return np.bincount(at, n * self.weight[at] * row["scale"], BUCKETS) - row["times"] * self.units[row["mean"]]
 
@@ -305,7 +305,7 @@ def labelled(profiles: DataFrame, topics: Topics) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "source", "lang")], pa.array(topics(batch), pa.string()), batch.column("tokens")], ["doc_id", "source", "lang", "topic", "tokens"])
 
-    return profiles.mapInArrow(run, "doc_id long, source string, lang string, topic string, tokens long")
+    return profiles.mapInArrow(released(run), "doc_id long, source string, lang string, topic string, tokens long")
 
 
 def tempered(shares: dict[str, float], power: float) -> dict[str, float]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import MASK, forget, groups, identified, keyed_texts, mix, slices, stored, tasks, text_buffer, word_hashes
+from corpusflow.llm.common import MASK, forget, groups, identified, keyed_texts, mix, released, slices, stored, tasks, text_buffer, word_hashes
 from corpusflow.llm.graph import components
 
 #: 42 bands of 6: at a similarity of 0.80 a pair meets in some band but for 3 in 1,000,000.
@@ -156,7 +156,7 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(np.arange(0, (hi - lo + 1) * BANDS, BANDS, dtype=np.int32), pa.array(keys.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(at), pa.int64()), pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy()), lists], ["doc_id", "n_shingles", "k1", "k2", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
+    return docs.mapInArrow(released(run), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
 
 
 def named(data: np.ndarray) -> bytes:
@@ -255,7 +255,7 @@ def verified(members: DataFrame, words: int, percent: int, parts: int) -> DataFr
                     b.append(rep[lo + y])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return members.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
+    return members.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(released(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, unique: bool = False) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import groups, identified, keyed_texts, tasks
+from corpusflow.llm.common import groups, identified, keyed_texts, released, tasks
 from corpusflow.llm.token_counts import counted
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
@@ -120,7 +120,7 @@ def best_fit(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, overhead:
                 ], ["doc_id", "piece", "n_tokens", "bin_id", "bin_start", "bin_capacity"])
 
     dealt = rows.repartition(min(parts, 8 * tasks(docs.sparkSession)), "grp").sortWithinPartitions("grp")
-    return dealt.mapInArrow(run, "doc_id long, piece int, n_tokens long, bin_id string, bin_start long, bin_capacity long")
+    return dealt.mapInArrow(released(run), "doc_id long, piece int, n_tokens long, bin_id string, bin_start long, bin_capacity long")
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

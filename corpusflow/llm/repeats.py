@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import Rolling, digests, identified, keyed_texts, mix, slices, stored, tasks, text_buffer
+from corpusflow.llm.common import Rolling, digests, identified, keyed_texts, mix, released, slices, stored, tasks, text_buffer
 
 LENGTH, K = 100, 32
 SLICE = 1 << 20
@@ -173,7 +173,7 @@ def phrases(docs: DataFrame, parts: int, length: int, k: int, local_hot: int) ->
                     *packed(TOLD, dealt(told, parts), told), *packed(REMOVE, by_doc(found["doc"], parts), found),
                 ])
 
-    return docs.mapInArrow(run, PACKED)
+    return docs.mapInArrow(released(run), PACKED)
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, np.ndarray], int]]:
@@ -244,7 +244,7 @@ def dictionary(rows: DataFrame, parts: int, length: int, most: int) -> DataFrame
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x.astype(np.int64) for x in c]).astype(t.to_pandas_dtype()), t) for c, t in zip(columns, types, strict=True)], ["doc_id", "kind", "a", "b", "trigger", "before"])
 
-    return rows.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "doc_id long, kind int, a long, b long, trigger long, before int")
+    return rows.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(released(run), "doc_id long, kind int, a long, b long, trigger long, before int")
 
 
 def compared(asked: DataFrame, parts: int, length: int) -> DataFrame:
@@ -286,7 +286,7 @@ def compared(asked: DataFrame, parts: int, length: int) -> DataFrame:
         found, got = repeated(got[~new], length), got[new]
         return as_batch([*packed(STRING, dealt(got["n1"], parts), got), *packed(REMOVE, by_doc(found["doc"], parts), found)])
 
-    return asked.mapInArrow(run, PACKED)
+    return asked.mapInArrow(released(run), PACKED)
 
 
 def placed(texts: list[bytes]) -> np.ndarray:
@@ -369,7 +369,7 @@ def sorted_suffixes(rows: DataFrame, parts: int, length: int, k: int) -> DataFra
     def remove_batch(done: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(done[c]), pa.int64()) for c in ("doc", "start", "end")], ["doc_id", "a", "b"])
 
-    return rows.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "doc_id long, a long, b long")
+    return rows.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(released(run), "doc_id long, a long, b long")
 
 
 def removed(docs: DataFrame, keep_text: bool, carry: bool) -> DataFrame:
@@ -406,7 +406,7 @@ def removed(docs: DataFrame, keep_text: bool, carry: bool) -> DataFrame:
                 columns.append(batch.column("row"))
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, keep_text: bool = False, carry: bool = False, unique: bool = False, local_hot: int = LOCAL_HOT, hot: int = HOT) -> DataFrame:
