@@ -4,7 +4,10 @@ import random
 import re
 from pathlib import Path
 
+import numpy as np
+
 from corpus_pipeline import STAGES, run
+from corpusflow.llm import mixing
 from corpusflow.llm.common import released
 
 WORDS = {"en": ["the", "which", "through", "light", "night", "water", "house", "under", "never", "always"], "de": ["der", "nacht", "durch", "licht", "wasser", "haus", "unter", "niemals", "immer", "schwer"]}
@@ -35,6 +38,21 @@ def test_stages(spark, tmp_path):
     assert packed == set(seen["mix_to_targets"])
 
 
+def test_mixing_stage_learns_from_all_documents(spark, tmp_path, monkeypatch):
+    """Words of single documents among 3,000 have a weight in the topics of the stage, and two runs over
+    rows dealt otherwise keep the same documents."""
+    rows = [(i, f"sea{i % 7} war{i % 5} tax{i % 3} sea{i % 7} own{i}", "en", "s", 0) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    learned, real = [], mixing.learn_topics
+    monkeypatch.setattr(mixing, "learn_topics", lambda docs: learned.append(real(docs)) or learned[-1])
+    kept = [{r["doc_id"] for r in dict(STAGES)["mix_to_targets"](spark, d, str(tmp_path)).collect()} for d in (docs.repartition(2), docs.repartition(7, "doc_id"))]
+    assert kept[0] == kept[1] and 0 < len(kept[0]) < 3000
+    data = np.frombuffer(" ".join(r[1] for r in rows).encode(), np.uint8)
+    seen = np.unique(mixing.bucketed(data, np.array([0, len(data)]))[1])
+    everywhere = np.abs(learned[0].table[seen]).max(axis=1) > 0
+    assert everywhere.all() and (learned[0].table == learned[1].table).all()
+
+
 def test_workers_give_memory_back():
     """What a task needed and freed doesn't stay with its worker, also where something small lies behind it."""
     held, anonymous = [], lambda: int(re.search(r"\nAnonymous:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
