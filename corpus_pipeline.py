@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.llm.common import identified, stored, without
-from corpusflow.llm.language import accepted, learn
+from corpusflow.llm.language import accepted, learn_from_all
 from corpusflow.llm.mixing import mix_sources
 from corpusflow.llm.near_dedup import near_duplicates
 from corpusflow.llm.packing import best_fit
@@ -23,9 +23,9 @@ from corpusflow.llm.repeats import remove_repeats
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with calibrated confidence; texts that are null or have no letter
-    go. Where no row is labelled there is no model to reject anything, and all documents stay."""
+    go. The model and its threshold are learned from all labelled rows; where no row is labelled there is no model to reject anything, and all documents stay."""
     docs = identified(docs)
-    model = learn(docs)
+    model = learn_from_all(docs)
     return docs if model is None else docs.where(accepted(F.col("text"), model))
 
 

@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import release, released, text_buffer
+from corpusflow.llm.common import forget, release, released, slices, stored, text_buffer
+from corpusflow.llm.mixing import PAIRS, packed, totals
+from corpusflow.llm.near_dedup import SLICE
 
 BITS = 14
 BUCKETS = 1 << BITS
@@ -151,6 +153,166 @@ def learn(docs: DataFrame, sample_rows: int = 3000) -> Model | None:
     return train(rows) if rows else None
 
 
+#: Languages weigh alike in learn_from_all(), but one that holds less than one of so many rows weighs less.
+LEAST = 1024
+#: Passes that learn, and how far the first one moves a bucket's weights at most; later ones move them less.
+STEPS, RATE = 8, 5.0
+#: Sums over all rows are of whole numbers, of so many to 1, so they are the same in any order.
+FIXED = float(1 << 32)
+#: Steps of the confidence that the rejection threshold is read from.
+LEVELS = 1 << 16
+TEMPERATURES = (0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0)
+
+
+def tallied(docs: DataFrame) -> DataFrame:
+    """(lang, half, gap, n) of each row of docs(text, lang) with a language and with subwords. half: 0 or 1, by
+    a hash of the text. gap, n: its buckets, as distances from the one before, and how many subwords are
+    in each, as bytes; a larger distance or count takes several."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffer(batch.column("text"))
+            for lo, hi in slices(offsets, SLICE):
+                some, at, n = [], [], []
+                for i in range(lo, hi):
+                    c = bucket_counts(data[offsets[i] : offsets[i + 1]])
+                    found = np.flatnonzero(c)
+                    if len(found):
+                        some.append(i)
+                        at.append(np.diff(found, prepend=0))
+                        n.append(c[found])
+                if not some:
+                    continue
+                ends = np.cumsum([0, *map(len, at)])
+                gap, count = np.concatenate(at), np.concatenate(n)
+                skips, more = gap // 255, (count - 1) // 255
+                long = skips + 1 + more
+                to = np.r_[0, np.cumsum(long)]
+                k = np.arange(to[-1]) - np.repeat(to[:-1] + skips, long)
+                gaps = np.where(k < 0, 255, np.where(k == 0, np.repeat(gap % 255, long), 0)).astype(np.uint8)
+                counts = np.where(k < 0, 0, np.where(k == 0, np.repeat(count - 255 * more, long), 255)).astype(np.uint8)
+                rest = [batch.column(c).take(pa.array(some)) for c in ("lang", "half")]
+                yield pa.RecordBatch.from_arrays([*rest, packed(gaps, to[ends]), packed(counts, to[ends])], ["lang", "half", "gap", "n"])
+
+    half = F.xxhash64("text", F.lit("language")).bitwiseAND(F.lit(1)).cast("int").alias("half")
+    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang", half)
+    return rows.mapInArrow(released(run), "lang string, half int, gap binary, n binary")
+
+
+@dataclass
+class Halves:
+    """Two models, each learned from the rows of one half. embeddings: (2, BUCKETS, dim); weights:
+    (2, dim, languages); weigh: what a row of each language counts."""
+
+    languages: list[str]
+    weigh: np.ndarray
+    embeddings: np.ndarray
+    weights: np.ndarray
+
+    def judged(self, batch: pa.RecordBatch, other: bool) -> Iterator[tuple[np.ndarray, ...]]:
+        """Some rows of tallied() at a time, by the model of their half, or of the other one: the rows'
+        models, languages, means of embeddings (dim, rows) and logits; and of their pairs how many there
+        are of each row, the model and bucket, and the share."""
+        code = {x: i for i, x in enumerate(self.languages)}
+        langs = np.array([code[x] for x in batch.column("lang").to_pylist()], np.int64)
+        halves = batch.column("half").to_numpy().astype(np.int64) ^ int(other)
+        gaps, ends = text_buffer(batch.column("gap"))
+        counts = text_buffer(batch.column("n"))[0]
+        columns = np.ascontiguousarray(self.embeddings.reshape(2 * BUCKETS, -1).T)
+        for lo, hi in slices(ends + np.arange(len(ends)) * len(self.languages), PAIRS):
+            a, b, half = ends[lo], ends[hi], halves[lo:hi]
+            starts, long = ends[lo:hi] - a, np.diff(ends[lo : hi + 1])
+            at, n = np.cumsum(gaps[a:b], dtype=np.int64), counts[a:b].astype(float)
+            at += np.repeat(half * BUCKETS - at[starts] + gaps[a:b][starts], long)
+            share = n / np.repeat(np.add.reduceat(n, starts), long)
+            means = np.stack([np.add.reduceat(c[at] * share, starts) for c in columns])
+            z = np.zeros((hi - lo, len(self.languages)))
+            for k, mean in enumerate(means):
+                z += mean[:, None] * self.weights[half, k]
+            yield half, langs[lo:hi], means, z, long, at, share
+
+    def slopes(self, rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Gradients of the loss over all rows, by embeddings and by weights."""
+        n, dim = self.embeddings.size, self.weights.shape[1]
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+            emb, w = np.zeros((dim, 2 * BUCKETS), np.int64), np.zeros(self.weights.shape, np.int64)
+            for batch in batches:
+                for half, lang, means, z, long, at, share in self.judged(batch, other=False):
+                    off = softmax(z)
+                    off[np.arange(len(z)), lang] -= 1
+                    off *= self.weigh[lang][:, None] * FIXED
+                    for k in range(dim):
+                        back = (off * self.weights[half, k]).sum(axis=1)
+                        emb[k] += np.bincount(at, np.rint(share * np.repeat(back, long)), 2 * BUCKETS).astype(np.int64)
+                        each = np.rint(means[k][:, None] * off).astype(np.int64)
+                        w[0, k] += each[half == 0].sum(axis=0)
+                        w[1, k] += each[half == 1].sum(axis=0)
+            return np.r_[emb.T.ravel(), w.ravel()]
+
+        got = totals(rows, sums, n + self.weights.size) / FIXED
+        return got[:n].reshape(self.embeddings.shape), got[n:].reshape(self.weights.shape)
+
+    def calibrated(self, rows: DataFrame) -> tuple[float, float]:
+        """The temperature of the least loss, and the threshold below nearly all right answers, over all
+        rows, each judged by the model that hasn't seen its text."""
+        n = len(TEMPERATURES)
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+            loss, right = np.zeros(n, np.int64), np.zeros((n, LEVELS + 1), np.int64)
+            for batch in batches:
+                for _, lang, _, z, *_ in self.judged(batch, other=True):
+                    weigh, told = self.weigh[lang] * FIXED, z.argmax(axis=1) == lang
+                    for i, t in enumerate(TEMPERATURES):
+                        p = softmax(z / t)
+                        loss[i] += np.rint(-np.log(p[np.arange(len(z)), lang] + 1e-12) * weigh).astype(np.int64).sum()
+                        level = (p.max(axis=1)[told] * LEVELS).astype(np.int64)
+                        right[i] += np.bincount(level, np.rint(weigh[told]), LEVELS + 1).astype(np.int64)
+            return np.r_[loss, right.ravel()]
+
+        got = totals(rows, sums, n * (LEVELS + 2))
+        best = int(got[:n].argmin())
+        reached = np.cumsum(got[n:].reshape(n, -1)[best])
+        below = int(np.searchsorted(reached, 0.001 * reached[-1])) / LEVELS
+        return TEMPERATURES[best], min(0.4, below * 0.9) if reached[-1] else 0.0
+
+
+def learn_from_all(docs: DataFrame, dim: int = 16) -> Model | None:
+    """The model, learned from all rows of docs(text, lang) with a language and with subwords; None if
+    there are none.
+
+    Each half of the texts has a model; the temperature and the rejection threshold are those of all rows
+    under the model of the other half, and the result is the mean of the two. Each step (Adam) is a pass over
+    the stored table of all rows on the executors; the driver holds embeddings and weights. Neither the
+    order of rows nor how they are dealt to tasks matters. A bucket that no row has weighs nothing.
+    """
+    rows = stored(tallied(docs.select("text", F.col("lang").cast("string").alias("lang"))))
+    found = rows.groupBy("lang", "half").agg(F.count("*").alias("n")).collect()
+    if not found:
+        forget(rows)
+        return None
+    names = sorted({r["lang"] for r in found})
+    count = np.array([sum(r["n"] for r in found if r["lang"] == x) for x in names], float)
+    count = np.maximum(count, count.sum() / LEAST)
+    dim = min(dim, len(names))
+    w = np.eye(dim) if dim == len(names) else np.random.default_rng(11).standard_normal((dim, len(names))) / dim**0.5
+    halves = Halves(names, count.min() / count, np.zeros((2, BUCKETS, dim)), np.stack([w, w]))
+    means, squares = [0.0, 0.0], [0.0, 0.0]
+    for step in range(STEPS):
+        new = []
+        for i, (x, slope, rate) in enumerate(zip((halves.embeddings, halves.weights), halves.slopes(rows), (RATE, RATE / 100), strict=True)):
+            means[i] = 0.9 * means[i] + 0.1 * slope
+            squares[i] = 0.99 * squares[i] + 0.01 * slope**2
+            root = np.sqrt(squares[i] / (1 - 0.99 ** (step + 1)))
+            new.append(x - rate * (1 - step / STEPS) * means[i] / (1 - 0.9 ** (step + 1)) / np.maximum(root, 1e-12))
+        halves = Halves(names, halves.weigh, *new)
+    temperature, below = halves.calibrated(rows)
+    forget(rows)
+    seen = sorted({r["half"] for r in found})
+    table = np.mean([halves.embeddings[h] @ halves.weights[h] for h in seen], axis=0)
+    return Model(names, table, np.zeros(len(names)), temperature, below)
+
+
 def lettered(data: np.ndarray) -> bool:
     folded = data | np.uint8(32)
     if ((folded >= 97) & (folded <= 122)).any():

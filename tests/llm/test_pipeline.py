@@ -6,6 +6,7 @@ from pathlib import Path
 
 import numpy as np
 
+import corpus_pipeline
 from corpus_pipeline import STAGES, run
 from corpusflow.llm import mixing
 from corpusflow.llm.common import released
@@ -38,6 +39,22 @@ def test_stages(spark, tmp_path):
     assert packed == set(seen["mix_to_targets"])
 
 
+def test_language_stage_learns_from_all_documents(spark, tmp_path, monkeypatch):
+    """Texts in an alphabet that one document among 12,000 has are told as its language, and two runs over
+    rows dealt otherwise learn the same."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(WORDS["en" if i % 2 else "de"], k=5)), "en" if i % 2 else "de", "s", 0) for i in range(12000)]
+    odd = {f"{a * 5} {a * 3}": ("de", "en")[i % 2] for i, a in enumerate("ωжאشกա")}
+    rows += [(20000 + i, t, lang, "s", 0) for i, (t, lang) in enumerate(odd.items())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    learned, real = [], corpus_pipeline.accepted
+    monkeypatch.setattr(corpus_pipeline, "accepted", lambda text, model: learned.append(model) or real(text, model))
+    for d in (docs.repartition(2), docs.repartition(7, "doc_id")):
+        assert dict(STAGES)["language_id"](spark, d, str(tmp_path)).count() == len(rows)
+    assert {t: learned[0](np.frombuffer(t.encode(), np.uint8))[0] for t in odd} == odd
+    assert (learned[0].table == learned[1].table).all() and learned[0].reject_below == learned[1].reject_below
+
+
 def test_mixing_stage_learns_from_all_documents(spark, tmp_path, monkeypatch):
     """Words of single documents among 3,000 have a weight in the topics of the stage, and two runs over
     rows dealt otherwise keep the same documents."""
