@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from corpusflow.llm.common import forget, release, released, slices, stored, text_buffer
 from corpusflow.llm.mixing import PAIRS, packed, totals
-from corpusflow.llm.near_dedup import SLICE
 
 BITS = 14
 BUCKETS = 1 << BITS
@@ -167,32 +166,38 @@ TEMPERATURES = (0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0)
 def tallied(docs: DataFrame) -> DataFrame:
     """(lang, half, gap, n) of each row of docs(text, lang) with a language and with subwords. half: 0 or 1, by
     a hash of the text. gap, n: its buckets, as distances from the one before, and how many subwords are
-    in each, as bytes; a larger distance or count takes several."""
+    in each, as bytes; a larger distance or count takes several. About PAIRS buckets of rows are worked on
+    at a time: each takes some 150 bytes meanwhile."""
+
+    def encoded(batch: pa.RecordBatch, some: list[int], at: list[np.ndarray], n: list[np.ndarray]) -> pa.RecordBatch:
+        ends = np.cumsum([0, *map(len, at)])
+        gap, count = np.concatenate(at), np.concatenate(n)
+        skips, more = gap // 255, (count - 1) // 255
+        long = skips + 1 + more
+        to = np.r_[0, np.cumsum(long)]
+        k = np.arange(to[-1]) - np.repeat(to[:-1] + skips, long)
+        gaps = np.where(k < 0, 255, np.where(k == 0, np.repeat(gap % 255, long), 0)).astype(np.uint8)
+        counts = np.where(k < 0, 0, np.where(k == 0, np.repeat(count - 255 * more, long), 255)).astype(np.uint8)
+        rest = [batch.column(c).take(pa.array(some)) for c in ("lang", "half")]
+        return pa.RecordBatch.from_arrays([*rest, packed(gaps, to[ends]), packed(counts, to[ends])], ["lang", "half", "gap", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
-            for lo, hi in slices(offsets, SLICE):
-                some, at, n = [], [], []
-                for i in range(lo, hi):
-                    c = bucket_counts(data[offsets[i] : offsets[i + 1]])
-                    found = np.flatnonzero(c)
-                    if len(found):
-                        some.append(i)
-                        at.append(np.diff(found, prepend=0))
-                        n.append(c[found])
-                if not some:
-                    continue
-                ends = np.cumsum([0, *map(len, at)])
-                gap, count = np.concatenate(at), np.concatenate(n)
-                skips, more = gap // 255, (count - 1) // 255
-                long = skips + 1 + more
-                to = np.r_[0, np.cumsum(long)]
-                k = np.arange(to[-1]) - np.repeat(to[:-1] + skips, long)
-                gaps = np.where(k < 0, 255, np.where(k == 0, np.repeat(gap % 255, long), 0)).astype(np.uint8)
-                counts = np.where(k < 0, 0, np.where(k == 0, np.repeat(count - 255 * more, long), 255)).astype(np.uint8)
-                rest = [batch.column(c).take(pa.array(some)) for c in ("lang", "half")]
-                yield pa.RecordBatch.from_arrays([*rest, packed(gaps, to[ends]), packed(counts, to[ends])], ["lang", "half", "gap", "n"])
+            some, at, n, pairs = [], [], [], 0
+            for i in range(batch.num_rows):
+                c = bucket_counts(data[offsets[i] : offsets[i + 1]])
+                found = np.flatnonzero(c)
+                if len(found):
+                    some.append(i)
+                    at.append(np.diff(found, prepend=0))
+                    n.append(c[found])
+                    pairs += len(found)
+                if pairs >= PAIRS:
+                    yield encoded(batch, some, at, n)
+                    some, at, n, pairs = [], [], [], 0
+            if some:
+                yield encoded(batch, some, at, n)
 
     half = F.xxhash64("text", F.lit("language")).bitwiseAND(F.lit(1)).cast("int").alias("half")
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang", half)

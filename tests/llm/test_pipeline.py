@@ -2,13 +2,15 @@
 
 import random
 import re
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from corpus_pipeline import STAGES, run
-from corpusflow.llm import mixing
+from corpusflow.llm import language, mixing
 from corpusflow.llm.common import released
 
 WORDS = {"en": ["the", "which", "through", "light", "night", "water", "house", "under", "never", "always"], "de": ["der", "nacht", "durch", "licht", "wasser", "haus", "unter", "niemals", "immer", "schwer"]}
@@ -55,6 +57,35 @@ def test_language_stage_learns_from_all_documents(spark, tmp_path, monkeypatch):
     assert (learned[0].table == learned[1].table).all() and learned[0].reject_below == learned[1].reject_below
 
 
+def test_language_stage_tallies_in_little_memory(spark):
+    """Tables of subwords are made of a few texts at a time, however many there are in a batch, and whole:
+    also of texts with few subwords, with none, and with counts and gaps beyond a byte."""
+
+    class Docs:
+        where = select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=3000)) for _ in range(1200)]
+    texts[5], texts[600], texts[-1] = "", "a " * 900, "1 2"
+    rows = pa.RecordBatch.from_pydict({"text": texts, "lang": ["en", "de", None] * 400, "half": pa.array([0, 1] * 600, pa.int32())})
+    run, found, peak = language.tallied(Docs()), [], []
+    next(run(iter([rows.slice(0, 1)])))
+    tracemalloc.start()
+    for got in run(iter([rows])):
+        peak.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        found += got.to_pylist()
+        tracemalloc.start()
+    tracemalloc.stop()
+    kept = [i for i in range(1200) if i not in (5, 1199)]
+    assert [(r["lang"], r["half"]) for r in found] == [(("en", "de", None)[i % 3], i % 2) for i in kept]
+    for i, r in zip(kept, found, strict=True):
+        at, n = np.cumsum(np.frombuffer(r["gap"], np.uint8), dtype=np.int64), np.frombuffer(r["n"], np.uint8)
+        assert (np.bincount(at, n, language.BUCKETS) == language.bucket_counts(np.frombuffer(texts[i].encode(), np.uint8))).all()
+    assert max(peak) < 40 << 20
+
+
 def test_mixing_stage_learns_from_all_documents(spark, tmp_path, monkeypatch):
     """Words of single documents among 3,000 have a weight in the topics of the stage, and two runs over
     rows dealt otherwise keep the same documents."""
