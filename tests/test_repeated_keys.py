@@ -41,3 +41,8 @@ def agree(spark, folder, name):
 def test_changes_of_repeated_urls(spark, tables):
     for name in ("diff_snapshot", "fetch_changes"):
         agree(spark, tables, name)
+
+
+def test_refreshed_pages_of_repeated_urls(spark, tables):
+    for name in ("process_delta", "incremental_refresh"):
+        agree(spark, tables, name)
