@@ -46,3 +46,8 @@ def test_changes_of_repeated_urls(spark, tables):
 def test_refreshed_pages_of_repeated_urls(spark, tables):
     for name in ("process_delta", "incremental_refresh"):
         agree(spark, tables, name)
+
+
+def test_snapshot_of_repeated_urls(spark, tables):
+    agree(spark, tables, "snapshot_rebuild")
+    agree(spark, tables, "run_metadata")
