@@ -112,12 +112,13 @@ def generate_once(questions: DataFrame, chunks: DataFrame, model: Callable[[str,
     return rows.select("query_id", answer.alias("answer"), ~F.coalesce(good, F.lit(False)).alias("x"), F.when(good, F.col("urls")).otherwise(F.array().cast("array<string>")).alias("sources")).toDF("query_id", "answer", "refused", "sources")
 
 
-def resolve_citations(answers: DataFrame, usable: DataFrame) -> DataFrame:
+def resolve_citations(answers: DataFrame, usable: DataFrame, by: str = "query_id") -> DataFrame:
     """(query_id, sources) of answers(query_id, answer): cited urls in order of first citation; without
-    any [N] none for a refusal, else all distinct urls in order; none where nothing was usable."""
-    at = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
-    lists = usable.withColumn("__at", at).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", F.coalesce("source_url", F.lit("")).alias("u")))), lambda x: x["u"]).alias("urls"))
-    rows = answers.join(lists, "query_id", "left").withColumn("cited", citation_numbers(F.coalesce("answer", F.lit(""))))
+    any [N] none for a refusal, else all distinct urls in order; none where nothing was usable. by: the column
+    of both tables that says which chunks were usable; answers may share them."""
+    at = F.row_number().over(Window.partitionBy(by).orderBy("rank"))
+    lists = usable.withColumn("__at", at).groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", F.coalesce("source_url", F.lit("")).alias("u")))), lambda x: x["u"]).alias("urls"))
+    rows = answers.join(lists, by, "left").withColumn("cited", citation_numbers(F.coalesce("answer", F.lit(""))))
     real = lambda c: F.array_distinct(F.filter(c, lambda u: u.isNotNull() & (u != "")))
     picked = F.transform(F.filter("cited", lambda i: (i >= 1) & (i <= F.size("urls"))), lambda i: F.get("urls", i.cast("int") - 1))
     none = F.array().cast("array<string>")

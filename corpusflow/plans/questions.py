@@ -140,10 +140,10 @@ def _answers(spark, sf_dir):
 
 
 def resolve_citations(spark, sf_dir):
-    rows = _answers(spark, sf_dir)
+    """Ids of answers repeat from 10,000 conversations on, so their chunks are met by slot."""
+    rows = _answers(spark, sf_dir).select("query_id", "answer", (F.col("conv_id") % 6).alias("slot"))
     shared = answer.within_budget(chunks(spark, sf_dir)).select(F.col("query_id").alias("slot"), "rank", "source_url")
-    usable = rows.select("query_id", (F.col("conv_id") % 6).alias("slot")).join(shared, "slot")
-    return answer.resolve_citations(rows.select("query_id", "answer"), usable).select("query_id", F.array_join("sources", ",").alias("sources"))
+    return answer.resolve_citations(rows, shared, "slot").select("query_id", F.array_join("sources", ",").alias("sources"))
 
 
 def refusal_detect(spark, sf_dir):

@@ -51,3 +51,12 @@ def test_refreshed_pages_of_repeated_urls(spark, tables):
 def test_snapshot_of_repeated_urls(spark, tables):
     agree(spark, tables, "snapshot_rebuild")
     agree(spark, tables, "run_metadata")
+
+
+def test_citations_of_answers_with_one_id(spark, tmp_path):
+    """Ids are conv_id * 100 + turn, to six digits: 3 and 10003 share theirs, but not their chunks."""
+    said = [{"conv_id": c, "turn": t, "role": "assistant", "text": "An answer of some length, which is not a refusal as it says what it knows about it."} for c in (3, 4, 10003, 10004, 20003) for t in range(4)]
+    docs = [{"doc_id": i, "text": f"words {i} " * 20, "lang": "en", "source": "web", "n_chars": 0} for i in range(400)]
+    pq.write_table(pa.Table.from_pylist(said), tmp_path / "conversations.parquet")
+    pq.write_table(pa.Table.from_pylist(docs), tmp_path / "documents.parquet")
+    agree(spark, str(tmp_path), "resolve_citations")
